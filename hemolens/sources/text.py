@@ -172,7 +172,7 @@ def _gro_fields(line: Column) -> list[Column]:
 
 
 def parse_gro(df: DataFrame) -> DataFrame:
-    """Atoms of GRO texts with title, declared count and box; lines up to 44 characters are skipped."""
+    """Atoms of GRO texts with title, declared count and box; lines cut before the z field are skipped."""
     lines = F.split(F.regexp_replace("text", r"\n+$", ""), "\n")
     count = F.trim(F.col("_l")[1]).cast("int")
     box = F.split(strip(F.element_at("_l", -1)), r"\s+")
@@ -188,7 +188,7 @@ def parse_gro(df: DataFrame) -> DataFrame:
             F.slice("_l", F.lit(3), count).alias("_l"),
         )
         .select("file", "title", "n_atoms", "box", F.explode("_l").alias("line"))
-        .filter(F.length("line") > 44)
+        .filter(F.length("line") >= 44)
         .select("file", "title", "n_atoms", "box", *_gro_fields(F.col("line")))
     )
 
