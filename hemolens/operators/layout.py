@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hemolens.functions.ordered import bucket_count
 from hemolens.functions.scalars import orientation_angle, placement_seed
 
 # Positions (nm) of the named peptide counts.
@@ -48,27 +49,27 @@ def grid_positions(df: DataFrame, n: str = "n", lx: str = "lx", ly: str = "ly")
 
 
 def _throw_darts(seed: int, n: int, lx: float, ly: float, min_dist: float, attempts: int) -> np.ndarray | None:
-    """n points at least `min_dist` apart and off the edges, or None when the attempts run out."""
-    rng = np.random.default_rng(seed)
-    far_x, far_y = max(min_dist, lx - min_dist), max(min_dist, ly - min_dist)
-    kept = np.empty((n, 2))
-    have = 0
-    for _ in range(attempts):
-        if have == n:
-            break
-        dart = np.array([rng.uniform(min_dist, far_x), rng.uniform(min_dist, far_y)])
-        gaps = kept[:have] - dart
-        if not (np.einsum("ij,ij->i", gaps, gaps) < min_dist * min_dist).any():
-            kept[have] = dart
-            have += 1
-    return kept if have == n else None
+    """n points at least `min_dist` apart and off the edges, or None when the attempts run out.
+
+    All darts are drawn at once, alternating x and y; a dart stays in play until an accepted
+    one is too near, and the first still in play is the next accepted.
+    """
+    darts = np.random.default_rng(seed).random((attempts, 2))
+    span = np.array([max(min_dist, lx - min_dist), max(min_dist, ly - min_dist)]) - min_dist
+    darts = min_dist + span * darts
+    kept = []
+    while len(kept) < n and len(darts):
+        kept.append(darts[0])
+        gaps = darts - darts[0]
+        darts = darts[1:][np.einsum("ij,ij->i", gaps, gaps)[1:] >= min_dist * min_dist]
+    return np.array(kept) if len(kept) == n else None
 
 
 def poisson_positions(df: DataFrame, min_dist: float = 1.5, attempts: int = 10_000, n: str = "n") -> DataFrame:
     """Poisson-disk positions from each system's `seed`, or the grid where they do not fit.
 
-    `df` has one row per system (with `seed`, n, lx, ly); each row stands alone, so the
-    rows are mapped in batches where they lie, without a shuffle.
+    `df` has one row per system (with `seed`, n, lx, ly) and each row stands alone. The
+    throwing is far more work than the row is data, so the rows are spread over all cores.
     """
     schema = T.StructType([*df.schema.fields, T.StructField("darts", T.ArrayType(T.ArrayType(T.DoubleType())))])
 
@@ -79,7 +80,7 @@ def poisson_positions(df: DataFrame, min_dist: float = 1.5, attempts: int = 10_0
             ]
             yield pdf.assign(darts=[None if d is None else d.tolist() for d in darts])
 
-    thrown = df.filter(F.col(n) > 0).mapInPandas(run, schema)
+    thrown = df.filter(F.col(n) > 0).repartition(bucket_count(df), "seed").mapInPandas(run, schema)
     placed = grid_positions(thrown, n)
     dart = F.get("darts", F.col("k"))
     return placed.withColumns(

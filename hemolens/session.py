@@ -43,6 +43,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint, for loops whose plan would otherwise keep growing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to the shared folder and go on from there.
+
+    For loops whose plan would otherwise keep growing: computed once, safe against lost
+    executors, and read back with real sizes for the next join choice.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
