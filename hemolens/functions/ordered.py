@@ -42,8 +42,12 @@ def with_order_bucket(df: DataFrame, order: str, buckets: int | None = None) ->
     )
 
 
-def with_hash_bucket(df: DataFrame, digest: str, hex_digits: int = 2) -> DataFrame:
-    """Add `_bucket` from the leading digits of a hex digest; even by construction, no pass."""
+def with_hash_bucket(df: DataFrame, digest: str, hex_digits: int | None = None) -> DataFrame:
+    """Add `_bucket` from the leading digits of a hex digest; even by construction, no pass.
+
+    By default enough digits for several buckets per shuffle partition (at most 7).
+    """
+    hex_digits = hex_digits or min(7, len(f"{bucket_count(df):x}") + 1)
     head = F.conv(F.substring(F.col(digest), 1, hex_digits), 16, 10)
     return df.withColumn(BUCKET, head.cast("int"))
 
