@@ -1 +1,117 @@
-"""."""
+"""Models (E06, E07, E09-E11, E15 slope, E25, E27)."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from hemolens.functions import sequence
+from hemolens.operators import evaluation as ev, models
+from hemolens.plans.binding import REPLICATES_SQL, r6, round6
+from hemolens.plans.catalog import query
+
+FEATURES = ["f0", "f1", "f2", "f3", "f4", "f5"]
+
+
+def vectors(t):
+    """First six embedding elements as features, upper half of the labels as the class."""
+    e = F.col("embedding")
+    return t.embeddings.select(
+        F.col("vec_id").alias("peptide_id"), F.col("label"), (F.col("label") >= 5).cast("int").alias("y"),
+        *[e[i].cast("double").alias(f) for i, f in enumerate(FEATURES)],
+        (F.col("label") * 25.0 + 1).alias("hc50_um"),
+    )
+
+
+@query("e06_fit_logistic_ridge")
+def fit_logistic_ridge(t):
+    """Out-of-fold predictions of nested cross-validation, summarised per fold."""
+    out = models.fit_logistic_ridge(vectors(t), FEATURES, "peptide_id", grid=(0.01, 1.0), outer=3, inner=2)
+    return ev.roc_auc(out, ["fold"]).select("fold", F.round("auc", 3).alias("auc"))
+
+
+@query("e07_fit_boosted")
+def fit_boosted(t):
+    """Boosted class model on sequence descriptors of whole labelled texts, scored on its own rows."""
+    seq = F.col("sequence")
+    rows = t.canonical().join(t.labels.select(F.col("doc_id").alias("peptide_id"), "toxic"), "peptide_id").select(
+        "peptide_id", "toxic", F.length(seq).cast("double").alias("length"), sequence.gravy(seq).alias("gravy"),
+        sequence.net_charge_ph(seq).alias("charge"),
+    )
+    model = models.fit_boosted(rows, ["length", "gravy", "charge"], "toxic", depths=(3,), rates=(0.1,), trees=(10,))
+    scored = model.transform(rows).select("peptide_id", F.col("toxic").alias("y"), vector_to_array("probability")[1].alias("p"))
+    return ev.confusion_metrics(scored).select("tp", "fp", "fn", "tn", F.round("accuracy", 3).alias("accuracy"))
+
+
+@query("e07_fit_boosted_regression")
+def fit_boosted_regression(t):
+    """Boosted regression of log10 HC50."""
+    rows = vectors(t).withColumn("log_hc50", F.log10("hc50_um"))
+    model = models.fit_boosted(rows, FEATURES, "log_hc50", task="regression", trees=(10,))
+    scored = model.transform(rows).select(F.col("log_hc50").alias("y"), F.col("prediction").alias("p"))
+    out = ev.regression_metrics(scored)
+    return out.select(*[F.round(c, 3).alias(c) for c in out.columns])
+
+
+@query(
+    "e09_linear_attribution",
+    f"""WITH {REPLICATES_SQL}, a AS (SELECT peptide_id, occupancy, 0.7 * (se - avg(se) OVER ()) AS c1, -1.5 * (tax - avg(tax) OVER ()) AS c2 FROM replicates)
+    SELECT peptide_id, occupancy, count(*) AS n, {r6('sum(c1)')} AS contrib_se, {r6('sum(c2)')} AS contrib_tax FROM a GROUP BY 1, 2""",
+)
+def linear_attribution(t):
+    out = models.linear_attribution(t.replicates(), {"se": 0.7, "tax": -1.5})
+    return out.groupBy("peptide_id", "occupancy").agg(
+        F.count("*").alias("n"), round6(F.sum("contrib_se")).alias("contrib_se"), round6(F.sum("contrib_tax")).alias("contrib_tax")
+    )
+
+
+@query("e10_permutation_importance")
+def permutation_importance(t):
+    rows = vectors(t)
+    model = models.fit_logistic(rows, FEATURES)
+    out = models.permutation_importance(model, rows, FEATURES, "peptide_id")
+    return out.select("feature", F.round("importance", 3).alias("importance"))
+
+
+@query(
+    "e11_standardize",
+    f"""WITH {REPLICATES_SQL}, z AS (SELECT peptide_id, occupancy, (value - avg(value) OVER ()) / stddev_samp(value) OVER () AS zv,
+      (discount - avg(discount) OVER ()) / stddev_samp(discount) OVER () AS zd FROM replicates)
+    SELECT peptide_id, occupancy, {r6('sum(zv)')} AS z_value, {r6('sum(zd)')} AS z_discount FROM z GROUP BY 1, 2""",
+)
+def standardize(t):
+    out = models.standardize(t.replicates().select("peptide_id", "occupancy", "value", "discount"), ["value", "discount"])
+    return out.groupBy("peptide_id", "occupancy").agg(
+        round6(F.sum("z_value")).alias("z_value"), round6(F.sum("z_discount")).alias("z_discount")
+    )
+
+
+@query("e11_pca")
+def pca(t):
+    out = models.pca(vectors(t), FEATURES, 2)
+    return out.select("peptide_id", F.round(F.abs("pc1"), 4).alias("pc1"), F.round(F.abs("pc2"), 4).alias("pc2"))
+
+
+@query("e15_calibration_line")
+def calibration_line(t):
+    line = models.calibration_line(t.predictions())
+    return line.select(F.round("slope", 3).alias("slope"), F.round("intercept", 3).alias("intercept"))
+
+
+@query("e25_adversarial_validation")
+def adversarial_validation(t):
+    """Labels below 3 as the training set, the rest as the test set."""
+    rows = vectors(t)
+    out = models.adversarial_validation(rows.filter("label < 3"), rows.filter("label >= 3"), FEATURES, "peptide_id")
+    return out.select(F.round("auc", 3).alias("auc"))
+
+
+@query("e27_score_batch")
+def score_batch(t):
+    rows = vectors(t)
+    model = models.fit_logistic(rows, FEATURES)
+    out = models.score_batch(model, rows.drop("y", "label"), FEATURES, explain=True)
+    return out.select(
+        "peptide_id", F.round("p", 3).alias("p"), "toxic_class", "high_toxicity",
+        *[F.round(f"contrib_{f}", 3).alias(f"contrib_{f}") for f in FEATURES],
+    )

@@ -1 +1,61 @@
-"""."""
+"""Streams run over the given event and document files (X)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from hemolens.plans.binding import EPOCH
+from hemolens.plans.catalog import query
+from hemolens.streaming import jobs
+
+
+def event_stream(t):
+    """The events file as a stream; watermarks need a zoned timestamp."""
+    schema = t.events.schema
+    rows = jobs.read_stream(t.spark, t.sf_dir, schema, "events.parquet")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query(
+    "x01_ingest_stream",
+    "SELECT sha256(upper(event_type || '-' || (event_id % 300))) AS seq_hash, count(*) > 0 AS kept FROM events GROUP BY 1",
+)
+def ingest_stream(t):
+    """Records repeat; every distinct one is kept once."""
+    text = F.concat("event_type", F.lit("-"), (F.col("event_id") % 300).cast("string"))
+    records = event_stream(t).select("ts", text.alias("sequence"))
+    return jobs.drain(jobs.ingest_stream(records, "ts"), None, "append").select("seq_hash", F.lit(True).alias("kept"))
+
+
+@query(
+    "x02_latest_status",
+    f"""SELECT user_id AS peptide_id, date_diff('microsecond', TIMESTAMP '{EPOCH}', max(ts)) AS t_us, arg_max(event_type, ts) AS status FROM events GROUP BY 1""",
+)
+def latest_status(t):
+    """Update mode: the last emitted row per key is the state."""
+    rows = event_stream(t).select(F.col("user_id").alias("peptide_id"), "ts", F.col("event_type").alias("status"))
+    out = jobs.drain(jobs.latest_status(rows, ["peptide_id"]), ["peptide_id"], "update")
+    since = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'{EPOCH}', cast(ts AS timestamp_ntz))")
+    return out.select("peptide_id", since.alias("t_us"), "status")
+
+
+@query(
+    "x02_latest_status_batch",
+    f"""SELECT user_id AS peptide_id, date_diff('microsecond', TIMESTAMP '{EPOCH}', max(ts)) AS t_us, arg_max(event_type, ts) AS status FROM events GROUP BY 1""",
+)
+def latest_status_batch(t):
+    rows = t.frames().select(F.col("run").alias("peptide_id"), "t_us", F.col("bead").alias("status"))
+    return jobs.latest_status(rows, ["peptide_id"], "t_us")
+
+
+@query(
+    "x03_progress_windows",
+    f"""SELECT date_diff('microsecond', TIMESTAMP '{EPOCH}', date_trunc('hour', ts)) // 3600000000 AS hour, event_type AS status, count(*) AS n
+    FROM events GROUP BY 1, 2""",
+)
+def progress_windows(t):
+    """Complete mode, so windows still open are there too and the result equals the batch one."""
+    rows = event_stream(t).select("ts", F.col("event_type").alias("status"))
+    out = jobs.drain(jobs.progress_windows(rows, "ts", ["status"]), None, "complete")
+    hour = F.expr(f"timestampdiff(HOUR, timestamp_ntz'{EPOCH}', cast(window_start AS timestamp_ntz))")
+    return out.select(hour.alias("hour"), "status", "n")
