@@ -139,13 +139,14 @@ def value_table(
     """One row per (keys, value): each sum at that value and its total below it.
 
     Columns: keys, `value`, then `<s>` and `<s>_below` for every entry of `sums`
-    (default `n`, the row count). The base for ranks, medians, ROC and PR.
+    (default `n`, the row count). The base for ranks, medians, ROC and PR. A `_bucket`
+    that `df` already has along `value` is used as it is.
     """
     keys = list(keys)
     sums = sums or {"n": F.lit(1).cast("long")}
+    bucketed = df if BUCKET in df.columns else with_order_bucket(df, value)
     counted = (
-        with_order_bucket(df, value)
-        .groupBy(*keys, BUCKET, value)
+        bucketed.groupBy(*keys, BUCKET, value)
         .agg(*[F.sum(c).alias(s) for s, c in sums.items()])
     )
     run = running_total(counted, keys, [value], {f"{s}_upto": s for s in sums})

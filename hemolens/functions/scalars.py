@@ -14,7 +14,7 @@ def run_name(peptide_id: Column, n: Column) -> Column:
 
 def parse_run_name(name: Column, sep: str = "_") -> Column:
     """Integer after the last separator, else null."""
-    return F.element_at(F.split(name, sep), -1).try_cast("int")
+    return F.substring_index(name, sep, -1).try_cast("int")
 
 
 def log_hc50(hc50_um: Column) -> Column:

@@ -51,17 +51,26 @@ def grid_positions(df: DataFrame, n: str = "n", lx: str = "lx", ly: str = "ly")
 def _throw_darts(seed: int, n: int, lx: float, ly: float, min_dist: float, attempts: int) -> np.ndarray | None:
     """n points at least `min_dist` apart and off the edges, or None when the attempts run out.
 
-    All darts are drawn at once, alternating x and y; a dart stays in play until an accepted
-    one is too near, and the first still in play is the next accepted.
+    Darts are drawn in growing batches, alternating x and y; a dart stays in play until an
+    accepted one is too near, and the first still in play is the next accepted.
     """
-    darts = np.random.default_rng(seed).random((attempts, 2))
-    span = np.array([max(min_dist, lx - min_dist), max(min_dist, ly - min_dist)]) - min_dist
-    darts = min_dist + span * darts
-    kept = []
-    while len(kept) < n and len(darts):
-        kept.append(darts[0])
-        gaps = darts - darts[0]
-        darts = darts[1:][np.einsum("ij,ij->i", gaps, gaps)[1:] >= min_dist * min_dist]
+    rng = np.random.default_rng(seed)
+    span_x, span_y = max(min_dist, lx - min_dist) - min_dist, max(min_dist, ly - min_dist) - min_dist
+    near = min_dist * min_dist
+    kept: list[tuple[float, float]] = []
+    size = 64
+    while attempts > 0 and len(kept) < n:
+        size = min(4 * size, attempts)
+        attempts -= size
+        throws = rng.random((size, 2))
+        x, y = min_dist + span_x * throws[:, 0], min_dist + span_y * throws[:, 1]
+        for px, py in kept:
+            free = (x - px) ** 2 + (y - py) ** 2 >= near
+            x, y = x[free], y[free]
+        while len(x) and len(kept) < n:
+            kept.append((x[0], y[0]))
+            free = (x - x[0]) ** 2 + (y - y[0]) ** 2 >= near
+            x, y = x[free], y[free]
     return np.array(kept) if len(kept) == n else None
 
 

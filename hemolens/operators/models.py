@@ -33,9 +33,14 @@ def _scaled(features: Sequence[str]) -> list:
     ]
 
 
+def training_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The needed columns written once, so that every pass of a fit reads numbers and not their origin."""
+    return cut_lineage(df.select(*columns))
+
+
 def fit_logistic(df: DataFrame, features: Sequence[str], y: str = "y", ridge: float = 0.1) -> PipelineModel:
     lr = LogisticRegression(featuresCol="_features", labelCol=y, elasticNetParam=0.0, regParam=ridge, maxIter=50)
-    return Pipeline(stages=[*_scaled(features), lr]).fit(df)
+    return Pipeline(stages=[*_scaled(features), lr]).fit(training_table(df, [*features, y]))
 
 
 def fit_logistic_ridge(df: DataFrame, features: Sequence[str], ident: str, y: str = "y",
@@ -76,7 +81,7 @@ def fit_boosted(df: DataFrame, features: Sequence[str], target: str, task: str =
     )
     if len(grid) == 1:
         trainer.setParams(**{p.name: v for p, v in grid[0].items()})
-    return Pipeline(stages=[_scaled(features)[0], search]).fit(df)
+    return Pipeline(stages=[_scaled(features)[0], search]).fit(training_table(df, [*features, target]))
 
 
 def linear_attribution(df: DataFrame, beta: dict[str, float]) -> DataFrame:

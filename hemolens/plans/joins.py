@@ -198,9 +198,7 @@ def holdout_disjoint(t):
     test = peptides.join(labelled, "peptide_id", "left_anti").select("sequence").unionByName(
         t.benchmark.select(letters(F.col("text")).alias("sequence"))
     )
-    kept = joins.holdout_disjoint(train, test).select("peptide_id", F.lit(False).alias("leaked"))
-    leaked = joins.holdout_disjoint(train, test, report=True).select("peptide_id", F.lit(True).alias("leaked"))
-    return kept.unionByName(leaked)
+    return joins.flag_leaks(train, test).select("peptide_id", "leaked")
 
 
 @query(

@@ -19,8 +19,16 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+BLANKS = " \t\n\x0b\f\r"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))
+
+
+def words(c: Column) -> Column:
+    """Tokens between runs of blanks; plain character splits, no regular expression."""
+    return F.array_remove(F.split(F.translate(c, BLANKS[1:], " " * 5), " "), "")
 
 
 def base_name(path: Column) -> Column:
@@ -140,7 +148,7 @@ def parse_sections(df: DataFrame, section: str | None = None) -> DataFrame:
             "file",
             "section",
             (F.col("start") + F.col("pos") + 1).alias("line_no"),
-            F.split(strip(F.col("line")), r"\s+").alias("tokens"),
+            words(F.col("line")).alias("tokens"),
         )
     )
 
@@ -175,7 +183,7 @@ def parse_gro(df: DataFrame) -> DataFrame:
     """Atoms of GRO texts with title, declared count and box; lines cut before the z field are skipped."""
     lines = F.split(F.regexp_replace("text", r"\n+$", ""), "\n")
     count = F.trim(F.col("_l")[1]).cast("int")
-    box = F.split(strip(F.element_at("_l", -1)), r"\s+")
+    box = words(F.element_at("_l", -1))
     return (
         df.select("file", lines.alias("_l"))
         .select(
