@@ -57,7 +57,7 @@ def fit_logistic_ridge(df: DataFrame, features: Sequence[str], ident: str, y: st
         lr = LogisticRegression(featuresCol="_features", labelCol=y, elasticNetParam=0.0, maxIter=50)
         search = CrossValidator(
             estimator=lr, estimatorParamMaps=ParamGridBuilder().addGrid(lr.regParam, list(grid)).build(),
-            evaluator=BinaryClassificationEvaluator(labelCol=y), numFolds=inner, foldCol="inner_fold", parallelism=4,
+            evaluator=BinaryClassificationEvaluator(labelCol=y), numFolds=inner, foldCol="inner_fold",
         )
         fitted = Pipeline(stages=[*_scaled(features), search]).fit(train)
         ridge = fitted.stages[-1].bestModel.getRegParam()
@@ -77,7 +77,7 @@ def fit_boosted(df: DataFrame, features: Sequence[str], target: str, task: str =
     )
     judge = BinaryClassificationEvaluator(labelCol=target) if task == "class" else RegressionEvaluator(labelCol=target, metricName="mae")
     search = trainer if len(grid) == 1 else CrossValidator(
-        estimator=trainer, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, seed=seed, parallelism=2
+        estimator=trainer, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, seed=seed
     )
     if len(grid) == 1:
         trainer.setParams(**{p.name: v for p, v in grid[0].items()})

@@ -63,9 +63,9 @@ def connected_labels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], ma
                 *keys, "id", "_old", F.least("_mid", F.coalesce("_jump", "_mid")).alias("label")
             )
         )
-        if moved.filter("label <> _old").isEmpty():
-            return moved.drop("_old")
         labels = moved.drop("_old")
+        if moved.filter("label <> _old").isEmpty():
+            return labels
     raise RuntimeError(f"labels still change after {max_rounds} rounds")
 
 
