@@ -25,6 +25,14 @@ def bucket_count(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Deal a small table over all shuffle partitions before its rows are multiplied.
+
+    AQE would leave it in one partition, judging by its size and not by what comes of it.
+    """
+    return df.repartition(bucket_count(df), *cols)
+
+
 def with_order_bucket(df: DataFrame, order: str, buckets: int | None = None) -> DataFrame:
     """Add `_bucket`, rising with the numeric column `order`; one pass over that column.
 

@@ -12,9 +12,15 @@ def run_name(peptide_id: Column, n: Column) -> Column:
     return F.concat(F.lower(peptide_id), F.lit("_run_"), n.cast("string"))
 
 
+def whole_number(token: Column, kind: str = "int") -> Column:
+    """The integer a text spells, else null; only texts that look like one reach the cast,
+    because a failing cast costs an exception per row."""
+    return F.when(token.rlike(r"^\s*[+-]?\d+\s*$"), token).try_cast(kind)
+
+
 def parse_run_name(name: Column, sep: str = "_") -> Column:
     """Integer after the last separator, else null."""
-    return F.substring_index(name, sep, -1).try_cast("int")
+    return whole_number(F.substring_index(name, sep, -1))
 
 
 def log_hc50(hc50_um: Column) -> Column:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hemolens.functions.ordered import value_table
+from hemolens.functions.ordered import BUCKET, with_order_bucket
 from hemolens.functions.sequence import seq_hash
 
 SOLVENT = ("W", "NA", "CL")
@@ -68,17 +68,33 @@ def ivw_pool(df: DataFrame, keys: Sequence[str], value: str = "value", se: str =
 
 
 def median_pool(df: DataFrame, keys: Sequence[str], value: str = "value", out: str = "median") -> DataFrame:
-    """Exact median per key from the cumulative counts of distinct values, so no group is gathered."""
+    """Exact median per key.
+
+    Counts per (key, value bucket) show which bucket holds a key's middle; only those rows
+    are ordered, so no group is gathered and most rows are never shuffled.
+    """
     keys = list(keys)
-    present = df.filter(F.col(value).isNotNull())
-    totals = present.groupBy(*keys).agg(F.count("*").alias("_n"))
-    table = value_table(present.select(*keys, value), value, keys)
-    table = table.join(totals, keys)
-    low, high = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
-    upto = F.col("n_below") + F.col("n")
-    holds = lambda pos: (F.col("n_below") < pos) & (pos <= upto)
-    mid = (F.max(F.when(holds(low), F.col(value))) + F.max(F.when(holds(high), F.col(value)))) / 2.0
-    return table.groupBy(*keys).agg(mid.alias(out))
+    present = with_order_bucket(df.filter(F.col(value).isNotNull()).select(*keys, value), value)
+    whole = Window.partitionBy(*keys)
+    sizes = present.groupBy(*keys, BUCKET).agg(F.count("*").alias("_c"))
+    sizes = sizes.withColumns(
+        {
+            "_n": F.sum("_c").over(whole),
+            "_below": F.sum("_c").over(whole.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c"),
+        }
+    )
+    spots = F.array(F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2))
+    held = sizes.withColumn("_spots", F.transform(spots, lambda s: s - F.col("_below"))).filter(
+        F.exists("_spots", lambda s: (s >= 1) & (s <= F.col("_c")))
+    )
+    counted = present.join(held.select(*keys, BUCKET, "_spots"), [*keys, BUCKET]).groupBy(*keys, BUCKET, "_spots", value).agg(
+        F.count("*").alias("_k")
+    )
+    inside = Window.partitionBy(*keys, BUCKET).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("_upto", F.sum("_k").over(inside))
+    covers = lambda s: (s > F.col("_upto") - F.col("_k")) & (s <= F.col("_upto"))
+    weight = F.size(F.filter("_spots", covers))
+    return ranked.groupBy(*keys).agg((F.sum(weight * F.col(value)) / 2.0).alias(out))
 
 
 def completeness(df: DataFrame) -> DataFrame:
@@ -118,9 +134,8 @@ def group_balance(df: DataFrame, arm: str, first: str, second: str, covs: Sequen
 def class_weights(df: DataFrame, y: str) -> DataFrame:
     """n / (k * n_c) for every class c of k."""
     counts = df.groupBy(y).agg(F.count("*").alias("n_class"))
-    whole = counts.agg(F.sum("n_class").alias("n"), F.count("*").alias("k"))
-    weight = F.col("n") / (F.col("k") * F.col("n_class"))
-    return counts.join(F.broadcast(whole), F.lit(True)).select(y, "n_class", weight.alias("weight"))
+    whole = counts.agg(F.struct(F.sum("n_class").alias("n"), F.count("*").alias("k"))).scalar()
+    return counts.select(y, "n_class", (whole["n"] / (whole["k"] * F.col("n_class"))).alias("weight"))
 
 
 def next_run_number(df: DataFrame, keys: Sequence[str], number: str) -> DataFrame:

@@ -86,9 +86,8 @@ def fit_boosted(df: DataFrame, features: Sequence[str], target: str, task: str =
 
 def linear_attribution(df: DataFrame, beta: dict[str, float]) -> DataFrame:
     """`contrib_<feature>` = coefficient times distance from the feature's mean."""
-    means = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in beta])
-    joined = df.join(F.broadcast(means), F.lit(True))  # one row
-    return joined.withColumns({f"contrib_{c}": b * (F.col(c) - F.col(f"_m_{c}")) for c, b in beta.items()}).drop(*means.columns)
+    means = df.agg(F.struct(*[F.avg(c).alias(c) for c in beta])).scalar()
+    return df.withColumns({f"contrib_{c}": b * (F.col(c) - means[c]) for c, b in beta.items()})
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], ident: str, y: str = "y",

@@ -67,10 +67,12 @@ def cumulative_counts(df: DataFrame, y: str = "y", p: str = "p", keys: Sequence[
     keys = list(keys)
     flipped = df.select(*keys, (-F.col(p)).alias("_s"), F.col(y).cast("long").alias("_y"))
     table = ordered.value_table(flipped, "_s", keys, {"pos": F.col("_y"), "neg": 1 - F.col("_y")})
-    totals = df.groupBy(*keys).agg(
-        F.sum(F.col(y).cast("long")).alias("n_pos"), F.sum(1 - F.col(y).cast("long")).alias("n_neg")
-    )
-    joined = table.join(totals, keys) if keys else table.join(F.broadcast(totals), F.lit(True))
+    sums = [F.sum(F.col(y).cast("long")).alias("n_pos"), F.sum(1 - F.col(y).cast("long")).alias("n_neg")]
+    if keys:
+        joined = table.join(df.groupBy(*keys).agg(*sums), keys)
+    else:
+        total = df.agg(F.struct(*sums)).scalar()
+        joined = table.withColumns({"n_pos": total["n_pos"], "n_neg": total["n_neg"]})
     return joined.select(
         *keys, (-F.col("_s")).alias("score"), "pos", "neg",
         (F.col("pos_below") + F.col("pos")).alias("tp"), (F.col("neg_below") + F.col("neg")).alias("fp"), "n_pos", "n_neg",

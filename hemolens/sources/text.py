@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hemolens.functions.scalars import whole_number
+
 LABEL_SCHEMA = "peptide_id string, sequence string, hc50_um double, sequence_length int, name string"
 
 
@@ -28,11 +30,13 @@ def strip(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Tokens between runs of blanks; plain character splits, no regular expression."""
-    return F.array_remove(F.split(F.translate(c, BLANKS[1:], " " * 5), " "), "")
+    for blank in BLANKS[1:]:
+        c = F.replace(c, F.lit(blank), F.lit(" "))
+    return F.array_remove(F.split(c, " "), "")
 
 
 def base_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    return F.substring_index(path, "/", -1)
 
 
 def scan_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -159,7 +163,7 @@ def scan_sections(spark: SparkSession, path: str, section: str | None = None) ->
 
 def molecule_counts(sections: DataFrame) -> DataFrame:
     """(file, line_no, molecule, n) from parsed `molecules` lines; lines without a count are skipped."""
-    n = F.get("tokens", F.lit(1)).try_cast("long")
+    n = whole_number(F.get("tokens", F.lit(1)), "long")
     return sections.select("file", "line_no", F.col("tokens")[0].alias("molecule"), n.alias("n")).filter("n IS NOT NULL")
 
 
