@@ -39,9 +39,11 @@ def with_order_bucket(df: DataFrame, order: str, buckets: int | None = None) ->
     Only the cut points (one per bucket) reach the driver. Null and NaN share one last bucket.
     """
     n = buckets or bucket_count(df)
-    probe = df.select(F.col(order).cast("double").alias("_o"))
-    cuts = probe.approxQuantile("_o", [i / n for i in range(1, n)], 1.0 / (2 * n))
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    number = F.col(order).cast("double")
+    shares = [i / n for i in range(1, n)]
+    cuts = df.agg(F.percentile_approx(F.when(~F.isnan(number), number), shares, 4 * n)).first()[0] or []
+    inner = sorted({c for c in cuts if abs(c) != float("inf")})
+    splits = [float("-inf"), *inner, float("inf")]
     return (
         Bucketizer(splits=splits, inputCol="_order", outputCol="_b", handleInvalid="keep")
         .transform(df.withColumn("_order", F.col(order).cast("double")))
@@ -60,11 +62,6 @@ def with_hash_bucket(df: DataFrame, digest: str, hex_digits: int | None = None)
     return df.withColumn(BUCKET, head.cast("int"))
 
 
-def _before(totals: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)))
-
-
 def running_total(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], values: dict[str, Column | str]
 ) -> DataFrame:
@@ -74,20 +71,19 @@ def running_total(
     row order, so pass a total order or one row per order value.
     """
     keys = list(keys)
-    tmp = {out: f"_v{i}" for i, out in enumerate(values)}
-    prepared = df
-    for out, src in values.items():
-        prepared = prepared.withColumn(tmp[out], F.col(src) if isinstance(src, str) else src)
-    totals = prepared.groupBy(*keys, BUCKET).agg(*[F.sum(v).alias(f"{v}_t") for v in tmp.values()])
-    for v in tmp.values():
-        totals = _before(totals, keys, f"{v}_t", f"{v}_p").drop(f"{v}_t")
-    w = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    for v in tmp.values():
-        prepared = prepared.withColumn(f"{v}_r", F.sum(v).over(w))
-    joined = prepared.join(totals, [*keys, BUCKET])
-    for out, v in tmp.items():
-        joined = joined.withColumn(out, F.col(f"{v}_r") + F.col(f"{v}_p")).drop(v, f"{v}_r", f"{v}_p")
-    return joined.drop(BUCKET)
+    names = {out: f"_v{i}" for i, out in enumerate(values)}
+    prepared = df.withColumns({v: F.col(values[o]) if isinstance(values[o], str) else values[o] for o, v in names.items()})
+    inside = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    totals = prepared.groupBy(*keys, BUCKET).agg(*[F.sum(v).alias(f"{v}_t") for v in names.values()])
+    before = totals.select(
+        *keys, BUCKET, *[F.coalesce(F.sum(f"{v}_t").over(across), F.lit(0)).alias(f"{v}_p") for v in names.values()]
+    )
+    running = prepared.withColumns({f"{v}_r": F.sum(v).over(inside) for v in names.values()})
+    joined = running.join(before, [*keys, BUCKET]).withColumns(
+        {out: F.col(f"{v}_r") + F.col(f"{v}_p") for out, v in names.items()}
+    )
+    return joined.drop(BUCKET, *[f"{v}{end}" for v in names.values() for end in ("", "_r", "_p")])
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], out: str = "rn") -> DataFrame:

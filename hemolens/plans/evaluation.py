@@ -88,8 +88,9 @@ def roc_curve(t):
 
 @query(
     "e12_roc_auc",
-    f"""WITH {PREDICTIONS_SQL} SELECT a.fold, {r6('sum(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END) / count(*)::DOUBLE')} AS auc
-    FROM predictions a JOIN predictions b ON a.fold = b.fold AND a.y = 1 AND b.y = 0 GROUP BY 1""",
+    f"""WITH {PREDICTIONS_SQL}, pairs AS (SELECT a.fold, CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END::DOUBLE AS w
+      FROM predictions a JOIN predictions b ON a.fold = b.fold AND a.y = 1 AND b.y = 0)
+    SELECT f.fold, {r6('avg(w)')} AS auc FROM (SELECT DISTINCT fold FROM predictions) f LEFT JOIN pairs ON f.fold = pairs.fold GROUP BY 1""",
 )
 def roc_auc(t):
     return rounded(ev.roc_auc(t.predictions(), ["fold"]), "auc")
