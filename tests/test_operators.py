@@ -334,3 +334,17 @@ def test_top_k_is_cut_before_the_shuffle(spark):
     top = windows.top_models(df, 2)
     assert plan(top).count("WindowGroupLimit") >= 2 and top.count() == 6
 
+
+
+def test_boosted_and_calibration(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 2))
+    y = (x[:, 0] * x[:, 1] > 0).astype(int)
+    p = 1 / (1 + np.exp(-rng.normal(0, 2, 300)))
+    df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": y, "t": x[:, 0] ** 2, "p": p}))
+    model = models.fit_boosted(df, ["a", "b"], "y", depths=(3,), rates=(0.1,), trees=(8,))
+    scored = model.transform(df).select("y", models.probability().alias("p"))
+    assert ev.roc_auc(scored).first().auc > 0.9
+    drawn = df.select("p").withColumn("y", (F.rand(7) < F.col("p")).cast("int"))
+    line = models.calibration_line(drawn).first()
+    assert 0.6 < line.slope < 1.5 and abs(line.intercept) < 0.6
