@@ -18,11 +18,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hemolens.llm.common import attach, words
+from hemolens.llm.common import LOWER, UPPER, attach, words
 from hemolens.session import cut_lineage
 
 SYMBOLS = "#*$%&|<>"
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_distinct long"
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_distinct long, n_short long, n_capital long, n_latin long"
+LETTERS, CAPITALS = UPPER + LOWER, UPPER
 
 
 def repeated_words(tokens: list[bytes], size: int = 3) -> int:
@@ -54,10 +55,13 @@ def measures(text: str | None) -> tuple[int, ...]:
             copies += line in seen
             seen.add(line)
     raw = text.encode("utf-8", "surrogatepass")
+    latin = len(raw) - len(raw.translate(None, LETTERS.encode()))
+    capital = len(raw) - len(raw.translate(None, CAPITALS.encode()))
     chars = len(b"".join(tokens).decode("utf-8", "surrogatepass"))
     return (
         len(tokens), chars, sum(map(raw.count, (c.encode() for c in SYMBOLS))), copies,
         repeated_words(tokens), lines, len(set(tokens)),
+        sum([len(w) < 4 and (w[0] > 127 or w[:1].isalpha()) for w in tokens]), capital, latin,
     )
 
 
@@ -65,7 +69,7 @@ def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
     """`df` with the `MEASURES` of every whole text; a null text has none of anything."""
 
     def make():
-        return lambda batch: list(zip(*map(measures, batch.column(text).to_pylist()))) or [[]] * 7
+        return lambda batch: list(zip(*map(measures, batch.column(text).to_pylist()))) or [[]] * 10
 
     return attach(df, MEASURES, make)
 
@@ -86,25 +90,26 @@ def default_rules() -> list[Rule]:
     n = F.col("n_words")
     share = lambda c, of=n: 100.0 * F.col(c) / F.greatest(of, F.lit(1))
     mean = F.col("word_chars") / F.greatest(n, F.lit(1))
+    repeats, copies, variety = share("n_repeat_words"), share("n_dup_lines", F.col("n_lines")), share("n_distinct")
+    capitals, short = share("n_capital", F.col("n_latin")), share("n_short")
     return [
-        Rule("length", (n >= 80) & (n <= 100_000), (n < 20) | (n > 100_000)),
-        Rule("word_length", (mean >= 3) & (mean <= 10), (mean < 2) | (mean > 14)),
-        Rule("symbols", share("n_symbols") <= 2, share("n_symbols") > 10),
-        Rule("repeated_lines", share("n_dup_lines", F.col("n_lines")) <= 5, share("n_dup_lines", F.col("n_lines")) > 30),
-        Rule("repeated_words", share("n_repeat_words") <= 10, share("n_repeat_words") > 40),
-        Rule("variety", (share("n_distinct") >= 25) | (n > 2000), (share("n_distinct") < 15) & (n >= 50) & (n <= 2000)),
+        Rule("length", F.lit(False), (n < 20) | (n > 100_000)),
+        Rule("word_length", (mean >= 4) & (mean <= 6.2), (mean < 3) | (mean > 6.6)),
+        Rule("symbols", share("n_symbols") <= 1, share("n_symbols") > 5),
+        Rule("repetition", (repeats <= 10) & (copies <= 10), (repeats > 30) | (copies > 30) | ((variety < 40) & (n < 3000))),
+        Rule("capitals", capitals <= 10, capitals > 30),
+        Rule("short_words", short >= 12, short < 6),
     ]
 
 
 def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, tolerance: float = 1e-10) -> dict:
     """EM for two classes with votes independent given the class; exact on pattern counts.
 
-    `patterns`: (patterns, rules) of 0 bad, 1 abstain, 2 good. Starts from the majority of the
-    votes, which also fixes which class is the good one. Rates are smoothed by one vote.
+    `patterns`: (patterns, rules) of 0 bad, 1 abstain, 2 good. Starts from "any bad vote is
+    bad", which also fixes which class is the good one. Rates are smoothed by one vote.
     """
     rules = patterns.shape[1]
-    balance = (patterns == 2).sum(1) - (patterns == 0).sum(1)
-    good = 1 / (1 + np.exp(-balance.astype(float)))
+    good = np.where((patterns == 0).any(1), 0.1, 0.9)
     onehot = (patterns[:, :, None] == np.arange(3)).astype(float)
     last = -np.inf
     for _ in range(rounds):
