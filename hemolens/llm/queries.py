@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hemolens.llm import pieces, quality_rules
+from hemolens.llm import decontaminate, pieces, quality_rules, secrets
 from hemolens.llm.common import table
 
 QUERIES: dict = {}
@@ -42,3 +42,29 @@ def op7_sentencepiece(spark, sf_dir):
         F.sha2("piece_ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op9_secret_scans(spark, sf_dir):
+    """Secrets of every document: pattern counts and digest, and all spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan_secrets(docs)
+    count = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{name}") for k, name in enumerate(secrets.PATTERNS)],
+        F.sha2(F.encode(secrets.as_text(F.col("base_spans")), "UTF-8"), 256).alias("base_sha256"),
+        secrets.as_text(F.col("secret_spans")).alias("spans"),
+    )
+
+
+@query
+def op1_decontamination(spark, sf_dir):
+    """Benchmark items found in documents, each with its best passage."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"))
+    hit = found.select("doc_id", F.explode("item_hits").alias("hit"))
+    return hit.select(
+        "doc_id", "hit.item_id", "hit.distance", F.col("hit.start").alias("start_at"), F.col("hit.end").alias("end_at"),
+        "hit.item_chars",
+    )
