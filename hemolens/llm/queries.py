@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hemolens.llm import decontaminate, pieces, quality_rules, secrets
+from hemolens.llm import decontaminate, pieces, quality_rules, secrets, substrings
 from hemolens.llm.common import table
 
 QUERIES: dict = {}
@@ -68,3 +68,12 @@ def op1_decontamination(spark, sf_dir):
         "doc_id", "hit.item_id", "hit.distance", F.col("hit.start").alias("start_at"), F.col("hit.end").alias("end_at"),
         "hit.item_chars",
     )
+
+
+@query
+def op10_substring_dedup(spark, sf_dir):
+    """Words left in every document without repeated 20-word windows, as a digest."""
+    left = substrings.without_repeats(table(spark, sf_dir, "documents"), size=20)
+    return left.select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256")
+    )
