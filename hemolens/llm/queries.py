@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hemolens.llm import decontaminate, pieces, quality_rules, secrets, substrings
+from hemolens.llm import decontaminate, jaccard, pieces, quality_rules, secrets, substrings
 from hemolens.llm.common import table
 
 QUERIES: dict = {}
@@ -77,3 +77,9 @@ def op10_substring_dedup(spark, sf_dir):
     return left.select(
         "doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256")
     )
+
+
+@query
+def op4_jaccard_join(spark, sf_dir):
+    """Groups of documents that share nine tenths of their three-word shingles."""
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"), size=3, percent=90)
