@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hemolens.llm import decontaminate, jaccard, pieces, quality_rules, secrets, substrings
+from hemolens.llm import decontaminate, jaccard, language, pieces, quality_rules, secrets, substrings
 from hemolens.llm.common import table
 
 QUERIES: dict = {}
@@ -83,3 +83,22 @@ def op10_substring_dedup(spark, sf_dir):
 def op4_jaccard_join(spark, sf_dir):
     """Groups of documents that share nine tenths of their three-word shingles."""
     return jaccard.similar_groups(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+@query
+def op2_language_id(spark, sf_dir):
+    """Language of every document, and whether it is kept."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return language.identify_documents(docs).select(
+        "doc_id", "text_language", "language", F.round("language_posterior", 6).alias("posterior"),
+        F.col("language_kept").alias("kept"),
+    )
+
+
+@query
+def pages_language_id(spark, sf_dir):
+    """Language of every raw page, from its text, markup, address suffix and host."""
+    return language.identify_pages(table(spark, sf_dir, "pages")).select(
+        "page_id", "text_language", "language", F.round("language_posterior", 6).alias("posterior"),
+        F.col("language_kept").alias("kept"),
+    )
