@@ -4,8 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hemolens.llm import decontaminate, jaccard, language, pieces, quality_rules, secrets, substrings
+from hemolens.llm import (
+    cotraining,
+    decontaminate,
+    jaccard,
+    language,
+    pieces,
+    quality_rules,
+    secrets,
+    substrings,
+    token_counts,
+)
 from hemolens.llm.common import table
+from hemolens.session import cut_lineage, scratch_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +113,51 @@ def pages_language_id(spark, sf_dir):
         "page_id", "text_language", "language", F.round("language_posterior", 6).alias("posterior"),
         F.col("language_kept").alias("kept"),
     )
+
+
+@query
+def op6_token_counts(spark, sf_dir):
+    """Rollup after all documents came in, those with runs of blanks were recounted, and toxic ones left.
+
+    The second batch revises counts to those of the text with runs of spaces as one; the third
+    deletes what is labelled toxic. Every batch is sent twice, as after a lost answer.
+    """
+    import public_tokenizers
+
+    ranks, version = token_counts.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
+    docs = docs.withColumn("squeezed", F.regexp_replace("text", " {2,}", " "))
+    counted = token_counts.count_tokens(
+        docs.withColumn("squeezed", F.when(F.col("squeezed") != F.col("text"), F.col("squeezed"))), ranks,
+        public_tokenizers.PATTERN, {"n_raw": "text", "n_squeezed": "squeezed"},
+    )
+    ledger = cut_lineage(
+        counted.select(
+            "doc_id", "source", "lang", F.lit(version).alias("tokenizer"), "n_raw", F.col("squeezed").isNotNull().alias("again"),
+            F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("raw_chars"),
+            F.when(F.col("squeezed").isNull(), F.col("n_raw")).otherwise(F.col("n_squeezed")).alias("n_now"),
+            F.coalesce(F.length("squeezed"), F.length("text"), F.lit(0)).cast("long").alias("now_chars"),
+        )
+    )
+    was = {"n_tokens": F.col("n_raw"), "n_chars": F.col("raw_chars")}
+    now = {"n_tokens": F.col("n_now"), "n_chars": F.col("now_chars")}
+    old = {f"old_{k}": F.col(k) for k in token_counts.KEYS}
+    rollup = token_counts.Rollup(spark, scratch_path(spark, "rollup"))
+    for _ in range(2):
+        rollup.commit("load", ledger.withColumns({"op": F.lit("insert"), **was}))
+        rollup.commit(
+            "squeeze",
+            ledger.filter("again").withColumns(
+                {"op": F.lit("revise"), **now, **old, "old_n_tokens": F.col("n_raw"), "old_n_chars": F.col("raw_chars")}
+            ),
+        )
+        gone = ledger.join(toxic, "doc_id", "left_semi")
+        rollup.commit("toxic", gone.withColumns({"op": F.lit("delete"), **now}))
+    return rollup.totals()
+
+
+@query
+def op5_quality_classifier(spark, sf_dir):
+    """Co-trained quality probability of every document."""
+    return cotraining.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
