@@ -13,9 +13,8 @@ unlabelled ones, chosen by a hash of the id. Scoring covers all documents and ne
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import FeatureHasher, HashingTF, Normalizer
+from pyspark.ml.feature import IDF, FeatureHasher, HashingTF, IDFModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,23 +41,24 @@ def meta_columns() -> dict[str, Column]:
     }
 
 
-def featurised(docs: DataFrame) -> DataFrame:
-    """`docs` with the sparse vectors `_text_x` and `_meta_x`."""
+def featurised(docs: DataFrame, rarity=None) -> tuple[DataFrame, IDFModel]:
+    """`docs` with the sparse vectors `_text_x` and `_meta_x`, and the model of how rare terms are.
+
+    Rarity is fitted on `docs` where none is given; give it for all but the labelled sample.
+    """
     meta = meta_columns()
-    steps = Pipeline(stages=[
-        HashingTF(numFeatures=TEXT_BINS, inputCol="_terms", outputCol="_tf"),
-        Normalizer(p=2.0, inputCol="_tf", outputCol="_text_x"),
-        FeatureHasher(numFeatures=META_BINS, inputCols=list(meta), outputCol="_meta_x"),
-    ])
-    prepared = docs.withColumn("_terms", text_terms(F.col("text"))).withColumns(meta)
-    model: PipelineModel = steps.fit(prepared)  # nothing is learned here
-    return model.transform(prepared).drop("_terms", "_tf", *meta)
+    counts = HashingTF(numFeatures=TEXT_BINS, binary=True, inputCol="_terms", outputCol="_tf")
+    rows = counts.transform(docs.withColumn("_terms", text_terms(F.col("text"))).withColumns(meta))
+    rows = FeatureHasher(numFeatures=META_BINS, inputCols=list(meta), outputCol="_meta_x").transform(rows)
+    rarity = rarity or IDF(inputCol="_tf", outputCol="_rare").fit(rows)
+    rows = Normalizer(p=2.0, inputCol="_rare", outputCol="_text_x").transform(rarity.transform(rows))
+    return rows.drop("_terms", "_tf", "_rare", *meta), rarity
 
 
 def fit_view(rows: DataFrame, features: str, rounds: int) -> LogisticRegressionModel:
     """`rows` has y, w and the features; the weights make both classes count alike."""
     return LogisticRegression(
-        featuresCol=features, labelCol="y", weightCol="w", maxIter=rounds, regParam=1e-4, standardization=False,
+        featuresCol=features, labelCol="y", weightCol="w", maxIter=rounds, regParam=1e-5, standardization=False,
         probabilityCol=f"{features}_p", rawPredictionCol=f"{features}_r", predictionCol=f"{features}_d",
     ).fit(rows)
 
@@ -91,7 +91,7 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-3
 
 def score_quality(
     docs: DataFrame, labels: DataFrame, rounds: int = 2, sure: float = 0.95, most_labelled: int = 8_000,
-    most_pool: int = 8_000, steps: int = 15, least: float = 0.5,
+    most_pool: int = 8_000, steps: int = 20, least: float = 0.5,
 ) -> DataFrame:
     """Per row of `docs`: doc_id, `text_score`, `meta_score`, `score` (probabilities) and `kept`.
 
@@ -107,7 +107,8 @@ def score_quality(
     marks = y.filter(draw("labelled") < min(1.0, most_labelled / max(n_labels, 1)))
     base = docs.select("doc_id", "text", "lang", "source", "n_chars")
     bounded = F.broadcast(cut_lineage(marks))  # about `most_labelled` rows
-    labelled = cut_lineage(featurised(base.join(bounded, "doc_id")).withColumn("held", draw("held") < 0.25).drop("text"))
+    rows, rarity = featurised(base.join(bounded, "doc_id"))
+    labelled = cut_lineage(rows.withColumn("held", draw("held") < 0.25).drop("text"))
     found = {r[0] for r in labelled.filter("not held").select("y").distinct().collect()}
     held = {r[0] for r in labelled.filter("held").select("y").distinct().collect()}
     if len(found) < 2 or len(held) < 2:
@@ -116,7 +117,7 @@ def score_quality(
         one = {c: F.lit(float(p)) for c in ("text_score", "meta_score", "score")}
         return base.select("doc_id").withColumns({**one, "kept": F.lit(p >= least)})
     pool = base.filter((draw("pool") < most_pool / max(n_docs, 1)) & F.col("doc_id").isNotNull())
-    pool = cut_lineage(featurised(pool.join(bounded.select("doc_id"), "doc_id", "left_anti")).drop("text"))
+    pool = cut_lineage(featurised(pool.join(bounded.select("doc_id"), "doc_id", "left_anti"), rarity)[0].drop("text"))
     start = labelled.filter("not held").select("y", "_text_x", "_meta_x")
     edge = float(np.log(sure / (1 - sure)))
     for_text = for_meta = start
@@ -134,7 +135,7 @@ def score_quality(
     ty, tt, tm = sample.T
     of_text, of_meta = logistic(tt[:, None], ty), logistic(tm[:, None], ty)
     both = logistic(np.column_stack([of_text[0] + of_text[1] * tt, of_meta[0] + of_meta[1] * tm]), ty)
-    scored = log_odds(log_odds(featurised(base), text_model, "_t"), meta_model, "_m")
+    scored = log_odds(log_odds(featurised(base, rarity)[0], text_model, "_t"), meta_model, "_m")
     line = lambda b, c: F.lit(float(b[0])) + F.lit(float(b[1])) * F.col(c)
     p = lambda z: 1.0 / (1.0 + F.exp(-z))
     total = F.lit(float(both[0])) + F.lit(float(both[1])) * line(of_text, "_t") + F.lit(float(both[2])) * line(of_meta, "_m")
