@@ -60,7 +60,9 @@ def shingle_hashes(codes: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
-def attach(df: DataFrame, columns: str, make: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
+def attach(
+    df: DataFrame, columns: str, make: Callable[[], Callable[[pa.RecordBatch], list]], rows: int = ROWS_A_STEP
+) -> DataFrame:
     """`df` and the new `columns` (DDL), made row by row: no shuffle, a bounded step at a time.
 
     `make()` runs once a task and returns the function from a record batch to one list or
@@ -76,8 +78,8 @@ def attach(df: DataFrame, columns: str, make: Callable[[], Callable[[pa.RecordBa
 
         f, kinds = make(), [to_arrow_type(x.dataType) for x in new.fields]
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS_A_STEP):
-                part = batch.slice(start, ROWS_A_STEP)
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
                 made = [pa.array(v, k) if not isinstance(v, pa.Array) else v for v, k in zip(f(part), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names)
 
