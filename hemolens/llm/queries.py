@@ -9,6 +9,7 @@ from hemolens.llm import (
     decontaminate,
     jaccard,
     language,
+    lm,
     pieces,
     quality_rules,
     secrets,
@@ -161,3 +162,9 @@ def op6_token_counts(spark, sf_dir):
 def op5_quality_classifier(spark, sf_dir):
     """Co-trained quality probability of every document."""
     return cotraining.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op8_lm_scoring(spark, sf_dir):
+    """Unigram and recurrent log-probabilities of every document."""
+    return lm.score_documents(table(spark, sf_dir, "documents"))
