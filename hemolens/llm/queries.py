@@ -10,6 +10,7 @@ from hemolens.llm import (
     jaccard,
     language,
     lm,
+    oracles,
     pieces,
     quality_rules,
     secrets,
@@ -20,7 +21,7 @@ from hemolens.llm.common import table
 from hemolens.session import cut_lineage, scratch_path
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
 
 
 def query(fn):

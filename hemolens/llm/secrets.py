@@ -37,8 +37,7 @@ ALLOWED = (
     r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"(?i)example|sample|placeholder|dummy|changeme|your[_-]",
     r"(?i)^(sha|md5)[0-9]*[-=_]",
-    r"(.)\1{7}",
-    r"0123456789|(?i)abcdefghij",
+    r"(?i)0123456789|abcdefghij",
 )
 ENTROPY = "entropy"
 SPAN = "array<struct<start:int,kind:int,end:int>>"
