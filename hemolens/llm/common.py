@@ -51,13 +51,33 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
 def shingle_hashes(codes: np.ndarray, size: int) -> np.ndarray:
-    """One 64-bit hash for every run of `size` word codes."""
+    """One 64-bit hash for every run of `size` word codes, put together from runs of powers of two."""
     n = len(codes) - size + 1
-    h = np.full(max(n, 0), size, np.uint64)
-    for j in range(size):
-        h = mix(h + codes[j : j + n])
-    return h
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    run, width, at, out = mix(codes), 1, 0, None
+    while True:
+        if size & width:
+            part = run[at : at + n]
+            out = part if out is None else mix(out * FACTOR + part)
+            at += width
+        if width * 2 > size:
+            return out
+        run = mix(run[:-width] * FACTOR + run[width:])
+        width *= 2
+
+
+def running_minimum(values: np.ndarray, size: int) -> np.ndarray:
+    """Least of every `size` neighbours."""
+    width = 1
+    while width * 2 <= size:
+        values = np.minimum(values[:-width], values[width:])
+        width *= 2
+    return np.minimum(values[: len(values) - (size - width)], values[size - width :]) if size > width else values
 
 
 def attach(

@@ -14,7 +14,6 @@ that it holds twice. No bucket then depends on how often one passage occurs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,19 +21,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hemolens.llm.common import WordHash, attach, mix, shingle_hashes, words
+from hemolens.llm.common import WordHash, attach, mix, running_minimum, shingle_hashes, words
 from hemolens.session import cut_lineage
 
 MER = 4
-BUCKET_BYTES = 24_000_000
+BUCKET_BYTES = 12_000_000
 SLOTS = 1 << 24
 MOST_HEAVY = 1_000_000
 
 
 def minimisers(codes: np.ndarray, size: int) -> np.ndarray:
     """Least hash of a run of `MER` words in every window of `size` words."""
-    mers = mix(shingle_hashes(codes, min(MER, size)))
-    return np.lib.stride_tricks.sliding_window_view(mers, size - min(MER, size) + 1).min(axis=1)
+    mers = shingle_hashes(codes, min(MER, size))
+    return running_minimum(mers, size - min(MER, size) + 1)
 
 
 def stretches(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,8 +72,17 @@ def volume(docs: DataFrame, text: str, size: int) -> DataFrame:
 
 
 def pack(rows: list[tuple]) -> bytes:
-    """Stretches as one compressed block: JSON-free, fields by tab, a stretch a line."""
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([b"%d\t%d\t%d\t%s\n" % r for r in rows]))
+    """Stretches (doc, first window, windows, packed words) as one compressed block."""
+    doc, start, n, packed = zip(*rows)
+    numbers = [np.array([len(rows)], np.int64), np.array(doc, np.int64), np.array(start, np.int64), np.array(n, np.int64)]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([x.tobytes() for x in numbers]) + b" ".join(packed))
+
+
+def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(block)
+    rows = int(np.frombuffer(raw, np.int64, 1)[0])
+    doc, start, n = np.frombuffer(raw, np.int64, 3 * rows, 8).reshape(3, rows)
+    return doc, start, n, raw[8 + 24 * rows :]
 
 
 def send(docs: DataFrame, id_col: str, text: str, size: int, buckets: int, heavy: frozenset) -> DataFrame:
@@ -111,6 +119,8 @@ def send(docs: DataFrame, id_col: str, text: str, size: int, buckets: int, heavy
                         mine = (doc, start, n, where)
                         other = seen.setdefault(packed, mine)
                         if other is not mine:
+                            if mine[:2] == other[:2]:
+                                continue
                             if mine < other:
                                 seen[packed], mine = mine, other
                             known.append((mine[0], mine[1], mine[2], b""))
@@ -128,59 +138,61 @@ def send(docs: DataFrame, id_col: str, text: str, size: int, buckets: int, heavy
     return docs.select(id_col, text).mapInArrow(run, "bucket long, block binary")
 
 
-def unpack(block: bytes) -> Iterator[tuple[int, int, int, bytes]]:
-    for line in zstandard.ZstdDecompressor().decompress(block).split(b"\n")[:-1]:
-        doc, start, n, packed = line.split(b"\t")
-        yield int(doc), int(start), int(n), packed
+class Numbers(dict):
+    """word -> number in order of appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
 
 
-def repeats(blocks: list[bytes], size: int) -> Iterator[tuple[int, int]]:
-    """(doc, start) of every window in a bucket that starts earlier elsewhere."""
-    number: dict[bytes, int] = {}
-    codes, docs, starts, at = [], [], [], []
-    length = 0
+def repeats(blocks: list[bytes], size: int) -> np.ndarray:
+    """(doc, start) rows of the windows in a bucket that start earlier elsewhere."""
+    number, codes, docs, starts, at, length = Numbers(), [], [], [], [], 0
     for block in blocks:
-        for doc, start, n, packed in unpack(block):
-            tokens = packed.split(b" ")
-            codes.append(np.fromiter([number.setdefault(w, len(number)) for w in tokens], np.int64, len(tokens)))
-            docs.append(np.full(n, doc, np.int64))
-            starts.append(np.arange(start, start + n))
-            at.append(np.arange(length, length + n))
-            length += len(tokens)
-    if not at:
-        return
+        doc, start, n, packed = unpack(block)
+        tokens = packed.split(b" ")
+        codes.append(np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens)))
+        before = np.cumsum(n) - n
+        inner = np.arange(int(n.sum())) - np.repeat(before, n)  # 0.. within each stretch
+        docs.append(np.repeat(doc, n))
+        starts.append(np.repeat(start, n) + inner)
+        at.append(length + np.repeat(before + np.arange(len(n)) * (size - 1), n) + inner)
+        length += len(tokens)
     code, doc, start, at = map(np.concatenate, (codes, docs, starts, at))
     key = shingle_hashes(code.astype(np.uint64), size)[at]
-    order = np.lexsort((start, doc, key))
-    key, doc, start, at = key[order], doc[order], start[order], at[order]
-    fresh = np.concatenate(([True], key[1:] != key[:-1]))
-    shared = np.flatnonzero(~(fresh & np.concatenate((fresh[1:], [True]))))  # windows whose key is not alone
+    order = np.argsort(key)
+    ranked = key[order]
+    fresh = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+    shared = order[~(fresh & np.concatenate((fresh[1:], [True])))]  # windows whose hash is not alone
     if not len(shared):
-        return
-    head = np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))[shared]
+        return np.empty((0, 2), np.int64)
+    shared = shared[np.lexsort((start[shared], doc[shared], key[shared]))]
+    fresh = np.concatenate(([True], key[shared][1:] != key[shared][:-1]))
+    head = shared[np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))]
     same = np.ones(len(shared), bool)
     for k in range(size):
         same &= code[at[shared] + k] == code[at[head] + k]
     if same.all():
-        for i in shared[~fresh[shared]].tolist():
-            yield int(doc[i]), int(start[i])
-        return
-    first: dict[bytes, int] = {}  # two windows with one hash: by their words
-    for i in shared.tolist():
-        window = code[at[i] : at[i] + size].tobytes()
-        if first.setdefault(window, i) != i:
-            yield int(doc[i]), int(start[i])
-
-
-def runs(pairs: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Window starts of each document as (first, count) runs, packed as 32-bit numbers."""
+        late = shared[~fresh & ((doc[shared] != doc[head]) | (start[shared] != start[head]))]
+    else:  # two windows with one hash: go by their words
+        first: dict[bytes, int] = {}
+        late = []
+        for i in shared.tolist():
+            j = first.setdefault(code[at[i] : at[i] + size].tobytes(), i)
+            if (doc[i], start[i]) != (doc[j], start[j]):
+                late.append(i)
+    return np.column_stack((doc[late], start[late]))
+
+
+def runs(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, first, count) of the runs of consecutive window starts."""
     order = np.lexsort((pairs[:, 1], pairs[:, 0]))
     doc, start = pairs[order, 0], pairs[order, 1]
     cut = np.flatnonzero((doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)) + 1
     first = np.concatenate(([0], cut))
     last = np.concatenate((cut, [len(doc)])) - 1
-    for a, b in zip(first.tolist(), last.tolist()):
-        yield int(doc[a]), int(start[a]), int(start[b] - start[a] + 1)
+    return doc[first], start[first], start[last] - start[first] + 1
 
 
 def repeated_windows(docs: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
@@ -197,12 +209,12 @@ def repeated_windows(docs: DataFrame, id_col: str, text: str, size: int) -> Data
     def find(batches):
         def done(bucket, blocks):
             if bucket == -1:
-                pairs = [(d, s + k) for block in blocks for d, s, n, _ in unpack(block) for k in range(n)]
+                found = unpack(blocks[0])[:3]
             else:
-                pairs = list(repeats(blocks, size))
-            if pairs:
-                found = list(runs(np.array(pairs, np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["doc", "start", "windows"])
+                pairs = repeats(blocks, size)
+                found = runs(pairs) if len(pairs) else ([],)
+            if len(found[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["doc", "start", "windows"])
 
         bucket, blocks = None, []
         for batch in batches:
