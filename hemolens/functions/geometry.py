@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hemolens.functions.ordered import join_all
+
 AXES = ("x", "y", "z")
 
 
@@ -14,7 +16,7 @@ def center(df: DataFrame, key: Sequence[str] | str) -> DataFrame:
     """Subtract each group's centroid; the centroids are one small row per group."""
     keys = [key] if isinstance(key, str) else list(key)
     means = df.groupBy(*keys).agg(*[F.avg(a).alias(f"_{a}") for a in AXES])
-    shifted = df.join(means, keys).withColumns({a: F.col(a) - F.col(f"_{a}") for a in AXES})
+    shifted = join_all(df, means, keys).withColumns({a: F.col(a) - F.col(f"_{a}") for a in AXES})
     return shifted.drop(*[f"_{a}" for a in AXES])
 
 

@@ -7,20 +7,32 @@ border (a sum, a last row, a last value) comes from a table with one row per
 (key, bucket). Buckets are quantiles of the order column over all rows, so no
 (key, bucket) group is larger than its bucket's share of the table.
 
-Key columns must not be null.
+Null keys, like null order and ranked values, are a group of their own: no row is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 BUCKET = "_bucket"
 
 
+def join_all(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join in which nulls match nulls; `on` comes from the left side."""
+    if not on:
+        return left.join(right, how=how)  # one row on the right: the whole table is the group
+    renamed = right.withColumnsRenamed({c: f"_on_{i}" for i, c in enumerate(on)})
+    match = reduce(lambda a, b: a & b, [F.col(f"_l_{i}").eqNullSafe(F.col(f"_on_{i}")) for i in range(len(on))])
+    sides = left.withColumns({f"_l_{i}": F.col(c) for i, c in enumerate(on)})
+    return sides.join(renamed, match, how).drop(*[f"{p}{i}" for i in range(len(on)) for p in ("_l_", "_on_")])
+
+
 def bucket_count(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -33,23 +45,38 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     return df.repartition(bucket_count(df), *cols)
 
 
-def with_order_bucket(df: DataFrame, order: str, buckets: int | None = None) -> DataFrame:
+def with_order_bucket(df: DataFrame, order: str, buckets: int | None = None, tie: str | None = None) -> DataFrame:
     """Add `_bucket`, rising with the numeric column `order`; one pass over that column.
 
     Only the cut points (one per bucket) reach the driver. Null and NaN share one last bucket.
+    A value that fills several buckets is one bucket, unless a numeric column `tie` is given
+    that orders equal values: then it is cut along that, in a second pass.
     """
     n = buckets or bucket_count(df)
     number = F.col(order).cast("double")
     shares = [i / n for i in range(1, n)]
     cuts = df.agg(F.percentile_approx(F.when(~F.isnan(number), number), shares, 4 * n)).first()[0] or []
     inner = sorted({c for c in cuts if abs(c) != float("inf")})
+    often = {c: cuts.count(c) for c in inner if cuts.count(c) > 1} if tie and isinstance(df.schema[tie].dataType, NumericType) else {}
     splits = [float("-inf"), *inner, float("inf")]
-    return (
+    out = (
         Bucketizer(splits=splits, inputCol="_order", outputCol="_b", handleInvalid="keep")
         .transform(df.withColumn("_order", F.col(order).cast("double")))
         .withColumn(BUCKET, F.col("_b").cast("int"))
         .drop("_order", "_b")
     )
+    if not often:
+        return out
+    second = F.col(tie).cast("double")
+    parts = [
+        F.percentile_approx(F.when(number == c, second), [i / k for i in range(1, k)], 4 * n).alias(f"c{j}")
+        for j, (c, k) in enumerate(often.items())
+    ]
+    within = F.lit(n)  # larger values of the same bucket come after the ties
+    for c, inside in zip(often, df.agg(*parts).first()):
+        steps = [F.when(second >= x, 1).otherwise(0) for x in sorted(set(inside or []))]
+        within = F.when(number == c, reduce(lambda a, b: a + b, steps, F.lit(0))).otherwise(within)
+    return out.withColumn(BUCKET, F.col(BUCKET) * (n + 1) + within)
 
 
 def with_hash_bucket(df: DataFrame, digest: str, hex_digits: int | None = None) -> DataFrame:
@@ -80,7 +107,7 @@ def running_total(
         *keys, BUCKET, *[F.coalesce(F.sum(f"{v}_t").over(across), F.lit(0)).alias(f"{v}_p") for v in names.values()]
     )
     running = prepared.withColumns({f"{v}_r": F.sum(v).over(inside) for v in names.values()})
-    joined = running.join(before, [*keys, BUCKET]).withColumns(
+    joined = join_all(running, before, [*keys, BUCKET]).withColumns(
         {out: F.col(f"{v}_r") + F.col(f"{v}_p") for out, v in names.items()}
     )
     return joined.drop(BUCKET, *[f"{v}{end}" for v in names.values() for end in ("", "_r", "_p")])
@@ -110,7 +137,7 @@ def neighbour(
         .agg(edge(packed, F.struct(*order)).alias("_edge"))
         .withColumn("_edge", step("_edge").over(across))
     )
-    out = df.withColumn("_near", step(packed).over(inside)).join(edges, [*keys, BUCKET])
+    out = join_all(df.withColumn("_near", step(packed).over(inside)), edges, [*keys, BUCKET])
     near = F.coalesce(F.col("_near"), F.col("_edge"))
     return out.withColumns({o: near[o] for o in values}).drop("_near", "_edge", BUCKET)
 
@@ -130,8 +157,7 @@ def fill_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
         .drop("_last")
     )
     return (
-        df.withColumn("_here", F.last(value, ignorenulls=True).over(inside))
-        .join(lasts, [*keys, BUCKET])
+        join_all(df.withColumn("_here", F.last(value, ignorenulls=True).over(inside)), lasts, [*keys, BUCKET])
         .withColumn(out, F.coalesce("_here", "_carry"))
         .drop("_here", "_carry", BUCKET)
     )
@@ -164,4 +190,4 @@ def average_rank(df: DataFrame, value: str, keys: Sequence[str] = (), out: str =
     ranks = value_table(df, value, keys).select(
         *keys, value, (F.col("n_below") + (F.col("n") + 1) / 2.0).alias(out)
     )
-    return df.join(ranks, [*keys, value])
+    return join_all(df, ranks, [*keys, value])

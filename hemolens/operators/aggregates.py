@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hemolens.functions.ordered import BUCKET, with_order_bucket
+from hemolens.functions.ordered import BUCKET, join_all, with_order_bucket
 from hemolens.functions.sequence import seq_hash
 
 SOLVENT = ("W", "NA", "CL")
@@ -106,7 +106,7 @@ def zscore_outliers(df: DataFrame, keys: Sequence[str], value: str = "value", li
     """Rows further than `limit` sample sds from their group's mean."""
     stats = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
     z = F.try_divide(F.col(value) - F.col("_m"), F.col("_s"))
-    return df.join(stats, list(keys)).withColumn("zscore", z).drop("_m", "_s").filter(F.abs("zscore") > limit)
+    return join_all(df, stats, list(keys)).withColumn("zscore", z).drop("_m", "_s").filter(F.abs("zscore") > limit)
 
 
 def disparate_impact(df: DataFrame, group: str, favourable: Column, tolerance: float = 0.1) -> DataFrame:
@@ -158,19 +158,17 @@ def status_counts(df: DataFrame, key: str, statuses: Sequence[str], status: str
 
 
 def dedupe_sequences(df: DataFrame, ident: str = "peptide_id", seq: str = "sequence", source: str = "source") -> DataFrame:
-    """One row per sequence hash: the lowest id, with the sources of all its copies.
+    """One row per sequence hash: the row with the lowest id, with the sources of all its copies.
 
-    Only hashes, ids and distinct sources are shuffled; the kept rows are fetched by id.
+    Ids may repeat, within a source and across sources: rows are told apart by their hash, and
+    equal ids of one sequence by their other columns. Copies are merged before the shuffle.
     """
-    per_source = (
-        df.select(seq_hash(F.col(seq)).alias("seq_hash"), ident, source)
-        .groupBy("seq_hash", source)
-        .agg(F.min(ident).alias("_id"), F.count("*").alias("_n"))
+    carried = [c for c in df.columns if c not in (ident, source)]
+    kept = df.groupBy(seq_hash(F.col(seq)).alias("seq_hash")).agg(
+        F.min(F.struct(ident, *carried)).alias("_row"), F.count("*").alias("copies"),
+        F.array_sort(F.collect_set(source)).alias("sources"),
     )
-    kept = per_source.groupBy("seq_hash").agg(
-        F.min("_id").alias(ident), F.sum("_n").alias("copies"), F.array_sort(F.collect_set(source)).alias("sources")
-    )
-    return df.drop(source).join(kept, ident)
+    return kept.select("_row.*", "seq_hash", "copies", "sources")
 
 
 def fold_stability(df: DataFrame, keys: Sequence[str], metric: str) -> DataFrame:

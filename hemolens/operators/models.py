@@ -47,8 +47,8 @@ def fit_logistic_ridge(df: DataFrame, features: Sequence[str], ident: str, y: st
                        grid: Sequence[float] = (0.01, 0.1, 1.0), outer: int = 5, inner: int = 3) -> DataFrame:
     """Out-of-fold predictions (id, fold, y, p, ridge) of nested stratified cross-validation.
 
-    Every outer fold picks its penalty on the inner folds of its training rows. The loop
-    is over folds; each fit is a distributed job.
+    Every outer fold picks its penalty on the inner folds of its training rows; scaling is part
+    of what is fitted on each inner fold. The loop is over folds; each fit is a distributed job.
     """
     folded = cut_lineage(stratified_folds(df.select(ident, y, *features), y, ident, outer, inner))
     parts = []
@@ -56,11 +56,12 @@ def fit_logistic_ridge(df: DataFrame, features: Sequence[str], ident: str, y: st
         train, test = folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)
         lr = LogisticRegression(featuresCol="_features", labelCol=y, elasticNetParam=0.0, maxIter=50)
         search = CrossValidator(
-            estimator=lr, estimatorParamMaps=ParamGridBuilder().addGrid(lr.regParam, list(grid)).build(),
-            evaluator=BinaryClassificationEvaluator(labelCol=y), numFolds=inner, foldCol="inner_fold",
+            estimator=Pipeline(stages=[*_scaled(features), lr]),
+            estimatorParamMaps=ParamGridBuilder().addGrid(lr.regParam, list(grid)).build(),
+            evaluator=BinaryClassificationEvaluator(labelCol=y), numFolds=inner, foldCol="inner_fold", parallelism=len(grid),
         )
-        fitted = Pipeline(stages=[*_scaled(features), search]).fit(train)
-        ridge = fitted.stages[-1].bestModel.getRegParam()
+        fitted = search.fit(train).bestModel
+        ridge = fitted.stages[-1].getRegParam()
         scored = fitted.transform(test)
         parts.append(scored.select(ident, "fold", F.col(y).alias("y"), probability().alias("p"), F.lit(ridge).alias("ridge")))
     return reduce(DataFrame.unionByName, parts)
@@ -84,9 +85,19 @@ def fit_boosted(df: DataFrame, features: Sequence[str], target: str, task: str =
     return Pipeline(stages=[_scaled(features)[0], search]).fit(training_table(df, [*features, target]))
 
 
-def linear_attribution(df: DataFrame, beta: dict[str, float]) -> DataFrame:
-    """`contrib_<feature>` = coefficient times distance from the feature's mean."""
-    means = df.agg(F.struct(*[F.avg(c).alias(c) for c in beta])).scalar()
+def exact_means(df: DataFrame, columns: Sequence[str], digits: int) -> dict[str, float]:
+    """Means of columns of `digits` decimals, from exact sums: no order of addition changes them."""
+    sums = [F.sum(F.col(c).cast(f"decimal(28,{digits})")).cast("double") / F.count(c) for c in columns]
+    return df.agg(*[m.alias(c) for m, c in zip(sums, columns)]).first().asDict()
+
+
+def linear_attribution(df: DataFrame, beta: dict[str, float], means: dict[str, float] | None = None) -> DataFrame:
+    """`contrib_<feature>` = coefficient times distance from the feature's mean.
+
+    `means` are those of the rows that the coefficients were fitted on; by default those of `df`.
+    """
+    means = means or df.agg(F.struct(*[F.avg(c).alias(c) for c in beta])).first()[0].asDict()
+    means = {c: F.lit(m) for c, m in means.items()}
     return df.withColumns({f"contrib_{c}": b * (F.col(c) - means[c]) for c, b in beta.items()})
 
 
@@ -160,5 +171,6 @@ def score_batch(model: PipelineModel, peptides: DataFrame, features: Sequence[st
     if not explain:
         return out
     coefficients = model.stages[-1].coefficients
-    spread = model.stages[1].std
-    return linear_attribution(out, {c: float(b) / float(s or 1.0) for c, b, s in zip(features, coefficients, spread)})
+    scaler = model.stages[1]
+    beta = {c: float(b) / float(s or 1.0) for c, b, s in zip(features, coefficients, scaler.std)}
+    return linear_attribution(out, beta, {c: float(m) for c, m in zip(features, scaler.mean)})

@@ -25,7 +25,7 @@ def stratified_split(df: DataFrame, strata: str, ident: str, parts: dict[str, fl
     """Add `split`; each stratum is cut at the rounded cumulative shares, so parts are exact per stratum."""
     parts = parts or {"train": 0.70, "val": 0.15, "test": 0.15}
     sizes = df.groupBy(strata).agg(F.count("*").alias("_n"))
-    placed = hash_order(df, [strata], ident, seed).join(sizes, strata)
+    placed = ordered.join_all(hash_order(df, [strata], ident, seed), sizes, [strata])
     split, upto, names = None, 0.0, list(parts)
     for name in names[:-1]:
         upto += parts[name]
@@ -48,12 +48,12 @@ def stratified_folds(df: DataFrame, strata: str, ident: str, k: int = 5, inner:
 def leave_one_group_out(df: DataFrame, group: str) -> DataFrame:
     """Add `fold`: groups numbered from 1 in the order of their md5; only the distinct groups are ordered."""
     groups = hash_order(df.select(group).distinct(), [], group, "group", "fold")
-    return df.join(groups, group)
+    return ordered.join_all(df, groups, [group])
 
 
 def hc50_bins(df: DataFrame, q: int, value: str = "hc50_um", ident: str = "peptide_id") -> DataFrame:
     """Add `bin` 1..q of near-equal size along the value (ties by id), larger bins first."""
-    placed = ordered.row_numbers(ordered.with_order_bucket(df, value), [], [value, ident], "_i")
+    placed = ordered.row_numbers(ordered.with_order_bucket(df, value, tie=ident), [], [value, ident], "_i")
     n = df.agg(F.count("*")).scalar()
     small, extra = F.floor(n / q), n % q
     head = extra * (small + 1)

@@ -136,13 +136,22 @@ def thickness_map(heads: DataFrame, keys: Sequence[str], upper: Column, cell: fl
 
 
 def thickness_contrast(cells: DataFrame, peptide: DataFrame, keys: Sequence[str], cell: float, radius: float) -> DataFrame:
-    """Mean thickness near the peptide COM (cell centres within `radius` in xy), elsewhere, and the difference."""
-    joined = cells.join(peptide.select(*keys, F.col("x").alias("_px"), F.col("y").alias("_py")), list(keys))
-    dx = (F.col("cx") + 0.5) * cell - F.col("_px")
-    dy = (F.col("cy") + 0.5) * cell - F.col("_py")
-    near = dx * dx + dy * dy <= radius * radius
+    """Mean thickness near some peptide COM (cell centres within `radius` in xy), elsewhere, and the difference.
+
+    A frame may have several peptides; a cell is near if any of them is. Peptides list the cells
+    around them, so cells and peptides meet by an equi join. Frames without a peptide are left out.
+    """
+    keys = list(keys)
+    span = lambda c: F.sequence(F.floor((F.col(c) - radius) / cell), F.floor((F.col(c) + radius) / cell))
+    listed = peptide.select(*keys, "x", "y", F.explode(span("x")).alias("cx")).select("*", F.explode(span("y")).alias("cy"))
+    dx = (F.col("cx") + 0.5) * cell - F.col("x")
+    dy = (F.col("cy") + 0.5) * cell - F.col("y")
+    close = listed.filter(dx * dx + dy * dy <= radius * radius).select(*keys, "cx", "cy").distinct()
+    marked = cells.join(close.withColumn("_near", F.lit(True)), [*keys, "cx", "cy"], "left")
+    marked = marked.join(peptide.select(*keys).distinct(), keys, "left_semi")
+    near = F.col("_near").isNotNull()
     local, far = F.avg(F.when(near, F.col("thickness"))), F.avg(F.when(~near, F.col("thickness")))
-    return joined.groupBy(*keys).agg(local.alias("local"), far.alias("far"), (local - far).alias("delta"))
+    return marked.groupBy(*keys).agg(local.alias("local"), far.alias("far"), (local - far).alias("delta"))
 
 
 def midplane_water(df: DataFrame, keys: Sequence[str], water: Column, membrane: Column, h: float) -> DataFrame:

@@ -105,7 +105,13 @@ class Tables:
         )
 
     def atoms(self) -> DataFrame:
-        """Embeddings as single atoms: first three elements, label as molecule."""
+        """Embeddings as atoms: every bead of `beads`, label as molecule."""
+        return self.beads().select(
+            (F.col("mol") * 21 + F.col("bead")).alias("atom_id"), F.col("run").alias("molecule"), "x", "y", "z"
+        )
+
+    def first_atoms(self) -> DataFrame:
+        """Embeddings as single atoms: first three elements, label as molecule; for pairs of atoms."""
         e = F.col("embedding")
         return self.embeddings.select(
             F.col("vec_id").alias("atom_id"),
@@ -171,13 +177,14 @@ samples AS (
          CASE bead WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS window_id,
          t_us, 2.8::DOUBLE - 4.2::DOUBLE * value / (value + 50.0::DOUBLE) AS z
   FROM frames)"""
-ATOMS_SQL = """atoms AS (
+FIRST_ATOMS_SQL = """atoms AS (
   SELECT vec_id AS atom_id, label AS molecule, CAST(embedding[1] AS DOUBLE) AS x,
          CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"""
 BEADS_SQL = """beads AS (
   SELECT vec_id AS mol, label AS run, CAST(i AS INTEGER) AS bead, CAST(embedding[3*i+1] AS DOUBLE) AS x,
          CAST(embedding[3*i+2] AS DOUBLE) AS y, CAST(embedding[3*i+3] AS DOUBLE) AS z
   FROM embeddings, (SELECT unnest(range(21)) AS i))"""
+ATOMS_SQL = f"{BEADS_SQL}, atoms AS (SELECT mol * 21 + bead AS atom_id, run AS molecule, x, y, z FROM beads)"
 REPLICATES_SQL = """replicates AS (
   SELECT l_suppkey AS peptide_id, l_linenumber AS replicate, l_returnflag AS occupancy, l_extendedprice AS value,
          l_quantity AS se, l_discount AS discount, l_tax AS tax, l_orderkey AS run FROM lineitem)"""

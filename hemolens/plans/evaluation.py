@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hemolens.functions import draws
 from hemolens.operators import evaluation as ev, splits
-from hemolens.plans.binding import ASSAYS_SQL, ATOMS_SQL, PREDICTIONS_SQL, REPLICATES_SQL, draw_sql, r6, round6
+from hemolens.plans.binding import ASSAYS_SQL, FIRST_ATOMS_SQL, PREDICTIONS_SQL, REPLICATES_SQL, draw_sql, r6, round6
 from hemolens.plans.catalog import query
 from hemolens.plans.windows import COUNTS_SQL
 
@@ -55,7 +55,7 @@ def hc50_bins(t):
 
 @query(
     "e05_smote",
-    f"""WITH {ATOMS_SQL}, m AS (SELECT min(atom_id) AS atom_id, x, y, z FROM atoms WHERE molecule <= 1 GROUP BY x, y, z),
+    f"""WITH {FIRST_ATOMS_SQL}, m AS (SELECT min(atom_id) AS atom_id, x, y, z FROM atoms WHERE molecule <= 1 GROUP BY x, y, z),
     d AS (SELECT a.atom_id AS a_id, b.atom_id AS b_id, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS dist FROM m a JOIN m b ON a.atom_id <> b.atom_id),
     nn AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY dist, b_id) AS place FROM d QUALIFY place <= 5),
     k AS (SELECT a_id, count(*) AS k FROM nn GROUP BY 1),
@@ -66,7 +66,7 @@ def hc50_bins(t):
 )
 def smote(t):
     """Molecules 0 and 1 as the minority class."""
-    return rounded(splits.smote(t.atoms().filter("molecule <= 1"), 5, 3, start=0.08), "x", "y", "z")
+    return rounded(splits.smote(t.first_atoms().filter("molecule <= 1"), 5, 3, start=0.08), "x", "y", "z")
 
 
 @query(

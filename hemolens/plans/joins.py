@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hemolens.operators import joins, layout, neighbours
 from hemolens.plans.binding import (
-    ATOMS_SQL, BEADS_SQL, LETTERS_SQL, PEPTIDES_SQL, REPLICATES_SQL, letters, r6, round6,
+    FIRST_ATOMS_SQL, BEADS_SQL, LETTERS_SQL, PEPTIDES_SQL, REPLICATES_SQL, letters, r6, round6,
 )
 from hemolens.plans.catalog import query
 
@@ -120,14 +120,14 @@ def place_atoms(t):
 
 @query(
     "j08_contacts",
-    f"""WITH {ATOMS_SQL} SELECT a.atom_id AS a_id, b.atom_id AS b_id,
+    f"""WITH {FIRST_ATOMS_SQL} SELECT a.atom_id AS a_id, b.atom_id AS b_id,
       {r6('sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z))')} AS dist
     FROM atoms a JOIN atoms b ON a.molecule = 0 AND b.molecule <> 0
       AND sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) <= 0.1""",
 )
 def contacts(t):
     """Peptide beads (molecule 0) against the rest."""
-    atoms = t.atoms()
+    atoms = t.first_atoms()
     pairs = neighbours.contacts(atoms.filter("molecule = 0"), atoms.filter("molecule <> 0"), 0.1)
     return pairs.select("a_id", "b_id", round6("dist").alias("dist"))
 
@@ -203,13 +203,13 @@ def holdout_disjoint(t):
 
 @query(
     "j12_spacing_violations",
-    f"""WITH {ATOMS_SQL} SELECT a.atom_id AS a_id, b.atom_id AS b_id,
+    f"""WITH {FIRST_ATOMS_SQL} SELECT a.atom_id AS a_id, b.atom_id AS b_id,
       {r6('sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z))')} AS dist
     FROM atoms a JOIN atoms b ON a.molecule = b.molecule AND a.atom_id < b.atom_id
       AND sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) < 0.1""",
 )
 def spacing_violations(t):
-    pairs = neighbours.spacing_violations(t.atoms(), 0.1, ["molecule"])
+    pairs = neighbours.spacing_violations(t.first_atoms(), 0.1, ["molecule"])
     return pairs.select("a_id", "b_id", round6("dist").alias("dist"))
 
 

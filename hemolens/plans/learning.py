@@ -10,11 +10,11 @@ from hemolens.operators import evaluation as ev, models
 from hemolens.plans.binding import REPLICATES_SQL, r6, round6
 from hemolens.plans.catalog import query
 
-FEATURES = ["f0", "f1", "f2", "f3", "f4", "f5"]
+FEATURES = [f"f{i}" for i in range(64)]
 
 
 def vectors(t):
-    """First six embedding elements as features, upper half of the labels as the class."""
+    """All embedding elements as features, upper half of the labels as the class."""
     e = F.col("embedding")
     return t.embeddings.select(
         F.col("vec_id").alias("peptide_id"), F.col("label"), (F.col("label") >= 5).cast("int").alias("y"),
@@ -26,7 +26,7 @@ def vectors(t):
 @query("e06_fit_logistic_ridge")
 def fit_logistic_ridge(t):
     """Out-of-fold predictions of nested cross-validation, summarised per fold."""
-    out = models.fit_logistic_ridge(vectors(t), FEATURES, "peptide_id", grid=(0.01, 1.0), outer=3, inner=2)
+    out = models.fit_logistic_ridge(vectors(t), FEATURES, "peptide_id", grid=(0.01, 1.0), outer=5, inner=3)
     return ev.roc_auc(out, ["fold"]).select("fold", F.round("auc", 3).alias("auc"))
 
 
@@ -38,7 +38,7 @@ def fit_boosted(t):
         "peptide_id", "toxic", F.length(seq).cast("double").alias("length"), sequence.gravy(seq).alias("gravy"),
         sequence.net_charge_ph(seq).alias("charge"),
     )
-    model = models.fit_boosted(rows, ["length", "gravy", "charge"], "toxic", depths=(3,), rates=(0.1,), trees=(10,))
+    model = models.fit_boosted(rows, ["length", "gravy", "charge"], "toxic", depths=(3,), rates=(0.1,), trees=(100,))
     scored = model.transform(rows).select("peptide_id", F.col("toxic").alias("y"), vector_to_array("probability")[1].alias("p"))
     return ev.confusion_metrics(scored).select("tp", "fp", "fn", "tn", F.round("accuracy", 3).alias("accuracy"))
 
@@ -47,7 +47,7 @@ def fit_boosted(t):
 def fit_boosted_regression(t):
     """Boosted regression of log10 HC50."""
     rows = vectors(t).withColumn("log_hc50", F.log10("hc50_um"))
-    model = models.fit_boosted(rows, FEATURES, "log_hc50", task="regression", trees=(10,))
+    model = models.fit_boosted(rows, FEATURES, "log_hc50", task="regression", trees=(100,))
     scored = model.transform(rows).select(F.col("log_hc50").alias("y"), F.col("prediction").alias("p"))
     out = ev.regression_metrics(scored)
     return out.select(*[F.round(c, 3).alias(c) for c in out.columns])
@@ -55,14 +55,19 @@ def fit_boosted_regression(t):
 
 @query(
     "e09_linear_attribution",
-    f"""WITH {REPLICATES_SQL}, a AS (SELECT peptide_id, occupancy, 0.7 * (se - avg(se) OVER ()) AS c1, -1.5 * (tax - avg(tax) OVER ()) AS c2 FROM replicates)
-    SELECT peptide_id, occupancy, count(*) AS n, {r6('sum(c1)')} AS contrib_se, {r6('sum(c2)')} AS contrib_tax FROM a GROUP BY 1, 2""",
+    f"""WITH {REPLICATES_SQL},
+    m AS (SELECT sum(CAST(se AS DECIMAL(28,2)))::DOUBLE / count(se) AS mse, sum(CAST(tax AS DECIMAL(28,2)))::DOUBLE / count(tax) AS mtax FROM replicates),
+    a AS (SELECT peptide_id, occupancy, CAST(0.7::DOUBLE * (se - mse) AS DECIMAL(28,9)) AS c1, CAST(-1.5::DOUBLE * (tax - mtax) AS DECIMAL(28,9)) AS c2
+      FROM replicates, m)
+    SELECT peptide_id, occupancy, count(*) AS n, CAST(round(sum(c1), 6) AS DOUBLE) AS contrib_se, CAST(round(sum(c2), 6) AS DOUBLE) AS contrib_tax
+    FROM a GROUP BY 1, 2""",
 )
 def linear_attribution(t):
-    out = models.linear_attribution(t.replicates(), {"se": 0.7, "tax": -1.5})
-    return out.groupBy("peptide_id", "occupancy").agg(
-        F.count("*").alias("n"), round6(F.sum("contrib_se")).alias("contrib_se"), round6(F.sum("contrib_tax")).alias("contrib_tax")
-    )
+    """Contributions per peptide and occupancy; sums are exact, so no order of addition changes a digit."""
+    rows = t.replicates()
+    out = models.linear_attribution(rows, {"se": 0.7, "tax": -1.5}, models.exact_means(rows, ["se", "tax"], 2))
+    total = lambda c: F.round(F.sum(F.col(c).cast("decimal(28,9)")), 6).cast("double").alias(c)
+    return out.groupBy("peptide_id", "occupancy").agg(F.count("*").alias("n"), total("contrib_se"), total("contrib_tax"))
 
 
 @query("e10_permutation_importance")

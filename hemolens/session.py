@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -17,7 +20,23 @@ DEFAULTS = {
 }
 
 
+def on_one_machine(master: str) -> bool:
+    return re.fullmatch(r"local(\[.*\])?", master) is not None
+
+
+def local_scratch() -> str:
+    """A folder of this machine, removed when the program ends."""
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def build_session(master: str = "local[8]", app: str = "hemolens", **conf: str) -> SparkSession:
+    """A session with the library's defaults; beyond one machine it needs `spark.checkpoint.dir`, a shared folder."""
+    if "spark.checkpoint.dir" not in conf:
+        if not on_one_machine(master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        conf = {**conf, "spark.checkpoint.dir": local_scratch()}
     builder = SparkSession.builder.master(master).appName(app)
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
@@ -27,10 +46,12 @@ def build_session(master: str = "local[8]", app: str = "hemolens", **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a fresh local one only where the session names none."""
+    """The cluster's checkpoint folder; a fresh local one only on one machine that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        if not on_one_machine(spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        named = local_scratch()
         spark.conf.set("spark.checkpoint.dir", named)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)

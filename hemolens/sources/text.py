@@ -67,7 +67,8 @@ def scan_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_labels(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema=LABEL_SCHEMA, quote='"', escape='"')
+    """Label table; a file whose header names other columns, or the same in another order, is refused."""
+    return spark.read.csv(path, header=True, schema=LABEL_SCHEMA, quote='"', escape='"', enforceSchema=False)
 
 
 def parse_score_records(df: DataFrame) -> DataFrame:
