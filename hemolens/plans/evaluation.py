@@ -225,19 +225,19 @@ def peptide_means(t):
     "e21_bootstrap_ci",
     f"""WITH {REPLICATES_SQL}, v AS (SELECT peptide_id, round(sum(value), 2) / count(*) AS value FROM replicates GROUP BY 1),
     i AS (SELECT value, row_number() OVER (ORDER BY md5('boot|' || peptide_id), peptide_id) - 1 AS item, count(*) OVER () AS n FROM v),
-    d AS (SELECT rep, {draw_sql("'boot|' || rep || '|' || item")} % n AS item FROM i, (SELECT unnest(range(1, 201)) AS rep)),
+    d AS (SELECT rep, {draw_sql("'boot|' || rep || '|' || item")} % n AS item FROM i, (SELECT unnest(range(1, 1001)) AS rep)),
     s AS (SELECT rep, avg(i.value) AS stat FROM d JOIN i ON d.item = i.item GROUP BY 1)
     SELECT {r6('avg(stat)')} AS boot_mean, {r6('quantile_cont(stat, 0.025)')} AS ci_low, {r6('quantile_cont(stat, 0.975)')} AS ci_high FROM s""",
 )
 def bootstrap_ci(t):
-    out = ev.bootstrap_ci(peptide_means(t), "peptide_id", "value", 200)
+    out = ev.bootstrap_ci(peptide_means(t), "peptide_id", "value", 1000)
     return rounded(out, "boot_mean", "ci_low", "ci_high")
 
 
 @query("e21_bootstrap_bca")
 def bootstrap_bca(t):
     """BCa interval; the normal quantile has no SQL form, tests compare with a direct computation."""
-    out = ev.bootstrap_ci(peptide_means(t), "peptide_id", "value", 500, method="bca")
+    out = ev.bootstrap_ci(peptide_means(t), "peptide_id", "value", 10_000, method="bca")
     return rounded(out, "boot_mean", "ci_low", "ci_high")
 
 
@@ -246,13 +246,13 @@ def bootstrap_bca(t):
     f"""WITH {PREDICTIONS_SQL}, k AS (SELECT sum(y) AS m, count(*) AS n, sum(p) AS s, sum(p) FILTER (WHERE y = 1) AS s1 FROM predictions),
     o AS (SELECT *, s1 / m - (s - s1) / (n - m) AS obs FROM k),
     x AS (SELECT rep, p, row_number() OVER (PARTITION BY rep ORDER BY md5('perm|' || rep || '|' || peptide_id), peptide_id) AS place
-      FROM predictions, (SELECT unnest(range(1, 101)) AS rep)),
+      FROM predictions, (SELECT unnest(range(1, 10001)) AS rep)),
     g AS (SELECT rep, sum(p) AS s1 FROM x, o WHERE place <= m GROUP BY 1)
     SELECT {r6('obs')} AS observed, count(*) AS permutations,
       {r6('(count(*) FILTER (WHERE abs(g.s1 / m - (s - g.s1) / (n - m)) >= abs(obs) - 1e-12) + 1) / (count(*) + 1)')} AS p_value FROM g, o GROUP BY obs""",
 )
 def permutation_test(t):
-    return rounded(ev.permutation_test(t.predictions(), "peptide_id", permutations=100), "observed", "p_value")
+    return rounded(ev.permutation_test(t.predictions(), "peptide_id", permutations=10_000), "observed", "p_value")
 
 
 @query(

@@ -140,14 +140,14 @@ def _pbc(a, length):
     "j08_contacts_periodic",
     f"""WITH {BEADS_SQL}, a AS (SELECT mol * 100 + bead AS id, mol % 5 AS frame, run, x, y, z FROM beads),
     p AS (SELECT a.frame, a.id AS a_id, b.id AS b_id, sqrt({_pbc('x', 0.7)}*{_pbc('x', 0.7)} + {_pbc('y', 0.7)}*{_pbc('y', 0.7)} + {_pbc('z', 0.7)}*{_pbc('z', 0.7)}) AS d
-      FROM a JOIN a b ON a.frame = b.frame AND a.run = 0 AND b.run = 1)
+      FROM a JOIN a b ON a.frame = b.frame AND a.run = 0 AND b.run <> 0)
     SELECT frame, a_id, count(*) AS n, {r6('min(d)')} AS nearest FROM p WHERE d <= 0.12 GROUP BY 1, 2""",
 )
 def contacts_periodic(t):
     """Minimum-image contacts per frame in a 0.7 nm box, counted per peptide bead."""
     beads = t.beads().select((F.col("mol") * 100 + F.col("bead")).alias("atom_id"), (F.col("mol") % 5).alias("frame"), "run", "x", "y", "z")
     pairs = neighbours.contacts(
-        beads.filter("run = 0"), beads.filter("run = 1"), 0.12, ["frame"], box=(0.7, 0.7, 0.7)
+        beads.filter("run = 0"), beads.filter("run <> 0"), 0.12, ["frame"], box=(0.7, 0.7, 0.7)
     )
     return pairs.groupBy("frame", "a_id").agg(F.count("*").alias("n"), round6(F.min("dist")).alias("nearest"))
 

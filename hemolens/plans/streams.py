@@ -54,8 +54,8 @@ def latest_status_batch(t):
     FROM events GROUP BY 1, 2""",
 )
 def progress_windows(t):
-    """Complete mode, so windows still open are there too and the result equals the batch one."""
+    """Update mode: the watermark frees closed windows, and the last count of each stands."""
     rows = event_stream(t).select("ts", F.col("event_type").alias("status"))
-    out = jobs.drain(jobs.progress_windows(rows, "ts", ["status"]), None, "complete")
+    out = jobs.drain(jobs.progress_windows(rows, "ts", ["status"]), ["window_start", "status"], "update")
     hour = F.expr(f"timestampdiff(HOUR, timestamp_ntz'{EPOCH}', cast(window_start AS timestamp_ntz))")
     return out.select(hour.alias("hour"), "status", "n")

@@ -40,15 +40,15 @@ def tilt_angle(t):
 @query(
     "g03_lipid_contacts",
     f"""WITH {BEADS_SQL}, b AS (SELECT *, mol * 100 + bead AS id, mol % 4 AS frame FROM beads)
-    SELECT p.frame, l.run AS kind, count(*) AS contacts FROM b p JOIN b l ON p.frame = l.frame AND p.run = 0 AND l.run > 4
+    SELECT p.frame, l.run AS kind, count(*) AS contacts FROM b p JOIN b l ON p.frame = l.frame AND p.run = 0 AND l.run <> 0
       AND sqrt((p.x-l.x)*(p.x-l.x) + (p.y-l.y)*(p.y-l.y) + (p.z-l.z)*(p.z-l.z)) <= 0.08 GROUP BY 1, 2""",
 )
 def lipid_contacts(t):
-    """Chains of label 0 as peptides, labels above 4 as lipid types."""
+    """Chains of label 0 as peptides, all others as lipid types."""
     beads = t.beads().select(
         (F.col("mol") * 100 + F.col("bead")).alias("atom_id"), (F.col("mol") % 4).alias("frame"), F.col("run").alias("kind"), "x", "y", "z"
     )
-    return traj.lipid_contacts(beads.filter("kind = 0"), beads.filter("kind > 4"), ["frame"], "kind", 0.08)
+    return traj.lipid_contacts(beads.filter("kind = 0"), beads.filter("kind <> 0"), ["frame"], "kind", 0.08)
 
 
 @query(
