@@ -71,87 +71,99 @@ def lanes_of(texts: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray
     return tokens, number, first, sizes[order]
 
 
-def sigmoid(v: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(v, -30, 30)))
-
-
 def run_window(model, tokens, first, h, keep: bool):
     """States before each token, the state after the last, and what the way back needs."""
     steps, lanes = tokens.shape
     x, u, n = model["x"][tokens], model["u"], HIDDEN
-    before = np.empty((steps, lanes, n), np.float32)
-    saved = []
+    before = np.empty((steps, lanes, n), h.dtype)
+    saved = tuple(np.empty((steps, lanes, k), h.dtype) for k in (2 * n, n, n)) if keep else None
+    starts = first.any(1)
     for t in range(steps):
-        if first[t].any():
-            h = np.where(first[t][:, None], np.float32(0), h)
+        if starts[t]:
+            h = h * ~first[t][:, None]
         before[t] = h
         g = h @ u
-        zr = sigmoid(x[t, :, : 2 * n] + g[:, : 2 * n])
-        z, r, gn = zr[:, :n], zr[:, n:], g[:, 2 * n :]
-        new = np.tanh(x[t, :, 2 * n :] + r * gn)
+        zr = x[t, :, : 2 * n] + g[:, : 2 * n]
+        zr *= 0.5
+        np.tanh(zr, zr)  # the logistic function of the sum is (1 + tanh(sum / 2)) / 2
+        zr += 1
+        zr *= 0.5
+        new = zr[:, n:] * g[:, 2 * n :]
+        new += x[t, :, 2 * n :]
+        np.tanh(new, new)
         if keep:
-            saved.append((z, r, gn, new))
-        h = new + z * (h - new)
+            saved[0][t], saved[1][t], saved[2][t] = zr, g[:, 2 * n :], new
+        h = new + zr[:, :n] * (h - new)
     return before, h, saved
 
 
-def log_softmax(v: np.ndarray) -> np.ndarray:
-    v = v - v.max(1, keepdims=True)
-    return v - np.log(np.exp(v).sum(1, keepdims=True))
+def softmax(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(probabilities, log of their common divisor) by row; `v` is overwritten with v less its largest."""
+    v -= v.max(1, keepdims=True)
+    p = np.exp(v)
+    total = p.sum(1)
+    p /= total[:, None]
+    return p, np.log(total)
 
 
 def outputs(model, states, tokens, gradient: bool):
     """Log-probability of each token (natural), and the gradients of their negative sum."""
     kind, place = tokens // WIDTH, tokens % WIDTH
     rows = np.arange(len(tokens))
-    by_class = log_softmax(states @ model["wc"] + model["bc"])
-    logp = by_class[rows, kind]
-    grads = None
+    v = states @ model["wc"] + model["bc"]
+    d, log = softmax(v)
+    logp = v[rows, kind] - log
+    grads = back = None
     if gradient:
-        d = np.exp(by_class)
         d[rows, kind] -= 1
-        grads = {"wc": states.T @ d, "bc": d.sum(0), "ww": np.zeros(SHAPES["ww"], np.float32), "bw": np.zeros(SHAPES["bw"], np.float32)}
+        grads = {"wc": states.T @ d, "bc": d.sum(0), "ww": np.zeros(SHAPES["ww"], states.dtype), "bw": np.zeros(SHAPES["bw"], states.dtype)}
         back = d @ model["wc"].T
     order = np.argsort(kind, kind="stable")
     edges = np.searchsorted(kind[order], np.arange(WIDTH + 1))
-    for c in range(WIDTH):
+    for c in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
         at = order[edges[c] : edges[c + 1]]
-        if not len(at):
-            continue
-        s = states[at]
-        inner = log_softmax(s @ model["ww"][c] + model["bw"][c])
-        own = np.arange(len(at))
-        logp[at] += inner[own, place[at]]
+        s, own, chosen = states[at], np.arange(len(at)), place[at]
+        v = s @ model["ww"][c] + model["bw"][c]
+        d, log = softmax(v)
+        logp[at] += v[own, chosen] - log
         if gradient:
-            d = np.exp(inner)
-            d[own, place[at]] -= 1
+            d[own, chosen] -= 1
             grads["ww"][c], grads["bw"][c] = s.T @ d, d.sum(0)
             back[at] += d @ model["ww"][c].T
-    return (logp, grads, back) if gradient else (logp, None, None)
+    return logp, grads, back
 
 
 def backward(model, tokens, first, before, saved, back, grads) -> None:
     steps, lanes = tokens.shape
     n = HIDDEN
-    dg, dx = np.empty((steps, lanes, 3 * n), np.float32), np.empty((steps, lanes, 3 * n), np.float32)
-    dh = np.zeros((lanes, n), np.float32)
-    ut = model["u"].T
+    zr, gn, new = saved
+    z, r = zr[:, :, :n], np.ascontiguousarray(zr[:, :, n:])
+    to_z = (before - new) * z * (1 - z)
+    to_new = (1 - z) * (1 - new * new)
+    to_r = gn * r * (1 - r)
+    z = np.ascontiguousarray(z)
+    dg, dx_new = np.empty((steps, lanes, 3 * n), back.dtype), np.empty((steps, lanes, n), back.dtype)
+    dh = np.zeros((lanes, n), back.dtype)
+    ut = np.ascontiguousarray(model["u"].T)
+    starts = first.any(1)
     for t in range(steps - 1, -1, -1):
-        z, r, gn, new = saved[t]
-        h = before[t]
-        dnew = dh * (1 - z) * (1 - new * new)
-        dg[t, :, :n] = dh * (h - new) * z * (1 - z)
-        dg[t, :, n : 2 * n] = dnew * gn * r * (1 - r)
-        dg[t, :, 2 * n :] = dnew * r
-        dx[t] = dg[t]
-        dx[t, :, 2 * n :] = dnew
-        dh = dh * z + dg[t] @ ut + back[t]
-        dh = np.where(first[t][:, None], np.float32(0), dh)
+        dnew = np.multiply(dh, to_new[t], dx_new[t])
+        g = dg[t]
+        g[:, :n] = dh * to_z[t]
+        g[:, n : 2 * n] = dnew * to_r[t]
+        g[:, 2 * n :] = dnew * r[t]
+        dh *= z[t]
+        dh += g @ ut
+        dh += back[t]
+        if starts[t]:
+            dh *= ~first[t][:, None]
     grads["u"] = before.reshape(-1, n).T @ dg.reshape(-1, 3 * n)
-    order = np.argsort(tokens.ravel(), kind="stable")
-    ids, at = np.unique(tokens.ravel()[order], return_index=True)
-    grads["x"] = np.zeros(SHAPES["x"], np.float32)
-    grads["x"][ids] = np.add.reduceat(dx.reshape(-1, 3 * n)[order], at, axis=0)
+    dg[:, :, 2 * n :] = dx_new  # from here on the gradient of what the tokens add
+    flat_tokens = tokens.ravel()
+    order = np.argsort(flat_tokens, kind="stable")
+    ids, at = np.unique(flat_tokens[order], return_index=True)
+    grads["x"] = np.zeros(SHAPES["x"], dg.dtype)
+    grads["x"][ids] = np.add.reduceat(dg.reshape(-1, 3 * n)[order], at, axis=0)
 
 
 class Trainer:
