@@ -97,8 +97,8 @@ def score_quality(
 
     A labelled row is good if `quality` is 1 and `toxic` is not 1; several labels of one id must
     all say so, and a null quality is no label. `docs` needs doc_id, text, lang, source, n_chars;
-    nulls are values of their own. With labels of one class only (or none) there is nothing to
-    learn: all scores are that class (or 0.5). Repeated rows and ties get equal scores.
+    nulls are values of their own. With labels of one class only there is nothing to learn: all
+    scores are that class; with too few of either to hold some out, all are 0.5. Repeated rows and ties get equal scores.
     """
     good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1)
     y = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(good.cast("int")).cast("double").alias("y"))
@@ -107,15 +107,15 @@ def score_quality(
     marks = y.filter(draw("labelled") < min(1.0, most_labelled / max(n_labels, 1)))
     base = docs.select("doc_id", "text", "lang", "source", "n_chars")
     bounded = F.broadcast(cut_lineage(marks))  # about `most_labelled` rows
-    rows, rarity = featurised(base.join(bounded, "doc_id"))
-    labelled = cut_lineage(rows.withColumn("held", draw("held") < 0.25).drop("text"))
-    found = {r[0] for r in labelled.filter("not held").select("y").distinct().collect()}
-    held = {r[0] for r in labelled.filter("held").select("y").distinct().collect()}
-    if len(found) < 2 or len(held) < 2:
-        classes = {r[0] for r in labelled.select("y").distinct().collect()}
+    held = draw("held") < 0.25
+    there = base.select("doc_id").join(bounded, "doc_id").groupBy(held.alias("held"), "y").count().collect()  # 4 rows at most
+    if len({(r["held"], r["y"]) for r in there}) < 4:  # one class, or too few rows to hold some of both out
+        classes = {r["y"] for r in there}
         p = classes.pop() if len(classes) == 1 else 0.5
         one = {c: F.lit(float(p)) for c in ("text_score", "meta_score", "score")}
         return base.select("doc_id").withColumns({**one, "kept": F.lit(p >= least)})
+    rows, rarity = featurised(base.join(bounded, "doc_id"))
+    labelled = cut_lineage(rows.withColumn("held", held).drop("text"))
     pool = base.filter((draw("pool") < most_pool / max(n_docs, 1)) & F.col("doc_id").isNotNull())
     pool = cut_lineage(featurised(pool.join(bounded.select("doc_id"), "doc_id", "left_anti"), rarity)[0].drop("text"))
     start = labelled.filter("not held").select("y", "_text_x", "_meta_x")
