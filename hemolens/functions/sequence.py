@@ -62,6 +62,12 @@ def residue_fractions(sequence: Column) -> dict[str, Column]:
     return {f"frac_{r}": F.try_divide(counts[i].cast("double"), n) for i, r in enumerate(RESIDUES)}
 
 
+def residue_fraction(sequence: Column, residue: str) -> Column:
+    """Share of one residue, without leaving the JVM; null on an empty sequence."""
+    n = F.length(sequence)
+    return F.try_divide((n - F.length(F.replace(sequence, F.lit(residue), F.lit("")))).cast("double"), n.cast("double"))
+
+
 def charge_factors(ph: float) -> dict[str, float]:
     """Mean charge of one residue of each kind at `ph`."""
     up = {r: 1.0 / (1.0 + 10.0 ** (ph - pka)) for r, pka in PKA_POSITIVE.items()}

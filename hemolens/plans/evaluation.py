@@ -81,6 +81,20 @@ def vote(t):
     return ev.vote(both, {"m1": 0.6, "m2": 0.4}).select("peptide_id", round6("p").alias("p"))
 
 
+@query(
+    "e08_vote_validated",
+    f"""WITH {PREDICTIONS_SQL}, m AS (SELECT peptide_id, fold, y, p AS m1, ({draw_sql("'m2|' || peptide_id")} % 1000) / 1000.0::DOUBLE AS m2 FROM predictions),
+    w AS (SELECT 1 - avg((m1 - y) * (m1 - y)) AS w1, 1 - avg((m2 - y) * (m2 - y)) AS w2 FROM m WHERE fold = 1)
+    SELECT peptide_id, {r6('(m1 * w1 + m2 * w2) / (w1 + w2)')} AS p FROM m, w WHERE fold <> 1""",
+)
+def vote_validated(t):
+    """Two models weighted by their Brier scores on one fold, voting on the others."""
+    second = draws.draw32(F.lit("m2"), "peptide_id") % 1000 / 1000.0
+    both = t.predictions().select("peptide_id", "fold", "y", F.col("p").alias("m1"), second.alias("m2"))
+    weights = ev.validation_weights(both.filter("fold = 1"), "y", ["m1", "m2"])
+    return ev.vote(both.filter("fold <> 1"), weights).select("peptide_id", round6("p").alias("p"))
+
+
 @query("e12_roc_curve", f"WITH {COUNTS_SQL} SELECT {r6('score')} AS threshold, {r6('tp / n_pos')} AS tpr, {r6('fp / n_neg')} AS fpr FROM cum")
 def roc_curve(t):
     return rounded(ev.roc_curve(t.predictions()), "threshold", "tpr", "fpr")

@@ -24,7 +24,7 @@ def feature_dataset(t):
     """Sequence features of every source, concatenated, joined to labels, classed, summarised."""
     seq = F.col("sequence")
     features = t.documents.select(F.col("doc_id").alias("amp_id"), "lang", residues(F.col("text")).alias("sequence")).select(
-        "amp_id", "lang", sequence.seq_length(seq).alias("seq_length"), sequence.residue_fractions(seq)["frac_K"].alias("frac_K")
+        "amp_id", "lang", sequence.seq_length(seq).alias("seq_length"), sequence.residue_fraction(seq, "K").alias("frac_K")
     )
     all_features = sets.concat_features([features.filter("lang = 'en'"), features.filter("lang <> 'en'")])
     labels = t.labels.select(
