@@ -106,6 +106,14 @@ def attach(
     return base.mapInArrow(run, schema)
 
 
+def checked_broadcast(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A table of ids for a semi or anti join: broadcast if it has at most `most` rows, else shuffled as usual.
+
+    A count comes first, so pass a written table or one that is cheap to make.
+    """
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def lower_ascii(column):
     return F.translate(column, UPPER, LOWER)
 

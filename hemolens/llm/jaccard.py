@@ -10,7 +10,7 @@ list entries scanned is least, from counts over all sets.
 
 Sets that are equal are one node from the start. The members of a list are not paired with each
 other: first with the least id, then, as long as a list holds several components, with random
-leaders, four times as many each round, until all of its members have led. Pairs within one
+leaders, sixteen times as many each round, until all of its members have led. Pairs within one
 component are skipped, so a group of thousands of near copies costs a few pairs a copy, while
 every pair that could join two components is compared in full.
 """
@@ -22,17 +22,21 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hemolens.llm.common import WordHash, lower_words, shingle_hashes
+from hemolens.llm.common import WordHash, checked_broadcast, lower_words, mix, shingle_hashes
 from hemolens.llm.components import components
 from hemolens.session import cut_lineage
 
 SUBSET = 2
-#: Share of the hash range whose members are counted and put in order of frequency. Exact for any value.
+#: Sets up to this size have all of their members counted. Larger ones have those in the first `COUNTED`
+#: of the hash range counted, which is enough of theirs. The result is exact for any values.
+WHOLE = 200
 COUNTED = 0.2
-GROWTH = 4
+GROWTH = 16
+TOGETHER = 8
+SMALL, LARGE = 0, 1
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -54,26 +58,34 @@ def arrow_lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def set_table(docs: DataFrame, id_col: str, text: str, size: int, percent: int) -> DataFrame:
-    """(id, n, key, counted, head): size, digest, members in the counted range, and the first members."""
-    edge = np.uint64(int(COUNTED * 2**64))
+    """(id, n, key, small, counted, large): size, digest, and the first members, by hash.
+
+    Sets of up to `WHOLE` members have all of them in `small`, under hashes of their own. Larger
+    ones, and those that could match a larger one, have `large`: its first `counted` members are
+    those of the counted range. Small and large are joined apart, each under its own order.
+    """
+    edge, salt = np.uint64(int(COUNTED * 2**64)), np.uint64(0x5BD1E995)
+    none = np.empty(0, np.uint64)
 
     def run(batches):
         hashed = WordHash()
         for batch in batches:
             sets = [shingle_set(t, size, hashed) for t in batch.column(text).to_pylist()]
-            counted = [int(np.searchsorted(s, edge)) for s in sets]
-            head = [s[: max(c, len(s) - least_overlap(len(s), percent) + SUBSET)] for s, c in zip(sets, counted)]
+            small = [mix(s ^ salt) if len(s) <= WHOLE else none for s in sets]
+            large = [s if len(s) * 100 > WHOLE * percent else none for s in sets]
+            counted = [int(np.searchsorted(s, edge)) for s in large]
+            large = [s[: max(c, len(s) - least_overlap(len(s), percent) + SUBSET)] for s, c in zip(large, counted)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(id_col), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                    pa.array(counted, pa.int32()), arrow_lists(head),
+                    arrow_lists(small), pa.array(counted, pa.int32()), arrow_lists(large),
                 ],
-                ["id", "n", "key", "counted", "head"],
+                ["id", "n", "key", "small", "counted", "large"],
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), text)
-    return rows.mapInArrow(run, "id long, n long, key binary, counted int, head array<long>")
+    return rows.mapInArrow(run, "id long, n long, key binary, small array<long>, counted int, large array<long>")
 
 
 def whole_sets(docs: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
@@ -94,40 +106,48 @@ def spare(percent: int):
 
 
 def beginnings(sets: DataFrame, percent: int) -> DataFrame:
-    """(id, n, first): the members of each set's beginning that another set has too, in order.
+    """(id, zone, n, first): the members of each set's beginning that another set has too, in order.
 
     `first` is an array of (at, seen, member): place in the set's order, sets counted, member.
     The order: counted members by the power of two of their count, then by hash; the others
-    after them, by hash. A member that no other set's head has cannot lead to a pair.
+    after them, by hash. A member that no other set's head has cannot lead to a pair. A set may
+    come twice, once among the small and once among the large.
     """
-    rows = sets.select("id", "n", "counted", F.posexplode("head").alias("idx", "member"))
+    small = sets.select("id", "n", F.lit(SMALL).alias("zone"), F.size("small").alias("counted"), F.posexplode("small").alias("idx", "member"))
+    large = sets.select("id", "n", F.lit(LARGE).alias("zone"), "counted", F.posexplode("large").alias("idx", "member"))
+    rows = small.unionByName(large)
     seen = rows.groupBy("member").agg(F.count("*").alias("seen")).filter("seen > 1")
-    level = F.when(F.col("idx") < F.col("counted"), F.floor(F.log2("seen")).cast("int")).otherwise(1000)
-    shared = rows.join(seen, "member").groupBy("id", "n", "counted").agg(
-        F.array_sort(F.collect_list(F.struct(level.alias("level"), "idx", "seen", "member"))).alias("rows")
-    )  # at most the set's own head
-    in_range = F.size(F.filter("rows", lambda r: r["level"] < 1000))
-    alone = F.col("counted") - in_range
-    placed = F.transform("rows", lambda r, k: F.struct(
-        F.when(r["level"] < 1000, alone + k).otherwise(r["idx"]).cast("int").alias("at"), r["seen"].alias("seen"),
-        r["member"].alias("member"),
-    ))
-    end = spare(percent) + SUBSET
-    return shared.select("id", "n", F.filter(placed, lambda r: r["at"] < end).alias("first")).filter(F.size("first") > 0)
+    ranged = F.col("idx") < F.col("counted")
+    level = F.when(ranged, F.floor(F.log2("seen")).cast("int")).otherwise(1000)
+    shared = rows.join(seen, "member").select("id", "zone", "n", "counted", "idx", "seen", "member", level.alias("level"))
+    own = Window.partitionBy("id", "zone")  # one set's head at most
+    turn = F.row_number().over(own.orderBy("level", "idx"))
+    alone = F.col("counted") - F.count(F.when(F.col("level") < 1000, 1)).over(own)
+    placed = shared.withColumns({"turn": turn, "alone": alone})
+    at = F.when(F.col("level") < 1000, F.col("alone") + F.col("turn") - 1).otherwise(F.col("idx")).cast("int")
+    begun = placed.withColumn("at", at).filter(F.col("at") < spare(percent) + SUBSET)
+    entry = F.struct("at", "seen", "member")
+    return begun.groupBy("id", "zone", "n").agg(F.array_sort(F.collect_list(entry)).alias("first"))
+
+
+def size_class(percent: int):
+    return F.floor(F.log(F.col("n").cast("double")) / math.log(100.0 / percent)).cast("int")
 
 
 def boundary(begun: DataFrame, percent: int) -> int:
-    """Largest size of a light set: least total of subsets listed and list entries scanned.
+    """Largest size of a light set: least total of what is listed and scanned.
 
-    Sizes are taken in classes that grow by `100 / percent`, so the table has at most a few
+    A heavy set scans the lists of its members; a light one lists its subsets and scans their
+    lists, each taken to hold one in `TOGETHER` of the shorter of its two members' lists. Sizes are taken in classes that grow by `100 / percent`, so the table has at most a few
     hundred rows for any data.
     """
-    k = F.size("first").cast("double")
+    listed = F.aggregate(
+        F.transform("first", lambda r, i: (F.size("first") - 1 - i) * (1 + r["seen"] / TOGETHER)), F.lit(0.0), lambda a, x: a + x
+    )  # members come with the rarer first
     scanned = F.aggregate(
         F.filter("first", lambda r: r["at"] < spare(percent) + 1), F.lit(0).cast("long"), lambda a, r: a + r["seen"]
     )
-    kind = F.floor(F.log(F.col("n").cast("double")) / math.log(100.0 / percent)).cast("int")
-    costs = begun.select("n", kind.alias("kind"), (k * (k - 1) / 2).alias("listed"), scanned.alias("scanned"))
+    costs = begun.select("n", size_class(percent).alias("kind"), listed.alias("listed"), scanned.alias("scanned"))
     table = (
         costs.groupBy("kind")
         .agg(F.max("n").alias("largest"), F.sum("listed").alias("listed"), F.sum("scanned").alias("scanned"))
@@ -143,14 +163,36 @@ def boundary(begun: DataFrame, percent: int) -> int:
 
 
 def index_rows(begun: DataFrame, light: int, percent: int) -> DataFrame:
-    """(sig, id, n): subsets of light sets, single members of heavy sets and of those they could match."""
+    """(sig, family, id, n, at): subsets of light sets, single members of heavy sets and of those they could match.
+
+    `at` is the place of the (first) member in the set's order; lists of one `family` are under
+    one order. A list holds sets of like size
+    only: sizes are in classes that grow by `100 / percent`, similar sets are in the same or
+    the next class, and every set is listed for its own class and the next.
+    """
     pairs = F.flatten(F.transform("first", lambda x, i: F.transform(
-        F.slice("first", i + 2, F.size("first")), lambda y: F.xxhash64(F.lit("subset"), x["member"], y["member"])
+        F.slice("first", i + 2, F.size("first")),
+        lambda y: F.struct(F.xxhash64(F.lit("subset"), x["member"], y["member"]).alias("sig"), x["at"].alias("at")),
     )))
-    singles = F.transform(F.filter("first", lambda r: r["at"] < spare(percent) + 1), lambda r: r["member"])
-    of_light = begun.filter(F.col("n") <= light).select(F.explode(pairs).alias("sig"), "id", "n")
-    of_heavy = begun.filter(F.col("n") * 100 >= F.lit(light) * percent).select(F.explode(singles).alias("sig"), "id", "n")
-    return of_light.unionByName(of_heavy)
+    singles = F.transform(F.filter("first", lambda r: r["at"] < spare(percent) + 1), lambda r: F.struct(r["member"].alias("sig"), r["at"].alias("at")))
+    family = F.col("zone") * 2
+    of_light = begun.filter(F.col("n") <= light).select(family.alias("family"), "id", "n", F.inline(pairs))
+    of_heavy = begun.filter(F.col("n") * 100 >= F.lit(light) * percent).select(
+        (family + 1).alias("family"), "id", "n", F.inline(singles)
+    )
+    own = size_class(percent)
+    listed = of_light.unionByName(of_heavy).withColumn("kind", F.explode(F.array(own, own + 1)))
+    return listed.withColumn("sig", F.xxhash64("sig", "kind")).drop("kind")
+
+
+def reachable(percent: int):
+    """Whether two sets that meet in `sig` could still be similar if it is the first that they share.
+
+    Then they share no more than what follows in either set's order. Of any similar pair, the
+    list of the first shared member (or first two) passes, so no pair is lost.
+    """
+    rest = F.least(F.col("n") - F.col("at"), F.col("o") - F.col("o_at"))
+    return rest * (100 + percent) >= (F.col("n") + F.col("o")) * percent
 
 
 def verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -163,23 +205,31 @@ def verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
 
 def joined(index: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """(id, component) of the ids that some verified link joins."""
-    lists = index.groupBy("sig").agg(F.count("*").alias("m"), F.min("id").alias("least")).filter("m > 1")
-    index = cut_lineage(index.join(lists, "sig"))
+    """(id, component) of the ids that some verified link joins.
+
+    Of the lists of one family that hold the same ids, the first in the order stands for all: a
+    pair that passes `reachable` in any of them passes there.
+    """
+    lists = index.groupBy("sig", "family").agg(
+        F.count("*").alias("m"), F.min("id").alias("least"), F.sum("at").alias("places"),
+        F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"),
+    ).filter("m > 1")
+    lists = lists.groupBy("family", "m", "least", "x", "y").agg(F.min(F.struct("places", "sig")).alias("one"))
+    index = cut_lineage(index.join(lists.select(F.col("one.sig").alias("sig"), "family", "m", "least"), ["sig", "family"]))
     found = None
     turn = 0
     rows = index.withColumn("component", F.col("id"))
     while True:
-        near = (F.least("n", "o") * 100 >= F.greatest("n", "o") * percent)
-        lead = rows.select("sig", F.col("id").alias("leader"), F.col("n").alias("o"), F.col("component").alias("c"), "m", "least")
+        lead = rows.select("sig", F.col("id").alias("leader"), F.col("n").alias("o"), F.col("at").alias("o_at"), F.col("component").alias("c"), "m", "least")
         if turn == 0:
             lead = lead.filter("leader = least")
-        else:
-            share = F.pmod(F.xxhash64("leader"), F.lit(1 << 30)) / float(1 << 30)
-            lead = lead.filter(share * F.col("m") < float(GROWTH**turn))
+        else:  # those that have led before need not lead again
+            share = F.pmod(F.xxhash64("leader"), F.lit(1 << 30)) / float(1 << 30) * F.col("m")
+            fresh = F.col("leader") != F.col("least") if turn == 1 else share >= float(GROWTH ** (turn - 1))
+            lead = lead.filter((share < float(GROWTH**turn)) & fresh)
         pairs = (
             rows.join(lead.drop("m", "least"), "sig")
-            .filter((F.col("id") != F.col("leader")) & (F.col("component") != F.col("c")) & near)
+            .filter((F.col("id") != F.col("leader")) & (F.col("component") != F.col("c")) & reachable(percent))
             .select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
         )
         links = verified(pairs, members, percent)
@@ -213,16 +263,17 @@ def similar_groups(
     named = sets.filter("key is not null and id is not null")
     classes = named.groupBy("key").agg(F.min("id").alias("rep"))
     member = cut_lineage(
-        sets.select("id", "n", "key").join(classes, "key", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
+        sets.select("id", "n", "key").join(classes, "key", "left")
+        .select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
     )
     copies = member.filter("id <> rep").select("id").distinct()
-    begun = cut_lineage(beginnings(named.join(copies, "id", "left_anti"), percent))
+    begun = cut_lineage(beginnings(named.join(checked_broadcast(copies), "id", "left_anti"), percent))
     light = boundary(begun, percent)
     index = cut_lineage(index_rows(begun, light, percent))
     lists = index.groupBy("sig").agg(F.count("*").alias("m")).filter("m > 1")
     wanted = cut_lineage(index.join(lists, "sig").select("id").distinct())
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text)
-    members = cut_lineage(whole_sets(rows.join(wanted, "id", "left_semi"), "id", text, size))
+    members = cut_lineage(whole_sets(rows.join(checked_broadcast(wanted), "id", "left_semi"), "id", text, size))
     found = joined(index, members, percent)
     several = member.filter("id is not null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z")
     if not several.isEmpty():
@@ -236,5 +287,5 @@ def similar_groups(
 
 def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """`docs` without those whose group has a smaller id; rows with a null id stay."""
-    gone = groups.filter(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone = cut_lineage(groups.filter(F.col("component_id") < F.col(id_col)).select(id_col).distinct())
+    return docs.join(checked_broadcast(gone), id_col, "left_anti").select(*docs.columns)
