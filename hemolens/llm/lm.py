@@ -58,11 +58,38 @@ def count_words(docs: DataFrame, text: str, most: int = 500_000) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class Ranks(dict):
+    """word -> rank; -1 for any other word."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """At most `most` words with their counts, the most frequent first: all above some count.
+
+    Counts fall into sixteen classes a doubling, so a table of about a thousand rows at most tells
+    from which class on the words are few enough, and no task sorts or sends more than those.
+    """
+    kind = F.floor(F.log2("n") * 16).cast("int")
+    sizes = counts.groupBy(kind.alias("kind")).agg(F.count("*").alias("words")).orderBy(F.desc("kind")).collect()
+    least, total = None, 0
+    for r in sizes:
+        total += r["words"]
+        if total > most:
+            break
+        least = r["kind"]
+    if least is None:
+        return []
+    rows = counts.filter(kind >= least).collect()
+    return sorted(((bytes(r["word"]), r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
 class Vocabulary:
     """Frequent words with their counts, in order of frequency, and the totals of all of them."""
 
     def __init__(self, frequent: list[tuple[bytes, int]], total: int, distinct: int):
-        self.rank = {w: k for k, (w, _) in enumerate(frequent)}
+        self.rank = Ranks((w, k) for k, (w, _) in enumerate(frequent))
         self.counts = np.array([n for _, n in frequent], float)
         self.total, self.distinct = total, distinct
         self.below = total + 0.1 * (distinct + 1)
@@ -84,8 +111,10 @@ class Vocabulary:
 
     def ranks(self, tokens: list[bytes]) -> np.ndarray:
         """Rank of each word and of the end that follows; -1 for those that are not frequent."""
-        get = self.rank.get
-        return np.array([*[get(w, -1) for w in tokens], get(END, -1)], np.int64)
+        out = np.empty(len(tokens) + 1, np.int64)
+        out[:-1] = np.fromiter(map(self.rank.__getitem__, tokens), np.int64, len(tokens))
+        out[-1] = self.rank[END]
+        return out
 
     def encode(self, text: str | None) -> np.ndarray:
         ids = self.ids[self.ranks(lower_words(text))]
@@ -141,8 +170,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     training = docs.filter(~out)
     counts = cut_lineage(count_words(training, "text"))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
-    words = Vocabulary([(bytes(r["word"]), r["n"]) for r in top], total, distinct)
+    words = Vocabulary(most_frequent(counts, KNOWN), total, distinct)
     values = train(training, "text", words, "id")
 
     def score(batches):
@@ -162,7 +190,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
                 base.append(float(logs.sum()))
                 plain.append(float(logs[ids != UNKNOWN_ID].sum()))
                 unknown.append(int((ids == UNKNOWN_ID).sum()))
-                others = Counter(w for w, h in zip(tokens, has.tolist()) if not h)
+                others = Counter([tokens[i] for i in np.flatnonzero(~has[:-1]).tolist()])
                 if not has[-1]:
                     others[END] += 1
                 rare.append([{"word": w, "times": k} for w, k in others.items()])

@@ -175,7 +175,7 @@ class Trainer:
         self.v = {k: np.zeros_like(v) for k, v in model.items()}
         self.rate, self.step, self.seen, self.loss = rate, 0, 0, 0.0
 
-    def learn(self, texts: list[np.ndarray], lanes: int = 128) -> None:
+    def learn(self, texts: list[np.ndarray], lanes: int = 192) -> None:
         texts = [t for t in texts if len(t)]
         if not texts:
             return
@@ -216,9 +216,9 @@ def score_texts(model: dict, texts: list[np.ndarray], lanes: int = 256) -> np.nd
     tokens, number, first, sizes = lanes_of([texts[i] for i in at], lanes)
     h = np.zeros((tokens.shape[1], HIDDEN), np.float32)
     sums = np.zeros(len(at))
-    for t in range(0, len(tokens), WINDOW):
+    for t in range(0, len(tokens), 2 * WINDOW):
         live = int((sizes > t).sum())
-        stop = min(t + WINDOW, len(tokens))
+        stop = min(t + 2 * WINDOW, len(tokens))
         before, h, _ = run_window(model, tokens[t:stop, :live], first[t:stop, :live], h[:live], False)
         valid = (np.arange(t, stop)[:, None] < sizes[None, :live]).ravel()
         logp, _, _ = outputs(model, before.reshape(-1, HIDDEN)[valid], tokens[t:stop, :live].ravel()[valid], False)
