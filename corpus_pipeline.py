@@ -25,8 +25,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group at a Jaccard similarity of 0.9 or more."""
-    return jaccard.one_of_each(docs, jaccard.similar_groups(docs, size=3, percent=90))
+    """Keeps the document with the least id of each group at a Jaccard similarity of 0.8 or more on runs of five words."""
+    return jaccard.one_of_each(docs, jaccard.similar_groups(docs, size=5, percent=80))
 
 
 def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -348,3 +348,27 @@ def test_stages_on_odd_rows(spark, docs_of):
     for _, stage in corpus_pipeline.STAGES:
         nothing = stage(spark, nothing, SF)
     assert nothing.count() == 0
+
+
+def test_pipeline_drops_near_copies_from_eight_tenths_on(spark, docs_of):
+    def edited(n):
+        return " ".join(f"e{k}" if n and k % (500 // n) == 20 else f"w{k}" for k in range(500))
+
+    five = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    alike = lambda a, b: len(five(a) & five(b)) / len(five(a) | five(b))
+    assert 0.8 <= alike(edited(0), edited(10)) < 0.9 and alike(edited(0), edited(14)) < 0.8
+    got = corpus_pipeline.one_of_near_copies(spark, docs_of([(1, edited(0)), (2, edited(10)), (3, edited(14).replace("e", "f"))]), SF)
+    assert {r.doc_id for r in got.collect()} == {1, 3}
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sets = {}
+    for r in docs.collect():
+        w = lower_words(r.text)
+        sets[r.doc_id] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    label = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    for _ in links:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = corpus_pipeline.one_of_near_copies(spark, docs, SF)
+    assert {r.doc_id for r in got.collect()} == {i for i in sets if label[i] == i}
