@@ -2,12 +2,14 @@
 
 Each view has its own logistic regression: one on hashed words and word endings of the text,
 one on source, language and length. Both start from the labelled rows. In every round each
-view labels the pool rows that it is sure of, and the other view learns from them. Held-out
+view labels all unlabelled rows that it is sure of, and the other view learns from them. Held-out
 labelled rows then calibrate both views (Platt) and weigh them against each other, and every
 document gets the combined probability.
 
-The fits use bounded samples, as parameters say: `most_labelled` labelled rows and `most_pool`
-unlabelled ones, chosen by a hash of the id. Scoring covers all documents and needs no shuffle.
+Only the labelled rows are a bounded sample, `most_labelled` of them, chosen by a hash of the id.
+How rare a term is is counted over all documents, every unlabelled one takes part in each round, and
+all are scored; their vectors are made once and kept in the shared folder. Nothing but counts,
+gradients and the labelled sample leaves the tasks.
 """
 
 from __future__ import annotations
@@ -41,16 +43,13 @@ def meta_columns() -> dict[str, Column]:
     }
 
 
-def featurised(docs: DataFrame, rarity=None) -> tuple[DataFrame, IDFModel]:
-    """`docs` with the sparse vectors `_text_x` and `_meta_x`, and the model of how rare terms are.
-
-    Rarity is fitted on `docs` where none is given; give it for all but the labelled sample.
-    """
+def featurised(docs: DataFrame) -> tuple[DataFrame, IDFModel]:
+    """`docs` with the sparse vectors `_text_x` and `_meta_x`, and the model of how rare terms are in them."""
     meta = meta_columns()
     counts = HashingTF(numFeatures=TEXT_BINS, binary=True, inputCol="_terms", outputCol="_tf")
     rows = counts.transform(docs.withColumn("_terms", text_terms(F.col("text"))).withColumns(meta))
     rows = FeatureHasher(numFeatures=META_BINS, inputCols=list(meta), outputCol="_meta_x").transform(rows)
-    rarity = rarity or IDF(inputCol="_tf", outputCol="_rare").fit(rows)
+    rarity = IDF(inputCol="_tf", outputCol="_rare").fit(rows)
     rows = Normalizer(p=2.0, inputCol="_rare", outputCol="_text_x").transform(rarity.transform(rows))
     return rows.drop("_terms", "_tf", "_rare", *meta), rarity
 
@@ -91,7 +90,7 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-3
 
 def score_quality(
     docs: DataFrame, labels: DataFrame, rounds: int = 2, sure: float = 0.95, most_labelled: int = 8_000,
-    most_pool: int = 8_000, steps: int = 20, least: float = 0.5,
+    steps: int = 20, least: float = 0.5,
 ) -> DataFrame:
     """Per row of `docs`: doc_id, `text_score`, `meta_score`, `score` (probabilities) and `kept`.
 
@@ -102,7 +101,7 @@ def score_quality(
     """
     good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1)
     y = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(good.cast("int")).cast("double").alias("y"))
-    n_labels, n_docs = y.count(), docs.count()
+    n_labels = y.count()
     draw = lambda salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_000_000)) / 1e9
     marks = y.filter(draw("labelled") < min(1.0, most_labelled / max(n_labels, 1)))
     base = docs.select("doc_id", "text", "lang", "source", "n_chars")
@@ -114,10 +113,9 @@ def score_quality(
         p = classes.pop() if len(classes) == 1 else 0.5
         one = {c: F.lit(float(p)) for c in ("text_score", "meta_score", "score")}
         return base.select("doc_id").withColumns({**one, "kept": F.lit(p >= least)})
-    rows, rarity = featurised(base.join(bounded, "doc_id"))
-    labelled = cut_lineage(rows.withColumn("held", held).drop("text"))
-    pool = base.filter((draw("pool") < most_pool / max(n_docs, 1)) & F.col("doc_id").isNotNull())
-    pool = cut_lineage(featurised(pool.join(bounded.select("doc_id"), "doc_id", "left_anti"), rarity)[0].drop("text"))
+    vectors = cut_lineage(featurised(base)[0].select("doc_id", "_text_x", "_meta_x"))
+    labelled = cut_lineage(vectors.join(bounded, "doc_id").withColumn("held", held))
+    pool = vectors.filter(F.col("doc_id").isNotNull()).join(bounded.select("doc_id"), "doc_id", "left_anti")
     start = labelled.filter("not held").select("y", "_text_x", "_meta_x")
     edge = float(np.log(sure / (1 - sure)))
     for_text = for_meta = start
@@ -126,16 +124,15 @@ def score_quality(
         meta_model = fit_view(balanced(for_meta), "_meta_x", steps)
         if turn == rounds:
             break
-        seen = log_odds(log_odds(pool, text_model, "_t"), meta_model, "_m")
-        pick = lambda c: seen.filter(F.abs(c) >= edge).withColumn("y", (F.col(c) > 0).cast("double"))
-        for_meta = cut_lineage(start.unionByName(pick("_t").select("y", "_text_x", "_meta_x")))
-        for_text = cut_lineage(start.unionByName(pick("_m").select("y", "_text_x", "_meta_x")))
+        pick = lambda m: log_odds(pool, m, "_o").filter(F.abs("_o") >= edge).withColumn("y", (F.col("_o") > 0).cast("double"))
+        for_meta = start.unionByName(pick(text_model).select("y", "_text_x", "_meta_x"))
+        for_text = start.unionByName(pick(meta_model).select("y", "_text_x", "_meta_x"))
     checked = log_odds(log_odds(labelled.filter("held"), text_model, "_t"), meta_model, "_m").select("y", "_t", "_m")
     sample = np.array([tuple(r) for r in checked.collect()])  # about a quarter of `most_labelled`
     ty, tt, tm = sample.T
     of_text, of_meta = logistic(tt[:, None], ty), logistic(tm[:, None], ty)
     both = logistic(np.column_stack([of_text[0] + of_text[1] * tt, of_meta[0] + of_meta[1] * tm]), ty)
-    scored = log_odds(log_odds(featurised(base, rarity)[0], text_model, "_t"), meta_model, "_m")
+    scored = log_odds(log_odds(vectors, text_model, "_t"), meta_model, "_m")
     line = lambda b, c: F.lit(float(b[0])) + F.lit(float(b[1])) * F.col(c)
     p = lambda z: 1.0 / (1.0 + F.exp(-z))
     total = F.lit(float(both[0])) + F.lit(float(both[1])) * line(of_text, "_t") + F.lit(float(both[2])) * line(of_meta, "_m")

@@ -175,6 +175,23 @@ def test_classifier_without_enough_labels(spark, docs_of):
     assert cotraining.score_quality(docs_of([]), one).count() == 0
 
 
+def test_cotraining_uses_every_document(spark, docs_of, monkeypatch):
+    rng = random.Random(5)
+    word = {0: [f"b{k}" for k in range(9)], 1: [f"g{k}" for k in range(9)]}
+    rows = [(i, " ".join(rng.choices(word[i % 2], k=6)) + (" late" if i >= 12_000 else "")) for i in range(20_000)]
+    docs = docs_of(rows).withColumn("source", F.when(F.col("doc_id") % 2 == 1, "src1").otherwise("src0"))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    fitted, rarity = [], []
+    fit_view, featurised = cotraining.fit_view, cotraining.featurised
+    monkeypatch.setattr(cotraining, "fit_view", lambda df, *a: fitted.append(df.count()) or fit_view(df, *a))
+    monkeypatch.setattr(cotraining, "featurised", lambda *a: rarity.append(featurised(*a)) or rarity[-1])
+    got = cotraining.score_quality(docs, labels).collect()
+    assert {r.doc_id: r.kept for r in got} == {i: i % 2 == 1 for i, _ in rows}
+    assert min(fitted[2:]) > 19_800  # all unlabelled rows are sure, and the labelled ones not held out
+    assert {m.numDocs for _, m in rarity} == {20_000}
+    assert 8_000 in rarity[0][1].docFreq  # a term that no labelled row has
+
+
 def test_small_logistic_fit():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((6000, 2))
