@@ -1,14 +1,14 @@
 """Log-probabilities of whole documents under a recurrent model trained on the corpus.
 
-Counts of all words of all training documents come first. The most frequent words are the
-model's tokens; any other word is the unknown token, times its share among the unknown words
-by its count. Training is data-parallel: a start model learns from a bounded sample, every
+Counts of all words of all training documents come first. The most frequent words, as many as
+make up `COVERED` of all training tokens, are the model's tokens; any other word is the unknown
+token, times its share among the unknown words by its count. Training is data-parallel: a start model learns from a bounded sample, every
 task then goes on from it over the documents of its own partition, all of them, and the tasks'
 models are averaged by the tokens they saw. Scoring carries each document's state through all
 of its windows.
 
-Counts of the `KNOWN` most frequent words travel with the tasks (a fixed bound); the others of
-a document are joined to the count table.
+Counts of the `KNOWN` most frequent words, or of the model's if those are more, travel with the
+tasks; the others of a document are joined to the count table.
 """
 
 from __future__ import annotations
@@ -18,8 +18,6 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +26,8 @@ from hemolens.llm.common import lower_words
 from hemolens.session import cut_lineage
 
 KNOWN = 200_000
+#: Share of the training tokens that the model knows by name: its vocabulary grows with the corpus.
+COVERED = 0.8
 END = b""
 UNKNOWN_ID, END_ID, FIRST_ID = 0, 1, 2
 BLOCK = 4096
@@ -65,20 +65,23 @@ class Ranks(dict):
         return -1
 
 
-def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """At most `most` words with their counts, the most frequent first: all above some count.
+def most_frequent(counts: DataFrame, most: int, share: float = 0.0) -> list[tuple[bytes, int]]:
+    """Words with their counts, the most frequent first: all above some count.
+
+    They are at most `most`, or more if only more make up `share` of all tokens.
 
     Counts fall into sixteen classes a doubling, so a table of about a thousand rows at most tells
     from which class on the words are few enough, and no task sorts or sends more than those.
     """
     kind = F.floor(F.log2("n") * 16).cast("int")
-    sizes = counts.groupBy(kind.alias("kind")).agg(F.count("*").alias("words")).orderBy(F.desc("kind")).collect()
-    least, total = None, 0
+    sizes = counts.groupBy(kind.alias("kind")).agg(F.count("*").alias("words"), F.sum("n").alias("tokens")).orderBy(F.desc("kind")).collect()
+    wanted = share * sum(r["tokens"] for r in sizes)
+    least, total, tokens = None, 0, 0
     for r in sizes:
         total += r["words"]
-        if total > most:
+        if total > most and tokens >= wanted:
             break
-        least = r["kind"]
+        least, tokens = r["kind"], tokens + r["tokens"]
     if least is None:
         return []
     rows = counts.filter(kind >= least).collect()
@@ -94,18 +97,22 @@ class Vocabulary:
         self.total, self.distinct = total, distinct
         self.below = total + 0.1 * (distinct + 1)
         self.log10 = np.log10((self.counts + 0.1) / self.below)
-        named = [w for w, _ in frequent if w != END][: recurrent.TOKENS - FIRST_ID]
+        ends = self.counts[self.rank[END]] if END in self.rank else 0
+        others = [(w, n) for w, n in frequent if w != END]
+        reached = ends + np.cumsum([n for _, n in others])
+        named = [w for w, _ in others[: int(np.searchsorted(reached, COVERED * total)) + 1]]
+        #: classes of the model, and places in each
+        self.width = max(2, math.isqrt(len(named) + FIRST_ID - 1) + 1)
         self.ids = np.zeros(len(frequent) + 1, np.int64)  # the last is for words that are not frequent
         for k, w in enumerate(named):
             self.ids[self.rank[w]] = k + FIRST_ID
         if END in self.rank:
             self.ids[self.rank[END]] = END_ID
-        ends = self.counts[self.rank[END]] if END in self.rank else 0
         rest = total - ends - sum(self.counts[self.rank[w]] for w in named)
         unknown = distinct - (END in self.rank) - len(named)
         #: log10 of what a share of all tokens has to be raised by to be a share of the unknown ones
         self.raise_unknown = math.log10(self.below / (rest + 0.1 * (unknown + 1)))
-        self.token_counts = np.zeros(recurrent.TOKENS)
+        self.token_counts = np.zeros(self.width**2)
         self.token_counts[[UNKNOWN_ID, END_ID]] = rest, ends
         self.token_counts[FIRST_ID : FIRST_ID + len(named)] = [self.counts[self.rank[w]] for w in named]
 
@@ -126,30 +133,36 @@ def trained_on(docs: DataFrame, text: str, words: Vocabulary, start: np.ndarray,
     """(block, weight, values): what each task's model is after its partition, in blocks."""
 
     def run(batches):
-        trainer = recurrent.Trainer(recurrent.shaped(start), rate)
+        trainer = recurrent.Trainer(recurrent.shaped(start, words.width), rate)
         for batch in batches:
             trainer.learn([words.encode(t) for t in batch.column(0).to_pylist()])
         if trainer.seen:
-            values = recurrent.flat(trainer.model).astype(float)
-            parts = [values[k : k + BLOCK].tolist() for k in range(0, len(values), BLOCK)]
+            values = recurrent.flat(trainer.model)
+            parts = [values[k : k + BLOCK].tobytes() for k in range(0, len(values), BLOCK)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(parts)), pa.int32()), pa.array([float(trainer.seen)] * len(parts)), pa.array(parts, pa.list_(pa.float64()))],
+                [pa.array(range(len(parts)), pa.int32()), pa.array([float(trainer.seen)] * len(parts)), pa.array(parts, pa.binary())],
                 ["block", "weight", "values"],
             )
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "block int, weight double, values array<double>")
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "block int, weight double, values binary")
 
 
 def averaged(models: DataFrame) -> np.ndarray | None:
-    """Mean of the tasks' models, weighted by tokens; vectors are summed before the shuffle."""
-    mean = vector_to_array(Summarizer.mean(array_to_vector("values"), F.col("weight")))
-    rows = models.groupBy("block").agg(mean.alias("v")).orderBy("block").collect()  # the size of one model
-    return np.concatenate([np.array(r["v"]) for r in rows]) if rows else None
+    """Mean of the tasks' models, weighted by tokens; a group is one block of each task's model."""
+
+    def mean(rows: pa.Table) -> pa.Table:
+        values = np.array([np.frombuffer(v, np.float32) for v in rows["values"].to_pylist()])
+        v = np.average(values, axis=0, weights=rows["weight"].to_numpy()).astype(np.float32)
+        return pa.table({"block": rows["block"][:1], "v": pa.array([v.tobytes()], pa.binary())})
+
+    rows = models.groupBy("block").applyInArrow(mean, "block int, v binary").collect()  # the size of one model
+    rows = sorted(rows, key=lambda r: r["block"])
+    return np.concatenate([np.frombuffer(r["v"], np.float32) for r in rows]) if rows else None
 
 
 def train(docs: DataFrame, text: str, words: Vocabulary, id_col: str, most_start: int = 4_000) -> np.ndarray:
     """Model after the start sample (about `most_start` rows, by a hash of the id) and then all rows."""
-    first = recurrent.with_frequencies(recurrent.start_model(), words.token_counts)
+    first = recurrent.with_frequencies(recurrent.start_model(width=words.width), words.token_counts)
     share = F.pmod(F.xxhash64(F.col(id_col), F.lit("start")), F.lit(1_000_000_000)) / 1e9
     sample = docs.filter(share < most_start / max(docs.count(), 1)).coalesce(1)
     start = averaged(trained_on(sample, text, words, recurrent.flat(first), 0.01))
@@ -170,11 +183,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     training = docs.filter(~out)
     counts = cut_lineage(count_words(training, "text"))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    words = Vocabulary(most_frequent(counts, KNOWN), total, distinct)
+    words = Vocabulary(most_frequent(counts, KNOWN, COVERED), total, distinct)
     values = train(training, "text", words, "id")
 
     def score(batches):
-        model = recurrent.shaped(values)
+        model = recurrent.shaped(values, words.width)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             n, known, base, plain, unknown, rare, encoded, keys = [], [], [], [], [], [], [], []

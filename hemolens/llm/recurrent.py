@@ -1,8 +1,8 @@
 """A small gated recurrent language model in numpy: truncated backpropagation, class-factored softmax.
 
-Tokens are numbered so that `token // WIDTH` is the class and `token % WIDTH` the place in it:
-the probability of a token is that of its class times that of the token in its class, two
-softmaxes of `WIDTH` instead of one over the vocabulary. Many texts run side by side in lanes;
+A model of `width` has `width * width` tokens, numbered so that `token // width` is the class and
+`token % width` the place in it: the probability of a token is that of its class times that of the
+token in its class, two softmaxes of `width` instead of one over the vocabulary. Many texts run side by side in lanes;
 each lane reads one text after the other, and its state is carried from window to window until
 the text ends, so a text of any length is scored as a whole.
 """
@@ -17,20 +17,30 @@ HIDDEN = 16
 WIDTH = 32
 TOKENS = WIDTH * WIDTH
 WINDOW = 32
-SHAPES = {
-    "x": (TOKENS, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "wc": (HIDDEN, WIDTH), "bc": (WIDTH,),
-    "ww": (WIDTH, HIDDEN, WIDTH), "bw": (WIDTH, WIDTH),
-}
+STEP = 4096
 
 
-def start_model(seed: int = 1) -> dict[str, np.ndarray]:
+def shapes(width: int) -> dict[str, tuple[int, ...]]:
+    return {
+        "x": (width * width, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "wc": (HIDDEN, width), "bc": (width,),
+        "ww": (width, HIDDEN, width), "bw": (width, width),
+    }
+
+
+#: Of the width that a model has where none is given.
+SHAPES = shapes(WIDTH)
+
+
+def start_model(seed: int = 1, width: int = WIDTH) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return {k: (rng.standard_normal(s) * (0 if k in ("bc", "bw") else 0.15)).astype(np.float32) for k, s in SHAPES.items()}
+    scale = lambda k: np.float32(0 if k in ("bc", "bw") else 0.15)
+    return {k: rng.standard_normal(s, np.float32) * scale(k) for k, s in shapes(width).items()}
 
 
 def with_frequencies(model: dict, counts: np.ndarray) -> dict:
     """`model` whose biases alone give each token its share of `counts` (smoothed by one)."""
-    table = np.log(counts.reshape(WIDTH, WIDTH) + 1.0)
+    width = len(model["bc"])
+    table = np.log(counts.reshape(width, width) + 1.0)
     return model | {"bc": np.log(np.exp(table).sum(1)).astype(np.float32), "bw": table.astype(np.float32)}
 
 
@@ -38,10 +48,10 @@ def flat(model: dict) -> np.ndarray:
     return np.concatenate([model[k].ravel() for k in SHAPES])
 
 
-def shaped(values) -> dict[str, np.ndarray]:
+def shaped(values, width: int = WIDTH) -> dict[str, np.ndarray]:
     out, at = {}, 0
     values = np.asarray(values, np.float32)
-    for k, s in SHAPES.items():
+    for k, s in shapes(width).items():
         n = int(np.prod(s))
         out[k] = values[at : at + n].reshape(s)
         at += n
@@ -108,7 +118,8 @@ def softmax(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def outputs(model, states, tokens, gradient: bool):
     """Log-probability of each token (natural), and the gradients of their negative sum."""
-    kind, place = tokens // WIDTH, tokens % WIDTH
+    width = len(model["bc"])
+    kind, place = tokens // width, tokens % width
     rows = np.arange(len(tokens))
     v = states @ model["wc"] + model["bc"]
     d, log = softmax(v)
@@ -116,10 +127,10 @@ def outputs(model, states, tokens, gradient: bool):
     grads = back = None
     if gradient:
         d[rows, kind] -= 1
-        grads = {"wc": states.T @ d, "bc": d.sum(0), "ww": np.zeros(SHAPES["ww"], states.dtype), "bw": np.zeros(SHAPES["bw"], states.dtype)}
+        grads = {"wc": states.T @ d, "bc": d.sum(0), "ww": np.zeros(model["ww"].shape, states.dtype), "bw": np.zeros(model["bw"].shape, states.dtype)}
         back = d @ model["wc"].T
     order = np.argsort(kind, kind="stable")
-    edges = np.searchsorted(kind[order], np.arange(WIDTH + 1))
+    edges = np.searchsorted(kind[order], np.arange(width + 1))
     for c in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
         at = order[edges[c] : edges[c + 1]]
         s, own, chosen = states[at], np.arange(len(at)), place[at]
@@ -162,18 +173,24 @@ def backward(model, tokens, first, before, saved, back, grads) -> None:
     flat_tokens = tokens.ravel()
     order = np.argsort(flat_tokens, kind="stable")
     ids, at = np.unique(flat_tokens[order], return_index=True)
-    grads["x"] = np.zeros(SHAPES["x"], dg.dtype)
+    grads["x"] = np.zeros(model["x"].shape, dg.dtype)
     grads["x"][ids] = np.add.reduceat(dg.reshape(-1, 3 * n)[order], at, axis=0)
 
 
 class Trainer:
-    """Adam over truncated windows; the state of every lane is carried on."""
+    """Adam over truncated windows; the state of every lane is carried on.
+
+    Only tokens and classes that a window has are updated by it, so a step does not grow with the
+    vocabulary; each has its own count of steps, for the correction of its averages. Windows of
+    fewer than `STEP` tokens, such as those at the end of one long text, take shorter steps.
+    """
 
     def __init__(self, model: dict, rate: float):
         self.model = {k: v.copy() for k, v in model.items()}
         self.m = {k: np.zeros_like(v) for k, v in model.items()}
         self.v = {k: np.zeros_like(v) for k, v in model.items()}
-        self.rate, self.step, self.seen, self.loss = rate, 0, 0, 0.0
+        self.steps = {k: np.zeros((len(v), *[1] * (v.ndim - 1)), np.float32) for k, v in model.items()}
+        self.rate, self.seen, self.loss = rate, 0, 0.0
 
     def learn(self, texts: list[np.ndarray], lanes: int = 192) -> None:
         texts = [t for t in texts if len(t)]
@@ -193,18 +210,22 @@ class Trainer:
             whole = np.zeros_like(states)
             whole[at] = back
             backward(self.model, tok, fst, before, saved, whole.reshape(before.shape), grads)
-            self.update(grads, len(at))
+            self.update(grads, len(at), np.unique(ids), np.unique(ids[at] // len(self.model["bc"])))
             self.seen += len(at)
             self.loss -= float(logp.sum())
 
-    def update(self, grads: dict, n: int) -> None:
-        self.step += 1
-        fix = self.rate * np.sqrt(1 - 0.999**self.step) / (1 - 0.9**self.step)
+    def update(self, grads: dict, n: int, tokens: np.ndarray, classes: np.ndarray) -> None:
+        rate = np.float32(self.rate * min(1.0, n / STEP))
         for k, g in grads.items():
-            g = np.clip(g / np.float32(n), -0.1, 0.1)
-            self.m[k] += np.float32(0.1) * (g - self.m[k])
-            self.v[k] += np.float32(0.001) * (g * g - self.v[k])
-            self.model[k] -= np.float32(fix) * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-7))
+            at = {"x": tokens, "ww": classes, "bw": classes}.get(k, slice(None))
+            self.steps[k][at] += 1
+            step = self.steps[k][at]
+            fix = rate * np.sqrt(1 - np.float32(0.999) ** step) / (1 - np.float32(0.9) ** step)
+            g = np.clip(g[at] / np.float32(n), -0.1, 0.1)
+            m = self.m[k][at] + np.float32(0.1) * (g - self.m[k][at])
+            v = self.v[k][at] + np.float32(0.001) * (g * g - self.v[k][at])
+            self.m[k][at], self.v[k][at] = m, v
+            self.model[k][at] -= fix * m / (np.sqrt(v) + np.float32(1e-7))
 
 
 def score_texts(model: dict, texts: list[np.ndarray], lanes: int = 256) -> np.ndarray:

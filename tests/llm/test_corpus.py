@@ -284,6 +284,21 @@ def test_probabilities_sum_to_one():
     assert abs(np.exp(logp.astype(float)).sum() - 1) < 1e-4
 
 
+def test_vocabulary_follows_the_counts(spark, docs_of):
+    rows = [(i, " ".join(f"v{k}" for k in range(4_000))) for i in range(3)] + [(9, " ".join(f"once{k}" for k in range(1_000)))]
+    counts = lm.count_words(docs_of(rows), "text")
+    total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
+    words = lm.Vocabulary(lm.most_frequent(counts, 100, lm.COVERED), total, distinct)
+    ids = words.encode(rows[0][1])[:-1]
+    assert (ids != lm.UNKNOWN_ID).sum() * 3 >= lm.COVERED * total - len(rows) - 3  # each of them three times
+    assert words.width**2 >= len(set(ids)) > recurrent.TOKENS and (words.width - 1) ** 2 < len(set(ids)) + 2
+    model = recurrent.with_frequencies(recurrent.start_model(width=words.width), words.token_counts)
+    again = recurrent.shaped(recurrent.flat(model), words.width)
+    assert all((again[k] == model[k]).all() for k in model)
+    h = np.zeros((words.width**2, recurrent.HIDDEN), np.float32)
+    assert abs(np.exp(recurrent.outputs(model, h, np.arange(len(h)), False)[0].astype(float)).sum() - 1) < 1e-3
+
+
 def check_base(rows, got):
     out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
     seen = Counter()
