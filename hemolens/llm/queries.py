@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 from hemolens.llm import (
     cotraining,
     decontaminate,
+    exact,
     jaccard,
     language,
     lm,
+    negatives,
     oracles,
     pieces,
     quality_rules,
     secrets,
     substrings,
     token_counts,
+    whitening,
 )
 from hemolens.llm.common import table
 from hemolens.session import cut_lineage, scratch_path
@@ -169,3 +172,22 @@ def op5_quality_classifier(spark, sf_dir):
 def op8_lm_scoring(spark, sf_dir):
     """Unigram and recurrent log-probabilities of every document."""
     return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_embedding_whitening(spark, sf_dir):
+    """Every vector along the four leading components of the distinct ones."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=4)
+
+
+@query
+def op12_hard_negatives(spark, sf_dir):
+    """Rows of another label that score just below each positive of every hundredth vector."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label, k=5, share=80)
+
+
+@query
+def op13_exact_dedup(spark, sf_dir):
+    """The row that stays for every document, and the size of its group."""
+    return exact.mark_copies(table(spark, sf_dir, "documents"))
