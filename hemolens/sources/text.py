@@ -6,12 +6,17 @@ parser needs a shuffle.
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hemolens.functions.scalars import whole_number
 
-LABEL_SCHEMA = "peptide_id string, sequence string, hc50_um double, sequence_length int, name string"
+LABEL_FIELDS = {"sequence": "string", "hc50_um": "double", "sequence_length": "int", "name": "string"}
+LABEL_NAMES = ["peptide_id", *LABEL_FIELDS]
+LABEL_SCHEMA = ", ".join(["peptide_id string", *[f"{n} {k}" for n, k in LABEL_FIELDS.items()]])
 
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:
@@ -66,9 +71,52 @@ def scan_fasta(spark: SparkSession, path: str) -> DataFrame:
     return parsed.filter(F.col("source_file").isNotNull())
 
 
-def scan_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Label table; a file whose header names other columns, or the same in another order, is refused."""
-    return spark.read.csv(path, header=True, schema=LABEL_SCHEMA, quote='"', escape='"', enforceSchema=False)
+def first_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, header): the first line of every file that has one."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"), "value",
+    )
+    return lines.groupBy("file").agg(F.min_by("value", F.struct("_block", "_line")).alias("header"))
+
+
+def label_columns(header: str, ident: str | None = None) -> str:
+    """Schema of a label file with this header line: `LABEL_FIELDS` by name, in any case and order.
+
+    The id is the column named `ident`, or else the one column that is left over. Columns
+    beyond those are read and dropped. Fails if a field is missing or the id is in doubt.
+    """
+    names = [n.strip().lower() for n in next(csv.reader([header.lstrip("\ufeff")]))]
+    missing = [f for f in LABEL_FIELDS if names.count(f) != 1]
+    if missing:
+        raise ValueError(f"label header {header!r} must have {', '.join(missing)} once")
+    others = [n for n in names if n not in LABEL_FIELDS]
+    chosen = ident.lower() if ident else others[0] if len(others) == 1 else None
+    if chosen is None or others.count(chosen) != 1:
+        raise ValueError(f"label header {header!r} must have one id column besides {', '.join(LABEL_FIELDS)}, not {others}")
+    kind = lambda i, n: f"`{n}` {LABEL_FIELDS[n]}" if n in LABEL_FIELDS else "peptide_id string" if n == chosen else f"`_other_{i}` string"
+    return ", ".join(kind(i, n) for i, n in enumerate(names))
+
+
+def scan_labels(spark: SparkSession, path: str, ident: str | None = None) -> DataFrame:
+    """Label table (peptide_id, sequence, hc50_um, sequence_length, name), columns found by header name.
+
+    Files may differ in the order and case of their headers and in the name of the id column
+    (see `label_columns`); files with one header are one scan. Only distinct headers and, where
+    there are several, file names reach the driver.
+    """
+    headers = first_lines(spark, path).groupBy("header").agg(F.count("*").alias("files")).collect()
+    if not headers:
+        return spark.createDataFrame([], LABEL_SCHEMA)
+    read = lambda where, schema: spark.read.csv(where, header=True, schema=schema, quote='"', escape='"').select(*LABEL_NAMES)
+    if len(headers) == 1:
+        return read(path, label_columns(headers[0]["header"], ident))
+    parts = []
+    for row in headers:
+        schema = label_columns(row["header"], ident)
+        files = first_lines(spark, path).filter(F.col("header") == row["header"]).select("file").collect()
+        parts.append(read([f["file"] for f in files], schema))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def parse_score_records(df: DataFrame) -> DataFrame:

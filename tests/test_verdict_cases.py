@@ -91,11 +91,29 @@ def test_no_machine_local_scratch_beyond_one_machine(spark, monkeypatch):
     assert not session.on_one_machine("local-cluster[2,1,1024]") and not session.on_one_machine("yarn")
 
 
-def test_label_files_with_another_column_order_are_refused(spark, tmp_path):
-    names = [f.name for f in text.LABEL_SCHEMA.fields] if hasattr(text.LABEL_SCHEMA, "fields") else [x.split()[0] for x in text.LABEL_SCHEMA.split(", ")]
-    (tmp_path / "l.csv").write_text(",".join(reversed(names)) + "\n" + ",".join("1" for _ in names) + "\n")
-    with pytest.raises(Exception):
-        text.scan_labels(spark, str(tmp_path / "l.csv")).collect()
+def test_label_files_with_another_column_order(spark, tmp_path):
+    (tmp_path / "l.csv").write_text('NAME,sequence_length,HC50_uM,SEQUENCE,PROJECT_ID\n"A, b",3,7.5,KLK,PEP_9\n')
+    assert tuple(text.scan_labels(spark, str(tmp_path / "l.csv")).first()) == ("PEP_9", "KLK", 7.5, 3, "A, b")
+
+
+def test_label_folders_with_several_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("X_ID,SEQUENCE,HC50_uM,sequence_length,NAME\nP1,KK,1.5,2,one\nP2,RR,250,2,two\n")
+    (tmp_path / "b.csv").write_text("name,hc50_um,amp_id,sequence,sequence_length\nthree,9,P3,LL,2\n")
+    (tmp_path / "c.csv").write_text("X_ID,SEQUENCE,HC50_uM,sequence_length,NAME\nP4,,,,\n")
+    rows = sorted(tuple(r) for r in text.scan_labels(spark, str(tmp_path)).collect())
+    assert rows == [("P1", "KK", 1.5, 2, "one"), ("P2", "RR", 250.0, 2, "two"), ("P3", "LL", 9.0, 2, "three"), ("P4", None, None, None, None)]
+
+
+def test_label_headers_in_doubt_fail(spark, tmp_path):
+    (tmp_path / "l.csv").write_text("ID,SEQUENCE,sequence_length,NAME\nP1,K,1,x\n")
+    with pytest.raises(ValueError, match="hc50_um"):
+        text.scan_labels(spark, str(tmp_path / "l.csv"))
+    (tmp_path / "m.csv").write_text("amp_id,batch,SEQUENCE,HC50_UM,sequence_length,NAME\nP1,7,K,2,1,x\n")
+    with pytest.raises(ValueError, match="one id column"):
+        text.scan_labels(spark, str(tmp_path / "m.csv"))
+    assert tuple(text.scan_labels(spark, str(tmp_path / "m.csv"), "AMP_ID").first()) == ("P1", "K", 2.0, 1, "x")
+    (tmp_path / "none.csv").write_text("")
+    assert text.scan_labels(spark, str(tmp_path / "none.csv")).count() == 0
 
 
 def test_null_keys_and_values_keep_their_rows(spark):
