@@ -20,8 +20,13 @@ from hemolens.session import cut_lineage
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is known with a posterior of a half or more."""
     columns = docs.columns
-    packed = docs.select("text", "lang", "source", F.struct("*").alias("_row"))  # safe against clashing names
-    return language.identify_documents(packed).filter("language_kept").select(*[F.col("_row")[c].alias(c) for c in columns])
+    safe = [f"_doc_{i}" for i in range(len(columns))]  # clear of the names that identification makes
+    text, lang, source = (F.col(safe[columns.index(c)]) for c in ("text", "lang", "source"))
+    found = language.identify(
+        docs.toDF(*safe), text=safe[columns.index("text")], declared=F.coalesce(language.markup_language(text), lang), host=source,
+        suffix=F.regexp_extract(source, r"\.([a-z0-9-]+)$", 1),
+    )
+    return found.filter("language_kept").select(*[F.col(n).alias(c) for n, c in zip(safe, columns)])
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
