@@ -33,11 +33,11 @@ def near_copies(seed=3, groups=6, most=14):
     return rows
 
 
-def plain_groups(rows):
+def plain_groups(rows, size=3, percent=90):
     sets = []
     for _, t in rows:
         w = lower_words(t)
-        sets.append(frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2)) if len(w) > 2 else frozenset([tuple(w)] if w else []))
+        sets.append(frozenset(tuple(w[k : k + size]) for k in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else []))
     parent = list(range(len(rows)))
 
     def root(x):
@@ -48,7 +48,7 @@ def plain_groups(rows):
     for a in range(len(rows)):
         for b in range(a):
             both = len(sets[a] & sets[b])
-            linked = sets[a] and sets[b] and 100 * both >= 90 * len(sets[a] | sets[b])
+            linked = sets[a] and sets[b] and 100 * both >= percent * len(sets[a] | sets[b])
             if rows[a][0] is not None and rows[b][0] is not None and (linked or rows[a][0] == rows[b][0]):
                 parent[root(a)] = root(b)
     least = {}
@@ -340,7 +340,7 @@ def test_pipeline_equals_a_plain_one(spark):
     docs = sorted(spark.read.parquet(f"{SF}/documents.parquet").collect(), key=lambda r: r.doc_id)
     items = [decontaminate.plain(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     kept = [r for r in docs if any(map(str.isalpha, r.text or ""))]
-    group = {i: c for i, _, c in plain_groups([(r.doc_id, r.text) for r in kept])}
+    group = {i: c for i, _, c in plain_groups([(r.doc_id, r.text) for r in kept], size=5, percent=80)}
     kept = [r for r in kept if group[r.doc_id] == r.doc_id and not any(i in decontaminate.plain(r.text) for i in items)]
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
     assert set(got) == {r.doc_id for r in kept}
