@@ -1,4 +1,4 @@
-"""Pairs within a distance (J08, J12) as an equi join on grid cells, and exact nearest neighbours."""
+"""Pairs within a distance (J08, J12) as an equi join on grid cells."""
 
 from __future__ import annotations
 

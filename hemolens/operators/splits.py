@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hemolens.functions import draws, ordered
-from hemolens.operators.neighbours import contacts
+from hemolens.operators.nearest import nearest_neighbours
+from hemolens.session import cut_lineage
 
 
 def hash_order(df: DataFrame, keys: Sequence[str], ident: str, seed: int | str, out: str = "place") -> DataFrame:
@@ -63,38 +64,15 @@ def hc50_bins(df: DataFrame, q: int, value: str = "hc50_um", ident: str = "pepti
     return placed.withColumn("bin", (number + 1).cast("int")).drop("_i")
 
 
-def nearest_neighbours(points: DataFrame, k: int, start: float, ident: str = "atom_id", max_doublings: int = 40) -> DataFrame:
-    """(a_id, b_id, dist, place): the exact k nearest distinct points of every point, in three dimensions.
+def smote(
+    minority: DataFrame, k: int, ratio: int, ident: str = "atom_id", vector: str = "x", seed: str = "smote", **search
+) -> DataFrame:
+    """(a_id, b_id, copy, x): `ratio` synthetic vectors per distinct minority vector, on the segments to its `k` nearest ones.
 
-    Points within a radius come from the grid join; whoever has k of them is done, the
-    others go on with twice the radius until the whole set is inside. Equal positions are
-    one point (lowest id), so copies cannot flood a cell.
+    Neighbours are exact and over all entries of the vectors (`nearest_neighbours`, which also
+    says what becomes of nulls and equal vectors); a single vector has none and makes nothing.
     """
-    from hemolens.session import cut_lineage
-
-    distinct = cut_lineage(points.groupBy("x", "y", "z").agg(F.min(ident).alias(ident)))
-    total = distinct.count()
-    need = min(k, total - 1)
-    open_points, found, radius = distinct, None, start
-    if need < 1:
-        return contacts(distinct, distinct, start, ident=ident).filter("a_id <> b_id").withColumn("place", F.lit(1))
-    w = Window.partitionBy("a_id").orderBy("dist", "b_id")
-    for _ in range(max_doublings):
-        pairs = contacts(open_points, distinct, radius, ident=ident).filter("a_id <> b_id")
-        ranked = pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= need)
-        full = ranked.groupBy("a_id").agg(F.count("*").alias("_n")).filter(F.col("_n") == need).select("a_id")
-        hits = cut_lineage(ranked.join(full, "a_id", "left_semi"))
-        found = hits if found is None else found.unionByName(hits)
-        open_points = cut_lineage(open_points.join(hits.select(F.col("a_id").alias(ident)), ident, "left_anti"))
-        if open_points.isEmpty():
-            return found
-        radius *= 2
-    raise RuntimeError(f"points without {need} neighbours within {radius}")
-
-
-def smote(minority: DataFrame, k: int, ratio: int, start: float, ident: str = "atom_id", seed: str = "smote") -> DataFrame:
-    """`ratio` synthetic points per distinct minority point, each on the segment to one of its k neighbours."""
-    near = nearest_neighbours(minority, k, start, ident)
+    near = cut_lineage(nearest_neighbours(minority, k, ident, vector, **search))
     degree = near.groupBy("a_id").agg(F.count("*").alias("_k"))
     wanted = degree.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(ratio)))).withColumns(
         {
@@ -103,11 +81,8 @@ def smote(minority: DataFrame, k: int, ratio: int, start: float, ident: str = "a
         }
     )
     chosen = wanted.join(near.select("a_id", "place", "b_id"), ["a_id", "place"])
-    a = minority.select(F.col(ident).alias("a_id"), *[F.col(c).alias(f"_a{c}") for c in "xyz"])
-    b = minority.select(F.col(ident).alias("b_id"), *[F.col(c).alias(f"_b{c}") for c in "xyz"])
+    a = minority.select(F.col(ident).alias("a_id"), F.col(vector).alias("_a"))
+    b = minority.select(F.col(ident).alias("b_id"), F.col(vector).alias("_b"))
     joined = chosen.join(a, "a_id").join(b, "b_id")
-
-    def between(c: str) -> Column:
-        return (F.col(f"_a{c}") + F.col("_u") * (F.col(f"_b{c}") - F.col(f"_a{c}"))).alias(c)
-
-    return joined.select("a_id", "b_id", "copy", *[between(c) for c in "xyz"])
+    between = F.zip_with("_a", "_b", lambda p, q: p + F.col("_u") * (q - p))
+    return joined.select("a_id", "b_id", "copy", between.alias("x"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hemolens.functions import draws
 from hemolens.operators import evaluation as ev, splits
-from hemolens.plans.binding import ASSAYS_SQL, FIRST_ATOMS_SQL, PREDICTIONS_SQL, REPLICATES_SQL, draw_sql, r6, round6
+from hemolens.plans.binding import ASSAYS_SQL, PREDICTIONS_SQL, REPLICATES_SQL, draw_sql, r6, round6
 from hemolens.plans.catalog import query
 from hemolens.plans.windows import COUNTS_SQL
 
@@ -55,18 +55,21 @@ def hc50_bins(t):
 
 @query(
     "e05_smote",
-    f"""WITH {FIRST_ATOMS_SQL}, m AS (SELECT min(atom_id) AS atom_id, x, y, z FROM atoms WHERE molecule <= 1 GROUP BY x, y, z),
-    d AS (SELECT a.atom_id AS a_id, b.atom_id AS b_id, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS dist FROM m a JOIN m b ON a.atom_id <> b.atom_id),
+    f"""WITH m AS (SELECT min(vec_id) AS id, x FROM (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings WHERE label <= 1) GROUP BY x),
+    d AS (SELECT a.id AS a_id, b.id AS b_id, list_distance(a.x, b.x) AS dist FROM m a JOIN m b ON a.id <> b.id),
     nn AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY dist, b_id) AS place FROM d QUALIFY place <= 5),
     k AS (SELECT a_id, count(*) AS k FROM nn GROUP BY 1),
     w AS (SELECT a_id, copy, {draw_sql("'smote|' || a_id || '|' || copy || '|pick'")} % k + 1 AS place,
-      {draw_sql("'smote|' || a_id || '|' || copy || '|gap'")} / 4294967296.0::DOUBLE AS u FROM k, (SELECT unnest(range(1, 4)) AS copy))
-    SELECT w.a_id, nn.b_id, CAST(w.copy AS INTEGER) AS copy, {r6('a.x + u * (b.x - a.x)')} AS x, {r6('a.y + u * (b.y - a.y)')} AS y, {r6('a.z + u * (b.z - a.z)')} AS z
-    FROM w JOIN nn ON w.a_id = nn.a_id AND w.place = nn.place JOIN m a ON a.atom_id = w.a_id JOIN m b ON b.atom_id = nn.b_id""",
+      {draw_sql("'smote|' || a_id || '|' || copy || '|gap'")} / 4294967296.0::DOUBLE AS u FROM k, (SELECT unnest(range(1, 4)) AS copy)),
+    p AS (SELECT w.a_id, nn.b_id, w.copy, u, a.x AS p, b.x AS q FROM w JOIN nn ON w.a_id = nn.a_id AND w.place = nn.place
+      JOIN m a ON a.id = w.a_id JOIN m b ON b.id = nn.b_id)
+    SELECT a_id, b_id, CAST(copy AS INTEGER) AS copy, list_transform(list_zip(p, q), lambda z: round(z[1] + u * (z[2] - z[1]), 6) + 0.0) AS x FROM p""",
 )
 def smote(t):
-    """Molecules 0 and 1 as the minority class."""
-    return rounded(splits.smote(t.first_atoms().filter("molecule <= 1"), 5, 3, start=0.08), "x", "y", "z")
+    """Labels 0 and 1 as the minority class, all elements of the vectors as features."""
+    rows = t.embeddings.filter("label <= 1").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    made = splits.smote(rows, 5, 3, "vec_id")
+    return made.withColumn("x", F.transform("x", round6))
 
 
 @query(

@@ -78,19 +78,6 @@ def test_dbscan_equals_brute_force(cloud):
     assert got == want
 
 
-def test_nearest_neighbours_and_smote(cloud):
-    pdf = cloud.toPandas().groupby(["x", "y", "z"], as_index=False).atom_id.min()
-    got = splits.nearest_neighbours(cloud, 4, 0.05).toPandas()
-    p = pdf[["x", "y", "z"]].to_numpy()
-    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1))
-    np.fill_diagonal(d, np.inf)
-    for row, ident in enumerate(pdf.atom_id):
-        mine = got[got.a_id == ident].sort_values("place")
-        assert np.allclose(mine.dist, np.sort(d[row])[:4])
-    made = splits.smote(cloud, 4, 2, 0.05)
-    assert made.count() == 2 * len(pdf)
-
-
 def test_joins(spark):
     feats = spark.createDataFrame([("a", 1, "f"), ("a", 2, "g"), ("b", 3, "h")], "amp_id string, v int, src string")
     labs = spark.createDataFrame([("a", 10.0, "l"), ("a", 20.0, "m"), ("z", 1.0, "n")], "amp_id string, HC50 double, src string")
