@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from hemolens.functions import draws
-from hemolens.operators import evaluation as ev, splits
+from hemolens.operators import evaluation as ev, resampling, splits
 from hemolens.plans.binding import ASSAYS_SQL, PREDICTIONS_SQL, REPLICATES_SQL, draw_sql, r6, round6
 from hemolens.plans.catalog import query
 from hemolens.plans.windows import COUNTS_SQL
@@ -13,6 +16,36 @@ from hemolens.plans.windows import COUNTS_SQL
 THRESHOLDS = [round(0.05 * i, 2) for i in range(1, 20)]
 
 
+#: 1, 1/3, 1/15, ...: the odd double factorials below, for the series of the normal distribution.
+_ODD = []
+for _k in range(120):
+    _ODD.append(1.0 if not _k else _ODD[-1] / (2 * _k + 1))
+
+
+def phi_sql(z: str) -> str:
+    """Normal distribution function by its series, good for |z| up to 8."""
+    terms = f"list_sum(list_transform([{', '.join(f'{c!r}::DOUBLE' for c in _ODD)}], lambda c, k: c * pow({z}, 2 * k - 1)))"
+    return f"(0.5 + exp(-({z}) * ({z}) / 2) / {math.sqrt(2 * math.pi)!r} * {terms})"
+
+
+def bca_sql(replicates: int) -> str:
+    """CTEs from `stats` (stat), `obs` (stat) and `acc` (a) to `ends` (boot_mean, ci_low, ci_high); the bias by bisection."""
+    z = NormalDist().inv_cdf(0.975)
+    level = lambda end: phi_sql(f"(z0 + (z0 + {end!r}) / (1 - a * (z0 + {end!r})))")
+    at = lambda q: f"(s[lo_{q} + 1] + ({q} * (len(s) - 1) - lo_{q}) * (s[least(lo_{q} + 2, len(s))] - s[lo_{q} + 1]))"
+    return f"""share AS (SELECT greatest(least(avg(CASE WHEN stats.stat < obs.stat - 1e-12 THEN 1.0 ELSE 0.0 END::DOUBLE), 1 - {0.5 / replicates!r}), {0.5 / replicates!r}) AS b
+      FROM stats, obs WHERE stats.stat IS NOT NULL),
+    bis AS (SELECT -6.0::DOUBLE AS lo, 6.0::DOUBLE AS hi, 0 AS n UNION ALL SELECT CASE WHEN f < b THEN mid ELSE lo END, CASE WHEN f < b THEN hi ELSE mid END, n + 1
+      FROM (SELECT lo, hi, n, b, (lo + hi) / 2 AS mid, {phi_sql('((lo + hi) / 2)')} AS f FROM bis, share WHERE n < 50)),
+    lv AS (SELECT {level(-z)} AS ql, {level(z)} AS qh FROM (SELECT (lo + hi) / 2 AS z0 FROM bis WHERE n = 50), acc),
+    held AS (SELECT list_sort(list(stat)) AS s, avg(stat) AS boot_mean FROM stats WHERE stat IS NOT NULL),
+    spot AS (SELECT *, CAST(floor(ql * (len(s) - 1)) AS INTEGER) AS lo_ql, CAST(floor(qh * (len(s) - 1)) AS INTEGER) AS lo_qh FROM held, lv),
+    ends AS (SELECT len(s) AS resamples, boot_mean, {at('ql')} AS ci_low, {at('qh')} AS ci_high FROM spot)"""
+
+
+ACC_SQL = "acc AS (SELECT sum(d * d * d) / (6 * pow(sum(d * d), 1.5)) AS a FROM (SELECT avg(t) OVER () - t AS d FROM jack))"
+
+
 def rounded(df, *cols):
     return df.withColumns({c: round6(F.col(c)) for c in cols})
 
@@ -126,6 +159,40 @@ def delong_ci(t):
     return rounded(ev.delong_ci(t.predictions()), "auc", "se", "ci_low", "ci_high")
 
 
+def _half_wins(a: str, b: str) -> str:
+    return f"CASE WHEN {a} > {b} THEN 1.0 WHEN {a} = {b} THEN 0.5 ELSE 0 END::DOUBLE"
+
+
+@query(
+    "e13_auc_test",
+    f"""WITH {PREDICTIONS_SQL}, s AS (SELECT a.source, a.peptide_id AS i, b.peptide_id AS j, {_half_wins('a.p', 'b.p')} AS w
+      FROM predictions a JOIN predictions b ON a.source = b.source AND a.y = 1 AND b.y = 0),
+    v1 AS (SELECT source, avg(v) AS auc, var_samp(v) / count(*) AS a FROM (SELECT source, i, avg(w) AS v FROM s GROUP BY 1, 2) GROUP BY 1),
+    v2 AS (SELECT source, var_samp(v) / count(*) AS b FROM (SELECT source, j, avg(w) AS v FROM s GROUP BY 1, 2) GROUP BY 1),
+    t AS (SELECT source, auc, sqrt(a + b) AS se, (auc - 0.5) / nullif(sqrt(a + b), 0) AS z FROM v1 JOIN v2 USING (source))
+    SELECT p.source, {r6('auc')} AS auc, {r6('se')} AS se, {r6('z')} AS z, {r6(f"1 - {phi_sql('z')}")} AS p_value
+    FROM (SELECT DISTINCT source FROM predictions) p LEFT JOIN t ON p.source = t.source""",
+)
+def auc_test(t):
+    """Is each source's AUC above one half?"""
+    return rounded(ev.auc_test(t.predictions(), ["source"]), "auc", "se", "z", "p_value")
+
+
+@query(
+    "e13_delong_paired",
+    f"""WITH {PREDICTIONS_SQL}, r AS (SELECT peptide_id, y, p, (p + ({draw_sql("'m2|' || peptide_id")} % 100) / 100.0::DOUBLE) / 2 AS q FROM predictions),
+    s AS (SELECT a.peptide_id AS i, b.peptide_id AS j, {_half_wins('a.p', 'b.p')} AS u, {_half_wins('a.q', 'b.q')} AS v FROM r a JOIN r b ON a.y = 1 AND b.y = 0),
+    o AS (SELECT avg(u) AS a, avg(v) AS b, (var_samp(u) + var_samp(v) - 2 * covar_samp(u, v)) / count(*) AS e FROM (SELECT i, avg(u) AS u, avg(v) AS v FROM s GROUP BY 1)),
+    x AS (SELECT (var_samp(u) + var_samp(v) - 2 * covar_samp(u, v)) / count(*) AS f FROM (SELECT j, avg(u) AS u, avg(v) AS v FROM s GROUP BY 1)),
+    t AS (SELECT a, b, sqrt(e + f) AS se, (a - b) / sqrt(e + f) AS z FROM o, x)
+    SELECT {r6('a')} AS auc_p, {r6('b')} AS auc_q, {r6('a - b')} AS difference, {r6('se')} AS se, {r6('z')} AS z, {r6(f"2 * (1 - {phi_sql('abs(z)')})")} AS p_value FROM t""",
+)
+def delong_paired(t):
+    """A score against its mean with a second one, on the same rows."""
+    second = (F.col("p") + draws.draw32(F.lit("m2"), "peptide_id") % 100 / 100.0) / 2
+    return rounded(ev.delong_paired(t.predictions().withColumn("q", second)), "auc_p", "auc_q", "difference", "se", "z", "p_value")
+
+
 @query("e14_pr_curve", f"WITH {COUNTS_SQL} SELECT {r6('score')} AS threshold, {r6('tp / (tp + fp)')} AS precision, {r6('tp / n_pos')} AS recall FROM cum")
 def pr_curve(t):
     return rounded(ev.pr_curve(t.predictions()), "threshold", "precision", "recall")
@@ -251,13 +318,68 @@ def bootstrap_ci(t):
     return rounded(out, "boot_mean", "ci_low", "ci_high")
 
 
-@query("e21_bootstrap_bca")
+MEANS_SQL = f"{REPLICATES_SQL}, v AS (SELECT peptide_id, round(sum(value), 2) / count(*) AS value, round(sum(tax), 2) / count(*) AS tax FROM replicates GROUP BY 1)"
+
+
+def drawn_sql(table: str, columns: str, replicates: int) -> str:
+    """CTEs i (columns, item, n) and d (rep, item): draws from the rows of `table` in digest order."""
+    return f"""i AS (SELECT {columns}, row_number() OVER (ORDER BY md5('boot|' || peptide_id), peptide_id) - 1 AS item, count(*) OVER () AS n FROM {table}),
+    d AS (SELECT rep, {draw_sql("'boot|' || rep || '|' || item")} % n AS item FROM i, (SELECT unnest(range(1, {replicates + 1})) AS rep))"""
+
+
+@query(
+    "e21_bootstrap_bca",
+    f"""WITH RECURSIVE {MEANS_SQL}, {drawn_sql("v", "value", 10_000)},
+    stats AS (SELECT rep, avg(i.value) AS stat FROM d JOIN i ON d.item = i.item GROUP BY 1), obs AS (SELECT avg(value) AS stat FROM v),
+    jack AS (SELECT (sum(value) OVER () - value) / (n - 1) AS t FROM i), {ACC_SQL}, {bca_sql(10_000)}
+    SELECT {r6('boot_mean')} AS boot_mean, {r6('ci_low')} AS ci_low, {r6('ci_high')} AS ci_high FROM ends""",
+)
 def bootstrap_bca(t):
-    """BCa interval; the normal quantile has no SQL form, tests compare with a direct computation."""
+    """BCa interval of the mean."""
     out = ev.bootstrap_ci(peptide_means(t), "peptide_id", "value", 10_000, method="bca")
     return rounded(out, "boot_mean", "ci_low", "ci_high")
 
 
+@query(
+    "e21_bootstrap_auc",
+    f"""WITH RECURSIVE {PREDICTIONS_SQL}, {drawn_sql("predictions", "y, p", 10_000)},
+    m AS (SELECT rep, p, sum(y) AS pos, sum(1 - y) AS neg FROM d JOIN i ON d.item = i.item GROUP BY 1, 2),
+    w AS (SELECT rep, pos, neg, sum(neg) OVER (PARTITION BY rep ORDER BY p ROWS UNBOUNDED PRECEDING) - neg AS below FROM m),
+    stats AS (SELECT rep, sum(pos * (below + neg / 2.0)) / nullif(sum(pos) * sum(neg), 0)::DOUBLE AS stat FROM w GROUP BY 1),
+    x AS (SELECT a.item AS i, b.item AS j, CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END::DOUBLE AS h FROM i a JOIN i b ON a.y = 1 AND b.y = 0),
+    k AS (SELECT sum(h) AS wins, count(DISTINCT i) AS m, count(DISTINCT j) AS n FROM x), obs AS (SELECT wins / (m * n) AS stat FROM k),
+    jack AS (SELECT (wins - g) / ((m - 1) * n) AS t FROM k, (SELECT sum(h) AS g FROM x GROUP BY i)
+      UNION ALL SELECT (wins - g) / (m * (n - 1)) FROM k, (SELECT sum(h) AS g FROM x GROUP BY j)), {ACC_SQL}, {bca_sql(10_000)}
+    SELECT {r6('obs.stat')} AS observed, resamples, {r6('boot_mean')} AS boot_mean, {r6('ci_low')} AS ci_low, {r6('ci_high')} AS ci_high FROM ends, obs""",
+)
+def bootstrap_auc(t):
+    """BCa interval of the AUC from 10,000 resamples of the scored rows."""
+    out = resampling.bootstrap_rank_ci(t.predictions(), "peptide_id", "y", "p", "auc", 10_000)
+    return rounded(out, "observed", "boot_mean", "ci_low", "ci_high")
+
+
+def peptide_pairs(t):
+    return t.replicates().groupBy("peptide_id").agg(*[(F.round(F.sum(c), 2) / F.count("*")).alias(c) for c in ("value", "tax")])
+
+
+@query(
+    "e21_bootstrap_spearman",
+    f"""WITH RECURSIVE {MEANS_SQL}, {drawn_sql("v", "value AS x, tax AS y", 10_000)},
+    r AS (SELECT rep, rank() OVER (PARTITION BY rep ORDER BY x) + (count(*) OVER (PARTITION BY rep, x) - 1) / 2.0 AS rx,
+      rank() OVER (PARTITION BY rep ORDER BY y) + (count(*) OVER (PARTITION BY rep, y) - 1) / 2.0 AS ry FROM d JOIN i ON d.item = i.item),
+    stats AS (SELECT rep, corr(rx, ry) AS stat FROM r GROUP BY 1),
+    o AS (SELECT g, rank() OVER (PARTITION BY g ORDER BY x) + (count(*) OVER (PARTITION BY g, x) - 1) / 2.0 AS rx,
+      rank() OVER (PARTITION BY g ORDER BY y) + (count(*) OVER (PARTITION BY g, y) - 1) / 2.0 AS ry FROM i, (SELECT item AS g FROM i UNION ALL SELECT -1) WHERE item <> g),
+    l AS (SELECT g, corr(rx, ry) AS t FROM o GROUP BY 1), obs AS (SELECT t AS stat FROM l WHERE g = -1), jack AS (SELECT t FROM l WHERE g >= 0),
+    {ACC_SQL}, {bca_sql(10_000)}
+    SELECT {r6('obs.stat')} AS observed, resamples, {r6('boot_mean')} AS boot_mean, {r6('ci_low')} AS ci_low, {r6('ci_high')} AS ci_high FROM ends, obs""",
+)
+def bootstrap_spearman(t):
+    """BCa interval of rho between two peptide means from 10,000 resamples of peptides."""
+    out = resampling.bootstrap_rank_ci(peptide_pairs(t), "peptide_id", "value", "tax", "spearman", 10_000)
+    return rounded(out, "observed", "boot_mean", "ci_low", "ci_high")
+
+
 @query(
     "e22_permutation_test",
     f"""WITH {PREDICTIONS_SQL}, k AS (SELECT sum(y) AS m, count(*) AS n, sum(p) AS s, sum(p) FILTER (WHERE y = 1) AS s1 FROM predictions),
@@ -272,6 +394,34 @@ def permutation_test(t):
     return rounded(ev.permutation_test(t.predictions(), "peptide_id", permutations=10_000), "observed", "p_value")
 
 
+@query(
+    "e22_permutation_auc",
+    f"""WITH {PREDICTIONS_SQL}, r AS (SELECT *, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS q FROM predictions),
+    k AS (SELECT sum(y)::DOUBLE AS m, count(*)::DOUBLE AS n, sum(q) FILTER (WHERE y = 1) AS s1 FROM r), o AS (SELECT *, (s1 - m * (m + 1) / 2) / (m * (n - m)) AS obs FROM k),
+    x AS (SELECT rep, q, row_number() OVER (PARTITION BY rep ORDER BY md5('perm|' || rep || '|' || peptide_id), peptide_id) AS place
+      FROM r, (SELECT unnest(range(1, 10001)) AS rep)),
+    g AS (SELECT rep, sum(q) AS s1 FROM x, o WHERE place <= m GROUP BY 1)
+    SELECT {r6('obs')} AS observed, count(*) AS permutations,
+      {r6('(count(*) FILTER (WHERE abs((g.s1 - m * (m + 1) / 2) / (m * (n - m)) - 0.5) >= abs(obs - 0.5) - 1e-12) + 1) / (count(*) + 1)')} AS p_value FROM g, o GROUP BY obs""",
+)
+def permutation_auc(t):
+    return rounded(ev.permutation_auc(t.predictions(), "peptide_id", permutations=10_000), "observed", "p_value")
+
+
+@query(
+    "e22_permutation_rho",
+    f"""WITH {MEANS_SQL}, r AS (SELECT peptide_id, {_rank_sql('value', 'tax')} FROM v),
+    i AS (SELECT *, row_number() OVER (ORDER BY md5('perm|' || peptide_id), peptide_id) AS at FROM r),
+    x AS (SELECT rep, r_value, row_number() OVER (PARTITION BY rep ORDER BY md5('perm|' || rep || '|' || peptide_id), peptide_id) AS at
+      FROM i, (SELECT unnest(range(1, 10001)) AS rep)),
+    g AS (SELECT rep, corr(x.r_value, i.r_tax) AS rho FROM x JOIN i ON x.at = i.at GROUP BY 1), o AS (SELECT corr(r_value, r_tax) AS obs FROM r)
+    SELECT {r6('obs')} AS observed, count(*) AS permutations, {r6('(count(*) FILTER (WHERE abs(rho) >= abs(obs) - 1e-12) + 1) / (count(*) + 1)')} AS p_value
+    FROM g, o GROUP BY obs""",
+)
+def permutation_rho(t):
+    return rounded(ev.permutation_rho(peptide_pairs(t), "peptide_id", "value", "tax", 10_000), "observed", "p_value")
+
+
 @query(
     "e23_wilcoxon_signed_rank",
     f"""WITH d AS (SELECT value - 35 AS d, round(abs(value - 35), 6) AS a FROM events WHERE round(value - 35, 6) <> 0),
