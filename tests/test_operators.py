@@ -202,18 +202,66 @@ def test_pmf_features_and_extension(spark):
     assert got[1] == ("extend", None) and got[2][0] == "insert" and abs(got[2][1] - 0.7) < 1e-9 and got[3][0] == "non-evaluable" and 4 not in got
 
 
-def test_autocorrelation_does_not_depend_on_the_chunk(spark):
-    rng = np.random.default_rng(0)
-    x = np.zeros(3000)
-    for i in range(1, 3000):
-        x[i] = 0.8 * x[i - 1] + rng.normal()
-    df = spark.createDataFrame(pd.DataFrame({"k": 1, "t": np.arange(3000), "z": x}))
-    a = fe.autocorr_neff(df, ["k"], ["t"], lags=40, chunk=100).first()
-    b = fe.autocorr_neff(df, ["k"], ["t"], lags=7, chunk=10_000).first()
-    assert abs(a.g - b.g) < 1e-9 and 5 < a.g < 14 and a.n == 3000
+@pytest.mark.parametrize("fill", [3, 6, 16])
+def test_lagged_sums_are_those_of_the_series(spark, fill):
+    rng = np.random.default_rng(3)
+    series = {k: rng.normal(size=n) for k, n in enumerate((1, 2, 3, 64, 65, 1000))}
+    rows = [(k, i, float(v), len(x)) for k, x in series.items() for i, v in enumerate(x, 1)]
+    df = spark.createDataFrame(rows, "k int, idx long, _d double, n long").repartition(5)
+    got = {}
+    for r in fe.lagged_sums(df, ["k"], fill).collect():
+        e2 = r._e - (r._e + 1) // 2
+        got.setdefault(r.k, {}).update({r.t1 + (i << e2): v for i, v in enumerate(r.r)})
+    for k, x in series.items():
+        want = [float(x[: len(x) - t] @ x[t:]) for t in range(len(x))]
+        assert np.allclose([got[k][t] for t in range(len(x))], want, atol=1e-9)
+
+
+def test_one_plan_whatever_the_correlation_time(spark):
+    t = np.arange(3000)
+    slow = pd.DataFrame({"k": "slow", "t": t, "z": np.cos(t / 900)})
+    fast = pd.DataFrame({"k": "fast", "t": t, "z": np.cos(t * 2.0)})
+    jobs = []
+    tracker = spark.sparkContext.statusTracker()
+    for name, pdf in (("slow", slow), ("fast", fast)):
+        df = spark.createDataFrame(pdf)
+        spark.sparkContext.setJobGroup(f"neff-{name}", name)
+        fe.autocorr_neff(df, ["k"], ["t"]).collect()
+        jobs.append(len(tracker.getJobIdsForGroup(f"neff-{name}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+    both = {r.k: r.g for r in fe.autocorr_neff(spark.createDataFrame(pd.concat([slow, fast])), ["k"], ["t"]).collect()}
+    assert both["slow"] > 500 and both["fast"] == 1.0
+
+
+def test_profiles_converge_in_tens_of_steps():
+    rng = np.random.default_rng(11)
+    centres, k, beta = np.linspace(-1.4, 2.6, 21), 300.0, 1 / fe.thermal_energy()
+    grid = (np.arange(-80, 150) + 0.5) * 0.02
+    energy = beta * 0.5 * k * (grid[:, None] - centres) ** 2
+    weights = np.exp(-beta * 6 * np.sin(2 * grid))[:, None] * np.exp(-energy)
+    counts = np.stack([[rng.multinomial(400, w / w.sum()) for w in weights.T] for _ in range(3)]).transpose(0, 2, 1).astype(float)
+    counts[2] *= np.arange(21) < 19  # the last windows were never sampled
+    keep = counts.sum(axis=(0, 2)) > 0
+    counts, energy = counts[:, keep], energy[keep]
+    log_p, f, rounds, residual = fe.solve_wham(counts, energy, np.zeros((3, 21)), 1e-10, 1000)
+    assert residual.max() <= 1e-10 and rounds.max() <= 40
+    for c, lp in zip(counts, log_p):
+        n, slow = c.sum(0), np.where(c.sum(0) > 0, 0.0, -np.inf)
+        used = n > 0
+        for _ in range(60_000):  # the plain rounds
+            p = c.sum(1) / (n[used] * np.exp(slow[used] - energy[:, used])).sum(1)
+            fresh = -np.log((p[:, None] * np.exp(-energy[:, used])).sum(0))
+            fresh -= fresh[0]
+            gap = np.abs(fresh - slow[used]).max()
+            slow[used] = fresh
+            if gap < 1e-12:
+                break
+        there = c.sum(1) > 0
+        a, b = lp[there], np.log(p[there])
+        assert gap < 1e-11 and np.abs((a - a[0]) - (b - b[0])).max() < 1e-7
 
 
-@pytest.fixture(scope="module")
 def scored(spark):
     rng = np.random.default_rng(5)
     y = rng.integers(0, 2, 400)
