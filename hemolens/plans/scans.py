@@ -134,6 +134,66 @@ def scan_sections(t):
     )
 
 
+BY_SOURCE_SQL = """byfile AS (SELECT source, string_split(string_agg('[ d' || doc_id || ' ]' || chr(10) || replace(coalesce(text, ''), '. ', chr(10)), chr(10) ORDER BY doc_id), chr(10)) AS arr
+    FROM documents GROUP BY source),
+  numbered AS (SELECT source, i AS line_no, regexp_replace(arr[i], '^\\s+|\\s+$', '', 'g') AS line FROM (SELECT source, arr, unnest(range(1, len(arr) + 1)) AS i FROM byfile))"""
+
+
+def source_files(t, label: str) -> str:
+    """One text file a source: its documents in order, each under a section of its own."""
+    path = scratch_path(t.spark, label)
+    body = F.concat(F.lit("[ d"), F.col("doc_id").cast("string"), F.lit(" ]\n"), F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit("\n")))
+    rows = t.documents.select("source", "doc_id", body.alias("body")).repartition("source").sortWithinPartitions("source", "doc_id")
+    rows.select("source", "body").write.partitionBy("source").text(path)
+    return path
+
+
+def folder_value(name: str):
+    return F.regexp_extract("file", f"/{name}=([^/]*)/", 1)
+
+
+@query(
+    "s05_scan_sections_files",
+    f"""WITH {BY_SOURCE_SQL},
+    marked AS (SELECT *, CASE WHEN regexp_matches(line, '^\\[[^\\]]*\\]') THEN regexp_extract(line, '^\\[\\s*([^\\]]*?)\\s*\\]', 1) END AS head FROM numbered),
+    filled AS (SELECT *, last_value(head IGNORE NULLS) OVER (PARTITION BY source ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM marked)
+    SELECT source, section, CAST(line_no AS INTEGER) AS line_no, regexp_split_to_array(line, '\\s+')[1] AS first_token,
+      CAST(len(regexp_split_to_array(line, '\\s+')) AS INTEGER) AS n_tokens
+    FROM filled WHERE head IS NULL AND section IS NOT NULL AND line <> '' AND line[1] <> ';'""",
+)
+def scan_sections_files(t):
+    """Write a file of sections for each source, read it back in byte ranges."""
+    parsed = text.scan_sections(t.spark, source_files(t, "sections"))
+    return parsed.select(folder_value("source").alias("source"), "section", "line_no", F.col("tokens")[0].alias("first_token"), F.size("tokens").alias("n_tokens"))
+
+
+@query(
+    "s08_scan_log_files",
+    f"""WITH {BY_SOURCE_SQL},
+    ahead AS (SELECT source, line_no, line, lead(line, 2) OVER (PARTITION BY source ORDER BY line_no) AS hit FROM numbered)
+    SELECT source, CAST(max(line_no) + 2 AS INTEGER) AS line_no, arg_max(hit, line_no) AS value FROM ahead
+    WHERE contains(line, 'en') AND hit <> '' AND hit[1] <> ';' GROUP BY source""",
+)
+def scan_log_files(t):
+    """Write a log for each source, find what follows its last marker."""
+    found = text.scan_log_after(t.spark, source_files(t, "logs"), "en")
+    return found.select(folder_value("source").alias("source"), "line_no", "value")
+
+
+@query(
+    "s12_manifest_files",
+    f"""WITH byfile AS (SELECT source, hex(encode(string_agg('[ d' || doc_id || ' ]' || chr(10) || replace(coalesce(text, ''), '. ', chr(10)), chr(10) ORDER BY doc_id) || chr(10))) AS h
+      FROM documents GROUP BY source),
+    leaves AS (SELECT source, i, sha256(unhex(substr(h, CAST(i * 20000 + 1 AS BIGINT), 20000))) AS leaf FROM (SELECT source, h, unnest(range((len(h) + 19999) // 20000)) AS i FROM byfile)),
+    roots AS (SELECT source, sha256(unhex(string_agg(leaf, '' ORDER BY i))) AS sha256 FROM leaves GROUP BY 1)
+    SELECT source, len(h) // 2 AS size, sha256 FROM byfile JOIN roots USING (source)""",
+)
+def manifest_files(t):
+    """Write a file for each source; size and digest tree over ranges of 10,000 bytes."""
+    listed = text.build_manifest(t.spark, source_files(t, "manifest"), leaf=10_000).filter(F.col("path").endswith(".txt"))
+    return listed.select(F.regexp_extract("path", "/source=([^/]*)/", 1).alias("source"), "size", "sha256")
+
+
 def gro_texts(t):
     """One GRO text per embedding, built inside its row."""
     e = F.col("embedding")
@@ -166,6 +226,24 @@ def scan_gro(t):
     )
 
 
+@query(
+    "s06_scan_gro_frames",
+    f"""WITH {BEADS_SQL}, f AS (SELECT vec_id AS mol, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS frame FROM embeddings)
+    SELECT CAST(run AS VARCHAR) AS run, frame, 'molecule ' || run AS title, 21 AS n_atoms, bead + 1 AS resid, 'B' || bead AS atom,
+      {r6("round(x, 3)")} AS x, {r6("round(y, 3)")} AS y, {r6("round(z, 3)")} AS z, 14.0::DOUBLE AS lz FROM beads JOIN f USING (mol)""",
+)
+def scan_gro_frames(t):
+    """Write one trajectory a label, a frame for each of its vectors, and read it back in byte ranges."""
+    path = scratch_path(t.spark, "frames")
+    texts = gro_texts(t).join(t.embeddings.select(F.col("vec_id").alias("file"), F.col("label").alias("run")), "file")
+    body = F.regexp_replace("text", "\n$", "").alias("body")
+    texts.repartition("run").sortWithinPartitions("run", "file").select("run", body).write.partitionBy("run").text(path)
+    return text.scan_gro(t.spark, path).select(
+        folder_value("run").alias("run"), "frame", "title", "n_atoms", "resid", "atom",
+        *[round6(F.col(a)).alias(a) for a in "xyz"], F.col("box.lz").alias("lz"),
+    )
+
+
 def pdb_texts(t):
     """One PDB text per embedding: CA and N alternate, B-factor from the first coordinate."""
     e = F.col("embedding")

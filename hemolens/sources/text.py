@@ -1,7 +1,7 @@
 """Text sources. Each `scan_*` reads files; its `parse_*` works on any (file, text) table.
 
-Everything inside one file is done with array expressions on that file's row, so no
-parser needs a shuffle.
+A `parse_*` works inside a text's row with array expressions and needs no shuffle; the `scan_*` of
+sections, coordinates and logs read files of any size in byte ranges (`lines`).
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hemolens.functions import ordered
 from hemolens.functions.scalars import whole_number
+from hemolens.sources.lines import carried, frame_starts, framed, numbered_lines
 
 LABEL_FIELDS = {"sequence": "string", "hc50_um": "double", "sequence_length": "int", "name": "string"}
 LABEL_NAMES = ["peptide_id", *LABEL_FIELDS]
@@ -207,7 +209,14 @@ def parse_sections(df: DataFrame, section: str | None = None) -> DataFrame:
 
 
 def scan_sections(spark: SparkSession, path: str, section: str | None = None) -> DataFrame:
-    return parse_sections(read_whole(spark, path), section)
+    """`parse_sections` of files of any size, read in byte ranges; the open section is carried from range to range."""
+    lines = numbered_lines(spark, path)
+    head = F.regexp_extract("line", r"^\s*\[\s*([^\]]*?)\s*\]", 1)
+    opens = F.col("line").rlike(r"^\s*\[[^\]]*\]")
+    held = carried(lines, F.when(opens, head), "section").filter(F.col("section").isNotNull() & ~opens & F.col("line").rlike(r"^\s*[^\s;]"))
+    if section is not None:
+        held = held.filter(F.col("section") == section)
+    return held.select("file", "section", F.col("line_no").cast("int").alias("line_no"), words(F.col("line")).alias("tokens"))
 
 
 def molecule_counts(sections: DataFrame) -> DataFrame:
@@ -255,7 +264,23 @@ def parse_gro(df: DataFrame) -> DataFrame:
 
 
 def scan_gro(spark: SparkSession, path: str) -> DataFrame:
-    return parse_gro(read_whole(spark, path))
+    """Atoms of every frame of coordinate files of any size: `parse_gro` with `frame` from 0.
+
+    Files are read in byte ranges. Titles and boxes are one row a frame, joined to its
+    atoms; a last frame that is cut short has its atoms and no box.
+    """
+    lines = numbered_lines(spark, path)
+    parts = framed(lines, frame_starts(lines))
+    bare = F.regexp_replace("line", "\r$", "")
+    box = words(bare)
+    heads = parts.filter((F.col("offset") == 0) | (F.col("offset") == F.col("n") + 2)).groupBy("file", "frame").agg(
+        F.max(F.when(F.col("offset") == 0, bare)).alias("title"),
+        F.max(F.when(F.col("offset") > 0, F.struct(*[F.get(box, F.lit(i)).try_cast("double").alias(b) for i, b in enumerate(("lx", "ly", "lz"))]))).alias("box"),
+    )
+    atoms = parts.filter((F.col("offset") > 1) & (F.col("offset") < F.col("n") + 2) & (F.length(bare) >= 44))
+    return atoms.join(heads, ["file", "frame"]).select(
+        "file", "frame", "title", F.col("n").cast("int").alias("n_atoms"), "box", *_gro_fields(F.col("line"))
+    )
 
 
 def parse_pdb(df: DataFrame) -> DataFrame:
@@ -316,7 +341,13 @@ def parse_log_after(df: DataFrame, marker: str, offset: int = 2) -> DataFrame:
 
 
 def scan_log_after(spark: SparkSession, glob: str, marker: str, offset: int = 2) -> DataFrame:
-    return parse_log_after(read_whole(spark, glob), marker, offset)
+    """`parse_log_after` of logs of any size, read in byte ranges: marker lines meet the lines they point to by number."""
+    lines = numbered_lines(spark, glob)
+    points = lines.filter(F.contains("line", F.lit(marker))).select("file", (F.col("line_no") + offset).alias("line_no"))
+    value = strip(F.col("line"))
+    hits = lines.join(points, ["file", "line_no"]).select("file", F.col("line_no").cast("int").alias("line_no"), value.alias("value"))
+    valid = hits.filter((F.col("value") != "") & ~F.col("value").startswith(";"))
+    return valid.groupBy("file").agg(F.max(F.struct("line_no", "value")).alias("_last")).select("file", "_last.line_no", "_last.value")
 
 
 def gro_line(resid: Column, resname: Column, atom: Column, atom_id: Column, x: Column, y: Column, z: Column) -> Column:
@@ -336,8 +367,54 @@ def manifest_rows(df: DataFrame, path: str = "path", content: str = "content") -
     return df.withColumns({"size": F.octet_length(body).cast("long"), "sha256": F.sha2(body, 256)}).drop(content)
 
 
-def build_manifest(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(
-        "path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("sha256")
+LEAF = 64 << 20
+
+
+def _digests(ranges: DataFrame, schema: str) -> DataFrame:
+    """Add `digest`, the SHA-256 of each (path, start, length) byte range, read in pieces where the file system is Arrow's."""
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            found = []
+            for path, start, length in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "length"))):
+                where, name = fs.FileSystem.from_uri(path)
+                digest, left = hashlib.sha256(), length
+                with where.open_input_file(name) as f:
+                    f.seek(start)
+                    while left > 0 and (piece := f.read(min(left, 1 << 20))):
+                        digest.update(piece)
+                        left -= len(piece)
+                if left > 0:
+                    raise OSError(f"{path} ended {left} bytes early")
+                found.append(digest.digest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, "digest"])
+
+    return ranges.mapInArrow(run, f"{schema}, digest binary")
+
+
+def build_manifest(spark: SparkSession, path: str, leaf: int | None = LEAF) -> DataFrame:
+    """(path, size, mtime, sha256) of every file below `path`; no file is held in a row.
+
+    `sha256` is the root of a digest tree: the SHA-256 of the digests of the file's byte ranges of `leaf`
+    bytes, one after the other, so that ranges of one file are read by different tasks. Empty files are
+    not listed, as Spark's file sources pass them over. With `leaf=None` it is the plain SHA-256, streamed by one task a file.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
+        "path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime")
     )
+    if leaf is None:
+        whole = files.select("path", "size", "mtime", F.lit(0).cast("long").alias("start"), F.col("size").alias("length"))
+        one = _digests(ordered.spread(whole, "path"), "path string, size long, mtime timestamp, start long, length long")
+        return one.select("path", "size", "mtime", F.lower(F.hex("digest")).alias("sha256"))
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / leaf)))
+    ranges = files.select("path", "size", starts.alias("_k"))
+    ranges = ranges.select("path", (F.col("_k") * leaf).alias("start"), F.least(F.lit(leaf).cast("long"), F.col("size") - F.col("_k") * leaf).alias("length"))
+    leaves = _digests(ordered.spread(ranges, "path", "start"), "path string, start long, length long")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "digest"))), lambda x: F.hex(x["digest"])), "")
+    roots = leaves.groupBy("path").agg(F.sha2(F.unhex(joined), 256).alias("_root"))  # one digest a range
+    return files.join(roots, "path").select("path", "size", "mtime", F.col("_root").alias("sha256"))
