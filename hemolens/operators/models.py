@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from hemolens.functions import draws
 from hemolens.functions.scalars import flag_high_toxicity
 from hemolens.operators.evaluation import roc_auc
-from hemolens.operators.splits import hash_order, stratified_folds
+from hemolens.operators.splits import hash_order, stratified_folds, stratified_split
 from hemolens.session import cut_lineage
 
 
@@ -85,6 +87,68 @@ def fit_boosted(df: DataFrame, features: Sequence[str], target: str, task: str =
     return Pipeline(stages=[_scaled(features)[0], search]).fit(training_table(df, [*features, target]))
 
 
+def drawn_settings(count: int, seed: int | str, depth=(3, 8), rate=(0.01, 0.1), trees=(100, 500)) -> list[dict]:
+    """`count` seeded draws: depth and trees uniform over whole numbers, rate uniform in its logarithm; ends included."""
+
+    def unit(k: int, name: str) -> float:
+        return int(hashlib.md5(f"{seed}|{k}|{name}".encode()).hexdigest()[:8], 16) / 2**32
+
+    whole = lambda ends, u: ends[0] + int(u * (ends[1] - ends[0] + 1))
+    return [
+        {
+            "depth": whole(depth, unit(k, "depth")), "rate": rate[0] * (rate[1] / rate[0]) ** unit(k, "rate"),
+            "trees": whole(trees, unit(k, "trees")),
+        }
+        for k in range(count)
+    ]
+
+
+def search_boosted(
+    df: DataFrame, features: Sequence[str], target: str, ident: str, task: str = "class", settings: Sequence[dict] | None = None,
+    first_trees: int = 10, held_out: float = 0.2, tolerance: float = 0.001, seed: int = 42, at_once: int = 4,
+) -> tuple[PipelineModel, DataFrame]:
+    """(model, trail) of boosted trees with settings chosen by random search and successive halving.
+
+    A fixed share of the rows (of each class) in digest order is held out. All settings are fitted with a
+    few trees; the better half by held-out AUC (classes) or mean absolute error (numbers), ties to the
+    earlier draw, goes on with twice as many, until one is left. That one is fitted with its own number of
+    trees, and stops early once held-out loss no longer falls by `tolerance`. The trail has a row for each
+    fit: round, draw, depth, rate, trees asked for and grown, score, chosen. Fits are distributed jobs.
+    """
+    settings = list(settings or drawn_settings(12, seed))
+    strata = target if task == "class" else "_all"
+    rows = df.select(ident, target, *features).withColumn("_all", F.lit(0))
+    split = stratified_split(rows, strata, ident, {"fit": 1 - held_out, "hold": held_out}, seed)
+    table = cut_lineage(split.withColumn("_hold", F.col("split") == "hold").select(target, *features, "_hold"))
+    fit, hold = table.filter(~F.col("_hold")), table.filter("_hold")
+    kind = GBTClassifier if task == "class" else GBTRegressor
+    judge = BinaryClassificationEvaluator(labelCol=target) if task == "class" else RegressionEvaluator(labelCol=target, metricName="mae")
+    sign = 1 if task == "class" else -1
+    trail: list[tuple] = []
+
+    def fitted(stage: int, k: int, trees: int, last: bool):
+        s = settings[k]
+        trainer = kind(featuresCol="_raw", labelCol=target, seed=seed, maxDepth=s["depth"], stepSize=s["rate"], maxIter=trees)
+        if last:
+            trainer.setParams(validationIndicatorCol="_hold", validationTol=tolerance)
+        model = Pipeline(stages=[_scaled(features)[0], trainer]).fit(table if last else fit)
+        score = float(judge.evaluate(model.transform(hold)))
+        return model, (stage, k, s["depth"], s["rate"], trees, model.stages[-1].getNumTrees, score, last)
+
+    open_, stage, trees = list(range(len(settings))), 1, first_trees
+    while len(open_) > 1:
+        with ThreadPoolExecutor(at_once) as pool:  # a fit is a chain of small jobs; several fill the cluster
+            rows = list(pool.map(lambda k: fitted(stage, k, min(trees, settings[k]["trees"]), False)[1], open_))
+        trail += rows
+        scores = {r[1]: r[6] for r in rows}
+        open_ = sorted(open_, key=lambda k: (-sign * scores[k], k))[: (len(open_) + 1) // 2]
+        stage, trees = stage + 1, 2 * trees
+    model, row = fitted(stage, open_[0], settings[open_[0]]["trees"], True)
+    trail.append(row)
+    schema = "round int, draw int, depth int, rate double, trees int, grown int, score double, chosen boolean"
+    return model, df.sparkSession.createDataFrame(trail, schema)
+
+
 def exact_means(df: DataFrame, columns: Sequence[str], digits: int) -> dict[str, float]:
     """Means of columns of `digits` decimals, from exact sums: no order of addition changes them."""
     sums = [F.sum(F.col(c).cast(f"decimal(28,{digits})")).cast("double") / F.count(c) for c in columns]

@@ -7,10 +7,12 @@ the first aggregation.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hemolens.functions import ordered
 from hemolens.operators.neighbours import close_pairs, contacts
 from hemolens.session import cut_lineage
 
@@ -41,32 +43,45 @@ def center_of_mass(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.avg(a).alias(a) for a in "xyz"])
 
 
-def connected_labels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], max_rounds: int = 60) -> DataFrame:
-    """(keys, id, label): the smallest id reachable over `edges` (keys, src, dst, both directions).
+def _stars(edges: DataFrame, keys: list[str], upward: bool) -> DataFrame:
+    """One contraction step on edges (keys, a, b, a < b): neighbours on one side of a point move to the least one around it."""
+    both = edges.select(*keys, F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
+        edges.select(*keys, F.col("b").alias("u"), F.col("a").alias("v"))
+    )
+    near = both if upward else both.filter("v < u")
+    least = near.groupBy(*keys, "u").agg(F.min("v").alias("_m")).withColumn("m", F.least("u", "_m")).drop("_m")
+    moved = ordered.join_all(near.filter("v > u") if upward else near, least, [*keys, "u"]).select(*keys, F.col("m").alias("a"), F.col("v").alias("b"))
+    if not upward:
+        moved = moved.unionByName(least.select(*keys, F.col("m").alias("a"), F.col("u").alias("b")))
+    return moved.filter("a <> b").select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def connected_labels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, id, label): the smallest id reachable over `edges` (keys, src, dst) within a frame.
 
-    Each round takes the smallest label among the neighbours and then the label of that
-    label, so long chains close in few rounds. Rounds are checkpointed; a frame of any size
-    is spread over tasks.
+    Star contraction, frame by frame in one pass: edges move towards the least id around them until every
+    component is a star. A frame whose edges a round has left as they were is settled and leaves the loop with its
+    stars; rounds only shuffle the frames that still move, and end when none is left. Their number
+    grows with the logarithm of the largest component. Each round is a table in the shared folder.
     """
     keys = list(keys)
-    edges = cut_lineage(edges)
-    labels = nodes.select(*keys, "id", F.col("id").alias("label"))
-    for _ in range(max_rounds):
-        seen = edges.join(labels.select(*keys, F.col("id").alias("dst"), F.col("label").alias("_l")), [*keys, "dst"])
-        lowest = seen.groupBy(*keys, F.col("src").alias("id")).agg(F.min("_l").alias("_near"))
-        step = labels.join(lowest, [*keys, "id"], "left").select(
-            *keys, "id", F.col("label").alias("_old"), F.least("label", F.coalesce("_near", "label")).alias("_mid")
-        )
-        table = labels.select(*keys, F.col("id").alias("_mid"), F.col("label").alias("_jump"))
-        moved = cut_lineage(
-            step.join(table, [*keys, "_mid"], "left").select(
-                *keys, "id", "_old", F.least("_mid", F.coalesce("_jump", "_mid")).alias("label")
-            )
-        )
-        labels = moved.drop("_old")
-        if moved.filter("label <> _old").isEmpty():
-            return labels
-    raise RuntimeError(f"labels still change after {max_rounds} rounds")
+    open_ = cut_lineage(
+        edges.filter("src <> dst").select(*keys, F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    )
+    mark = lambda e, n: e.groupBy(*keys).agg(F.count("*").alias(f"_n{n}"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias(f"_h{n}"))
+    settled = []
+    while not open_.isEmpty():
+        moved = cut_lineage(_stars(_stars(open_, keys, True), keys, False))
+        same = ordered.join_all(mark(open_, 0), mark(moved, 1), keys).filter("_n0 = _n1 AND _h0 = _h1").select(*keys)
+        same = cut_lineage(same.withColumn("_done", F.lit(True)))
+        flagged = ordered.join_all(moved, same, keys, "left")
+        settled.append(flagged.filter("_done").drop("_done"))
+        open_ = cut_lineage(flagged.filter("_done IS NULL").drop("_done"))
+    points = nodes.select(*keys, "id")
+    if not settled:
+        return points.withColumn("label", F.col("id"))
+    stars = reduce(DataFrame.unionByName, settled).select(*keys, F.col("b").alias("id"), F.col("a").alias("_label"))
+    return ordered.join_all(points, stars, [*keys, "id"], "left").select(*keys, "id", F.coalesce("_label", "id").alias("label"))
 
 
 def dbscan(coms: DataFrame, keys: Sequence[str], eps: float, min_pts: int, ident: str = "mol",

@@ -43,6 +43,18 @@ def fit_boosted(t):
     return ev.confusion_metrics(scored).select("tp", "fp", "fn", "tn", F.round("accuracy", 3).alias("accuracy"))
 
 
+@query("e07_search_boosted")
+def search_boosted(t):
+    """Every fit of a random search over depth 3-8, rate 0.01-0.1 and 100-500 trees, on all labelled texts."""
+    seq = F.col("sequence")
+    rows = t.canonical().join(t.labels.select(F.col("doc_id").alias("peptide_id"), "toxic"), "peptide_id").select(
+        "peptide_id", "toxic", F.length(seq).cast("double").alias("length"), sequence.gravy(seq).alias("gravy"),
+        sequence.net_charge_ph(seq).alias("charge"),
+    )
+    _, trail = models.search_boosted(rows, ["length", "gravy", "charge"], "toxic", "peptide_id", settings=models.drawn_settings(8, 42))
+    return trail.withColumns({"rate": F.round("rate", 6), "score": F.round("score", 4)})
+
+
 @query("e07_fit_boosted_regression")
 def fit_boosted_regression(t):
     """Boosted regression of log10 HC50."""
