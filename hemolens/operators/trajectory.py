@@ -72,11 +72,10 @@ def connected_labels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) ->
     settled = []
     while not open_.isEmpty():
         moved = cut_lineage(_stars(_stars(open_, keys, True), keys, False))
-        same = ordered.join_all(mark(open_, 0), mark(moved, 1), keys).filter("_n0 = _n1 AND _h0 = _h1").select(*keys)
-        same = cut_lineage(same.withColumn("_done", F.lit(True)))
-        flagged = ordered.join_all(moved, same, keys, "left")
+        same = ordered.join_all(mark(moved, 1), mark(open_, 0), keys).select(*keys, ((F.col("_n0") == F.col("_n1")) & (F.col("_h0") == F.col("_h1"))).alias("_done"))
+        flagged = cut_lineage(ordered.join_all(moved, same, keys))
         settled.append(flagged.filter("_done").drop("_done"))
-        open_ = cut_lineage(flagged.filter("_done IS NULL").drop("_done"))
+        open_ = flagged.filter("NOT _done").drop("_done")
     points = nodes.select(*keys, "id")
     if not settled:
         return points.withColumn("label", F.col("id"))
