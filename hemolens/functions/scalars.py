@@ -76,15 +76,15 @@ def umbrella_seed(peptide_id: Column, replicate: Column, window: Column) -> Colu
     return crc_seed(peptide_id, rep, F.concat(F.lit("umbrella"), window.cast("string")), sep="_")
 
 
-def orientation_angle(orientation: Column, system: Column) -> Column:
-    """Named tilt in degrees; anything else is one of 0/45/90 drawn once per system."""
+def orientation_angle(orientation: Column, system: Column | None = None, drawn: Column | None = None) -> Column:
+    """Named tilt in degrees; any other is `drawn`, or without it one of 0/45/90 from an md5 stream of `system`."""
     o = F.lower(F.coalesce(orientation, F.lit("random")))
-    pick = draw_index(3, system, F.lit("tilt"))
+    other = drawn if drawn is not None else draw_index(3, system, F.lit("tilt")) * 45.0
     return (
         F.when(o == "parallel", 0.0)
         .when(o.isin("45", "tilt45", "tilt_45"), 45.0)
         .when(o.isin("perpendicular", "orthogonal", "90"), 90.0)
-        .otherwise(pick * 45.0)
+        .otherwise(other)
     )
 
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,49 +48,73 @@ def grid_positions(df: DataFrame, n: str = "n", lx: str = "lx", ly: str = "ly")
     return exploded.withColumns({"x": axis("x", column, F.col(lx)), "y": axis("y", row, F.col(ly))})
 
 
-def _throw_darts(seed: int, n: int, lx: float, ly: float, min_dist: float, attempts: int) -> np.ndarray | None:
-    """n points at least `min_dist` apart and off the edges, or None when the attempts run out.
+def _throw_darts(seed: int, n: int, lx: float, ly: float, min_dist: float, attempts: int) -> tuple[np.ndarray | None, int]:
+    """(n points at least `min_dist` apart and off the edges, darts thrown); no points when the attempts run out.
 
     Darts are drawn in growing batches, alternating x and y; a dart stays in play until an
-    accepted one is too near, and the first still in play is the next accepted.
+    accepted one is too near, and the first still in play is the next accepted. The last one
+    accepted is the last one that would have been thrown.
     """
     rng = np.random.default_rng(seed)
     span_x, span_y = max(min_dist, lx - min_dist) - min_dist, max(min_dist, ly - min_dist) - min_dist
     near = min_dist * min_dist
     kept: list[tuple[float, float]] = []
-    size = 64
-    while attempts > 0 and len(kept) < n:
-        size = min(4 * size, attempts)
-        attempts -= size
+    size, left, last = 64, attempts, 0
+    while left > 0 and len(kept) < n:
+        size = min(4 * size, left)
+        number = attempts - left + 1 + np.arange(size)
+        left -= size
         throws = rng.random((size, 2))
         x, y = min_dist + span_x * throws[:, 0], min_dist + span_y * throws[:, 1]
         for px, py in kept:
             free = (x - px) ** 2 + (y - py) ** 2 >= near
-            x, y = x[free], y[free]
+            x, y, number = x[free], y[free], number[free]
         while len(x) and len(kept) < n:
             kept.append((x[0], y[0]))
+            last = int(number[0])
             free = (x - x[0]) ** 2 + (y - y[0]) ** 2 >= near
-            x, y = x[free], y[free]
-    return np.array(kept) if len(kept) == n else None
+            x, y, number = x[free], y[free], number[free]
+    return (np.array(kept), last) if len(kept) == n else (None, attempts)
 
 
-def poisson_positions(df: DataFrame, min_dist: float = 1.5, attempts: int = 10_000, n: str = "n") -> DataFrame:
-    """Poisson-disk positions from each system's `seed`, or the grid where they do not fit.
+def _tilt_after(seed: int, darts: int) -> float:
+    """One of 0, 45 and 90 from the system's generator, once it has made two draws for each dart."""
+    bits = np.random.default_rng(seed).bit_generator
+    bits.advance(2 * darts)
+    return float(np.random.Generator(bits).choice([0.0, 45.0, 90.0]))
 
-    `df` has one row per system (with `seed`, n, lx, ly) and each row stands alone. The
-    throwing is far more work than the row is data, so the rows are spread over all cores.
+
+def drawn_tilt(seed: Column, darts: Column) -> Column:
+    """The random tilt of a system with this seed after so many darts; without darts (grids) it is the first draw."""
+
+    @F.pandas_udf("double")
+    def draw(seeds: pd.Series, thrown: pd.Series) -> pd.Series:
+        return pd.Series([_tilt_after(int(s), int(d)) for s, d in zip(seeds, thrown)])
+
+    return draw(seed, darts)
+
+
+def poisson_positions(
+    df: DataFrame, min_dist: float = 1.5, attempts: int = 10_000, n: str = "n", orientation: str = "orientation"
+) -> DataFrame:
+    """Poisson-disk positions and tilt from each system's `seed`; the grid where the disks do not fit.
+
+    `df` has one row per system (with `seed`, n, lx, ly, orientation) and each row stands alone. The
+    throwing is far more work than the row is data, so the rows are spread over all cores. A
+    tilt that is not named is the generator's next choice after the darts, also where all of them failed.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField("darts", T.ArrayType(T.ArrayType(T.DoubleType())))])
+    schema = T.StructType(
+        [*df.schema.fields, T.StructField("darts", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("thrown", T.LongType())]
+    )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            darts = [
-                _throw_darts(int(r.seed), int(getattr(r, n)), r.lx, r.ly, min_dist, attempts) for r in pdf.itertuples()
-            ]
-            yield pdf.assign(darts=[None if d is None else d.tolist() for d in darts])
+            made = [_throw_darts(int(r.seed), int(getattr(r, n)), r.lx, r.ly, min_dist, attempts) for r in pdf.itertuples()]
+            yield pdf.assign(darts=[None if d is None else d.tolist() for d, _ in made], thrown=[t for _, t in made])
 
     thrown = df.filter(F.col(n) > 0).repartition(bucket_count(df), "seed").mapInPandas(run, schema)
-    placed = grid_positions(thrown, n)
+    tilted = thrown.withColumn("tilt", orientation_angle(F.col(orientation), drawn=drawn_tilt(F.col("seed"), F.col("thrown"))))
+    placed = grid_positions(tilted, n)
     dart = F.get("darts", F.col("k"))
     return placed.withColumns(
         {
@@ -98,13 +122,14 @@ def poisson_positions(df: DataFrame, min_dist: float = 1.5, attempts: int = 10_0
             "x": F.coalesce(dart[0], F.col("x")),
             "y": F.coalesce(dart[1], F.col("y")),
         }
-    ).drop("darts")
+    ).drop("darts", "thrown")
 
 
 def with_placement(df: DataFrame, peptide: str, n: str, label: str, replicate: str, orientation: str) -> DataFrame:
-    """Seed and tilt of each system; the tilt is drawn once per system, from its own stream."""
+    """Seed of each system, and the tilt it has on a grid, where no dart is thrown before it is drawn."""
     seed = placement_seed(F.col(peptide), F.col(n), F.col(label), F.col(replicate))
-    return df.withColumn("seed", seed).withColumn("tilt", orientation_angle(F.col(orientation), F.col("seed")))
+    seeded = df.withColumn("seed", seed)
+    return seeded.withColumn("tilt", orientation_angle(F.col(orientation), drawn=drawn_tilt(F.col("seed"), F.lit(0))))
 
 
 def system_molecules(comp: DataFrame, counts: DataFrame, system: str = "file") -> DataFrame:

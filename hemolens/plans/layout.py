@@ -37,11 +37,19 @@ def grid_positions(t):
 @query("y02_poisson_positions")
 def poisson_positions(t):
     """Dart throwing with the seed of each system; numpy's generator has no SQL form."""
-    seeded = layout.with_placement(systems(t), "peptide_id", "n", "label", "replicate", "orientation")
-    placed = layout.poisson_positions(seeded.select("system", "n", "lx", "ly", "seed", "tilt"))
+    seed = scalars.placement_seed(F.col("peptide_id"), F.col("n"), F.col("label"), F.col("replicate"))
+    placed = layout.poisson_positions(systems(t).select("system", "n", "lx", "ly", "orientation", seed.alias("seed")))
     return placed.select("system", "k", "tilt", "fallback", round6("x").alias("x"), round6("y").alias("y"))
 
 
+@query("p14_system_tilt")
+def system_tilt(t):
+    """Tilt of every system on its grid: named, or the first choice of the system's generator."""
+    named = F.when(F.col("system") % 4 == 0, "parallel").when(F.col("system") % 4 == 1, "tilt45").otherwise("random")
+    placed = layout.with_placement(systems(t).withColumn("orientation", named), "peptide_id", "n", "label", "replicate", "orientation")
+    return placed.select("system", "seed", "orientation", "tilt")
+
+
 @query(
     "y03_occupancy_counts",
     """WITH e AS (SELECT event_id, CASE WHEN event_type = 'click' THEN 'low' WHEN event_type = 'view' THEN 'medium' ELSE 'high' END AS level,

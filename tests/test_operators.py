@@ -148,10 +148,30 @@ def test_darts_equal_one_by_one_throwing(n, lx, ly):
         dart = (rng.uniform(1.5, max(1.5, lx - 1.5)), rng.uniform(1.5, max(1.5, ly - 1.5)))
         if all((dart[0] - p[0]) ** 2 + (dart[1] - p[1]) ** 2 >= 1.5**2 for p in kept):
             kept.append(dart)
-    got = layout._throw_darts(99, n, lx, ly, 1.5, 10_000)
-    assert (got is None) == (len(kept) < n)
+    got, thrown = layout._throw_darts(99, n, lx, ly, 1.5, 10_000)
+    assert (got is None) == (len(kept) < n) and thrown == 10_000 - left
     if got is not None:
         assert np.array_equal(got, np.array(kept))
+    assert layout._tilt_after(99, thrown) == float(rng.choice([0.0, 45.0, 90.0]))
+
+
+def test_tilts_come_from_the_generator_of_the_system(spark):
+    rows = [(k, 5 + k % 30, 10.0, 9.0, 1000 + k, o) for k, o in enumerate(["random", None, "Parallel", "tilt_45", "90", "odd"] * 12)]
+    df = spark.createDataFrame(rows, "system int, n int, lx double, ly double, seed long, orientation string")
+    got = {r.system: r.tilt for r in layout.poisson_positions(df).collect()}
+    for k, n, lx, ly, seed, o in rows:
+        rng, kept = np.random.default_rng(seed), []
+        for _ in range(10_000):
+            if len(kept) == n:
+                break
+            dart = (rng.uniform(1.5, lx - 1.5), rng.uniform(1.5, ly - 1.5))
+            if all((dart[0] - p[0]) ** 2 + (dart[1] - p[1]) ** 2 >= 2.25 for p in kept):
+                kept.append(dart)
+        drawn = float(rng.choice([0.0, 45.0, 90.0]))
+        assert got[k] == {"Parallel": 0.0, "tilt_45": 45.0, "90": 90.0}.get(o, drawn)
+    assert {got[k] for k, *_, o in rows if o == "odd"} == {0.0, 45.0, 90.0}
+    tilt = layout.drawn_tilt(F.col("id"), F.lit(0)).alias("t")
+    assert [r.t for r in spark.range(20).select("id", tilt).orderBy("id").collect()] == [float(np.random.default_rng(s).choice([0.0, 45.0, 90.0])) for s in range(20)]
 
 
 def test_window_grid_golden(spark):
