@@ -5,11 +5,15 @@ Each job takes a streaming frame and returns one; `drain` runs it over what is t
 
 from __future__ import annotations
 
+import csv
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hemolens.functions.sequence import seq_hash
 from hemolens.session import scratch_path
+from hemolens.sources.text import LABEL_NAMES, LABEL_SCHEMA, label_columns
 
 
 def read_stream(spark: SparkSession, path: str, schema, glob: str | None = None) -> DataFrame:
@@ -20,18 +24,97 @@ def read_stream(spark: SparkSession, path: str, schema, glob: str | None = None)
     return reader.parquet(path)
 
 
-def read_fasta_stream(spark: SparkSession, path: str) -> DataFrame:
-    """FASTA records of newly arriving files with their arrival time."""
-    records = spark.readStream.option("lineSep", "\n>").text(path)
-    lines = F.split("value", "\r?\n")
-    header = F.replace(lines[0], F.lit(">"), F.lit(""))
-    return records.select(
-        F.trim(F.substring_index(header, "|", 1)).alias("peptide_id"),
-        F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "").alias("sequence"),
-        F.current_timestamp().alias("arrived"),
+def arriving_lines(spark: SparkSession, path: str, separator: str, files_a_batch: int | None = None) -> DataFrame:
+    """(source_file, arrived, value) of newly arriving text files; a file arrives when it was last written."""
+    reader = spark.readStream.option("lineSep", separator)
+    if files_a_batch:
+        reader = reader.option("maxFilesPerTrigger", files_a_batch)
+    return reader.text(path).select(
+        F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_modification_time").alias("arrived"), "value"
     )
 
 
+def _per_file(lines: DataFrame, step, schema: str, state: str, keep: str) -> DataFrame:
+    """`step(file, chunks, state)` for each file of a batch; its state goes when no file has arrived for `keep`."""
+
+    def run(key, chunks, held):
+        if held.hasTimedOut:
+            held.remove()
+            return
+        latest = None
+        for out, arrived in step(key[0], chunks, held):
+            latest = arrived if latest is None else max(latest, arrived)
+            if out is not None:
+                yield out
+        mark = max(held.getCurrentWatermarkMs(), 0)
+        held.setTimeoutTimestamp(max(int(latest.timestamp() * 1000) if latest is not None else 0, mark) + int(pd.Timedelta(keep).total_seconds() * 1000) + 1)
+
+    return lines.withWatermark("arrived", keep).groupBy("source_file").applyInPandasWithState(run, schema, state, "append", "EventTimeTimeout")
+
+
+def read_fasta_stream(spark: SparkSession, path: str, files_a_batch: int | None = None, keep: str = "1 hour") -> DataFrame:
+    """(peptide_id, name, sequence, source_file, arrived) of newly arriving FASTA files.
+
+    The rule of `scan_fasta` holds for every file: one that does not open with `>` stops the stream. Which
+    files have opened well is state, one row a file, that expires once `keep` has passed without news. A file's
+    records pass through one task in pieces.
+    """
+
+    def step(file, chunks, held):
+        opened = held.exists and held.get[0]
+        for pdf in chunks:
+            value = pdf["value"].astype("string")
+            opened = opened or bool(value.str.startswith(">").any())
+            parts = value.str.replace("\r", "").str.split("\n", n=1)
+            head = parts.str[0].str.replace(">", "", regex=False)
+            named = head.str.split("|", n=1)
+            out = pd.DataFrame({
+                "peptide_id": named.str[0].astype("string").str.strip(), "name": named.str[1].astype("string").str.strip(),
+                "sequence": parts.str[1].astype("string").fillna("").str.replace(r"\s", "", regex=True), "source_file": pdf["source_file"], "arrived": pdf["arrived"],
+            })
+            yield out.astype(object).where(out.notna(), None), pdf["arrived"].max()
+        if not opened:
+            raise ValueError(f"no FASTA header in {file}")
+        held.update((True,))
+
+    schema = "peptide_id string, name string, sequence string, source_file string, arrived timestamp"
+    return _per_file(arriving_lines(spark, path, "\n>", files_a_batch), step, schema, "opened boolean", keep)
+
+
+def read_label_stream(
+    spark: SparkSession, path: str, ident: str | None = None, files_a_batch: int | None = None, keep: str = "1 hour"
+) -> DataFrame:
+    """(peptide_id, sequence, hc50_um, sequence_length, name, source_file, arrived) of newly arriving label files.
+
+    Columns are found by each file's own header, as in `scan_labels`; a file without a valid one stops the stream. A
+    header is state until `keep` has passed without news. A label file is a small table: its lines wait
+    in one task until the header is among them.
+    """
+
+    def step(file, chunks, held):
+        lines = pd.concat(list(chunks))
+        header = held.get[0] if held.exists else None
+        for line in lines["value"] if header is None else []:
+            try:
+                label_columns(line, ident)
+            except (ValueError, StopIteration):
+                continue
+            header = line
+            break
+        if header is None:
+            label_columns(str(lines["value"].iloc[0]), ident)  # says what is wrong with it
+        names = [c.split()[0].strip("`") for c in label_columns(header, ident).split(", ")]
+        rows = [r for r in csv.reader(v for v in lines["value"] if v != header and v.strip("\r")) if len(r) == len(names)]
+        out = pd.DataFrame(rows, columns=names, dtype=object).replace("", None)
+        out = out.assign(hc50_um=pd.to_numeric(out["hc50_um"], errors="coerce"), sequence_length=pd.to_numeric(out["sequence_length"], errors="coerce"))
+        out = out[LABEL_NAMES].assign(source_file=file, arrived=lines["arrived"].max()).astype(object)
+        held.update((header,))
+        yield out.where(out.notna(), None), lines["arrived"].max()
+
+    schema = f"{LABEL_SCHEMA}, source_file string, arrived timestamp"
+    return _per_file(arriving_lines(spark, path, "\n", files_a_batch), step, schema, "header string", keep)
+
+
 def ingest_stream(records: DataFrame, time: str, seq: str = "sequence", delay: str = "40 days") -> DataFrame:
     """First arrival of every sequence; copies within the delay are dropped, state beyond it is freed."""
     return (
