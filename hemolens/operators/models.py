@@ -46,7 +46,7 @@ def fit_logistic(df: DataFrame, features: Sequence[str], y: str = "y", ridge: fl
 
 
 def fit_logistic_ridge(df: DataFrame, features: Sequence[str], ident: str, y: str = "y",
-                       grid: Sequence[float] = (0.01, 0.1, 1.0), outer: int = 5, inner: int = 3) -> DataFrame:
+                       grid: Sequence[float] = (0.01, 0.1, 1.0, 10.0), outer: int = 5, inner: int = 5) -> DataFrame:
     """Out-of-fold predictions (id, fold, y, p, ridge) of nested stratified cross-validation.
 
     Every outer fold picks its penalty on the inner folds of its training rows; scaling is part

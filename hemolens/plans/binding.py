@@ -110,15 +110,6 @@ class Tables:
             (F.col("mol") * 21 + F.col("bead")).alias("atom_id"), F.col("run").alias("molecule"), "x", "y", "z"
         )
 
-    def first_atoms(self) -> DataFrame:
-        """Embeddings as single atoms: first three elements, label as molecule; for pairs of atoms."""
-        e = F.col("embedding")
-        return self.embeddings.select(
-            F.col("vec_id").alias("atom_id"),
-            F.col("label").alias("molecule"),
-            *[e[i].cast("double").alias(a) for i, a in enumerate("xyz")],
-        )
-
     def beads(self) -> DataFrame:
         """Embeddings as 21-bead chains: elements 3i..3i+2 of each vector are bead i."""
         e = F.col("embedding")
@@ -177,9 +168,6 @@ samples AS (
          CASE bead WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS window_id,
          t_us, 2.8::DOUBLE - 4.2::DOUBLE * value / (value + 50.0::DOUBLE) AS z
   FROM frames)"""
-FIRST_ATOMS_SQL = """atoms AS (
-  SELECT vec_id AS atom_id, label AS molecule, CAST(embedding[1] AS DOUBLE) AS x,
-         CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"""
 BEADS_SQL = """beads AS (
   SELECT vec_id AS mol, label AS run, CAST(i AS INTEGER) AS bead, CAST(embedding[3*i+1] AS DOUBLE) AS x,
          CAST(embedding[3*i+2] AS DOUBLE) AS y, CAST(embedding[3*i+3] AS DOUBLE) AS z

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hemolens.operators import joins, layout, neighbours
 from hemolens.plans.binding import (
-    FIRST_ATOMS_SQL, BEADS_SQL, LETTERS_SQL, PEPTIDES_SQL, REPLICATES_SQL, letters, r6, round6,
+    ATOMS_SQL, BEADS_SQL, LETTERS_SQL, PEPTIDES_SQL, REPLICATES_SQL, letters, r6, round6,
 )
 from hemolens.plans.catalog import query
 
@@ -95,15 +95,17 @@ def match_best_file(t):
     "j07_place_atoms",
     f"""WITH {BEADS_SQL}, c AS (SELECT *, x - avg(x) OVER w AS cx, y - avg(y) OVER w AS cy, z - avg(z) OVER w AS cz FROM beads
       WINDOW w AS (PARTITION BY mol)),
-    s AS (SELECT p_partkey AS mol, p_size AS n, radians(p_size % 3 * 45) AS a, CAST(ceil(sqrt(p_size)) AS INTEGER) AS g FROM part
-      WHERE p_size NOT IN (1, 8, 12, 16)),
-    pos AS (SELECT mol, a, k, 1.5 + (k % g) * 7.0 / (g - 1) AS px, 1.5 + (k // g) * 7.0 / (g - 1) AS py FROM (SELECT *, unnest(range(n)) AS k FROM s)),
+    s AS (SELECT p_partkey AS mol, p_size AS n, radians(p_size % 3 * 45) AS a, CASE WHEN p_size IN (12, 16) THEN 4 ELSE CAST(ceil(sqrt(p_size)) AS INTEGER) END AS g FROM part),
+    pos AS (SELECT mol, a, k,
+      CASE n WHEN 1 THEN 5.0 WHEN 8 THEN [2.5, 5.0, 7.5, 3.5, 6.5, 2.5, 5.0, 7.5][k + 1] WHEN 12 THEN 2.0 + 2 * (k % 4) ELSE 1.5 + (k % g) * 7.0 / (g - 1) END::DOUBLE AS px,
+      CASE n WHEN 1 THEN 5.0 WHEN 8 THEN [2.5, 2.5, 2.5, 5.0, 5.0, 7.5, 7.5, 7.5][k + 1] WHEN 12 THEN 2.0 + 2 * (k // 4) ELSE 1.5 + (k // g) * 7.0 / (g - 1) END::DOUBLE AS py
+      FROM (SELECT *, unnest(range(n)) AS k FROM s)),
     placed AS (SELECT mol, k, bead, cx + px AS x, cy * cos(a) - cz * sin(a) + py AS y, cy * sin(a) + cz * cos(a) + 11.5 AS z FROM c JOIN pos USING (mol))
     SELECT mol, CAST(k AS INTEGER) AS k, count(*) AS n, {r6('sum(x)')} AS sx, {r6('sum(y * bead)')} AS sy, {r6('sum(z * bead)')} AS sz FROM placed GROUP BY 1, 2""",
 )
 def place_atoms(t):
     """Each chain is the template of one system; the system's size comes from the part of the same key."""
-    systems = t.part.filter("p_size NOT IN (1, 8, 12, 16)").select(
+    systems = t.part.select(
         F.col("p_partkey").alias("mol"), F.col("p_size").alias("n"), F.lit(10.0).alias("lx"), F.lit(10.0).alias("ly"),
         (F.col("p_size") % 3 * 45).alias("tilt"),
     )
@@ -120,15 +122,15 @@ def place_atoms(t):
 
 @query(
     "j08_contacts",
-    f"""WITH {FIRST_ATOMS_SQL} SELECT a.atom_id AS a_id, b.atom_id AS b_id,
+    f"""WITH {ATOMS_SQL} SELECT a.atom_id AS a_id, b.atom_id AS b_id,
       {r6('sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z))')} AS dist
     FROM atoms a JOIN atoms b ON a.molecule = 0 AND b.molecule <> 0
-      AND sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) <= 0.1""",
+      AND sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) <= 0.02""",
 )
 def contacts(t):
-    """Peptide beads (molecule 0) against the rest."""
-    atoms = t.first_atoms()
-    pairs = neighbours.contacts(atoms.filter("molecule = 0"), atoms.filter("molecule <> 0"), 0.1)
+    """Beads of the peptides with label 0 against all others."""
+    atoms = t.atoms()
+    pairs = neighbours.contacts(atoms.filter("molecule = 0"), atoms.filter("molecule <> 0"), 0.02)
     return pairs.select("a_id", "b_id", round6("dist").alias("dist"))
 
 
@@ -203,25 +205,24 @@ def holdout_disjoint(t):
 
 @query(
     "j12_spacing_violations",
-    f"""WITH {FIRST_ATOMS_SQL} SELECT a.atom_id AS a_id, b.atom_id AS b_id,
+    f"""WITH {ATOMS_SQL} SELECT a.atom_id AS a_id, b.atom_id AS b_id,
       {r6('sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z))')} AS dist
     FROM atoms a JOIN atoms b ON a.molecule = b.molecule AND a.atom_id < b.atom_id
-      AND sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) < 0.1""",
+      AND sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) < 0.02""",
 )
 def spacing_violations(t):
-    pairs = neighbours.spacing_violations(t.first_atoms(), 0.1, ["molecule"])
+    pairs = neighbours.spacing_violations(t.atoms(), 0.02, ["molecule"])
     return pairs.select("a_id", "b_id", round6("dist").alias("dist"))
 
 
 @query(
     "j13_paired_conditions",
-    f"""WITH {REPLICATES_SQL}, a AS (SELECT peptide_id, avg(value) AS v FROM replicates WHERE occupancy = 'A' AND replicate = 1 GROUP BY 1),
-    b AS (SELECT peptide_id, avg(value) AS v FROM replicates WHERE occupancy = 'R' AND replicate = 2 GROUP BY 1)
+    f"""WITH {REPLICATES_SQL}, a AS (SELECT peptide_id, avg(value) AS v FROM replicates WHERE discount < 0.05 GROUP BY 1),
+    b AS (SELECT peptide_id, avg(value) AS v FROM replicates WHERE discount >= 0.05 GROUP BY 1)
     SELECT a.peptide_id, {r6('a.v')} AS value_a, {r6('b.v')} AS value_b FROM a JOIN b ON a.peptide_id = b.peptide_id""",
 )
 def paired_conditions(t):
-    def mean(occupancy, replicate):
-        rows = t.replicates().filter((F.col("occupancy") == occupancy) & (F.col("replicate") == replicate))
-        return rows.groupBy("peptide_id").agg(round6(F.avg("value")).alias("value"))
-
-    return joins.paired_conditions(mean("A", 1), mean("R", 2))
+    """Two settings that part all rows: discounts below and from 0.05 on."""
+    rows = t.replicates()
+    mean = lambda c: rows.filter(c).groupBy("peptide_id").agg(round6(F.avg("value")).alias("value"))
+    return joins.paired_conditions(mean("discount < 0.05"), mean("discount >= 0.05"))

@@ -26,7 +26,7 @@ def vectors(t):
 @query("e06_fit_logistic_ridge")
 def fit_logistic_ridge(t):
     """Out-of-fold predictions of nested cross-validation, summarised per fold."""
-    out = models.fit_logistic_ridge(vectors(t), FEATURES, "peptide_id", grid=(0.01, 1.0), outer=5, inner=3)
+    out = models.fit_logistic_ridge(vectors(t), FEATURES, "peptide_id", grid=(0.01, 0.1, 1.0, 10.0), outer=5, inner=5)
     return ev.roc_auc(out, ["fold"]).select("fold", F.round("auc", 3).alias("auc"))
 
 

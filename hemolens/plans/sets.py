@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hemolens.operators import sets
-from hemolens.plans.binding import LETTERS_SQL, PREDICTIONS_SQL, letters
+from hemolens.plans.binding import LETTERS_SQL, letters
 from hemolens.plans.catalog import query
 
 
@@ -61,14 +61,15 @@ def merge_sources(t):
 
 @query(
     "u04_cohort_diff",
-    f"""WITH {PREDICTIONS_SQL}, a AS (SELECT doc_id AS peptide_id, CASE WHEN toxic = 1 THEN 'toxic' ELSE 'nontoxic' END AS arm FROM labels WHERE quality = 1),
-    b AS (SELECT peptide_id, CASE WHEN p >= 0.5 THEN 'toxic' ELSE 'nontoxic' END AS arm FROM predictions WHERE lang <> 'de')
+    """WITH a AS (SELECT doc_id AS peptide_id, CASE WHEN toxic = 1 THEN 'toxic' ELSE 'nontoxic' END AS arm FROM labels),
+    b AS (SELECT c_custkey AS peptide_id, CASE WHEN c_acctbal < 0 THEN 'toxic' ELSE 'nontoxic' END AS arm FROM customer)
     SELECT coalesce(a.peptide_id, b.peptide_id) AS peptide_id, CASE WHEN b.peptide_id IS NULL THEN 'listed_only'
       WHEN a.peptide_id IS NULL THEN 'data_only' ELSE 'wrong_arm' END AS problem
     FROM a FULL JOIN b ON a.peptide_id = b.peptide_id WHERE a.arm IS DISTINCT FROM b.arm""",
 )
 def cohort_diff(t):
+    """All labels as the list, all customers as the data, negative balances as the toxic arm."""
     arm = lambda c: F.when(c, "toxic").otherwise("nontoxic").alias("arm")
-    listed = t.labels.filter("quality = 1").select(F.col("doc_id").alias("peptide_id"), arm(F.col("toxic") == 1))
-    data = t.predictions().filter("lang <> 'de'").select("peptide_id", arm(F.col("p") >= 0.5))
+    listed = t.labels.select(F.col("doc_id").alias("peptide_id"), arm(F.col("toxic") == 1))
+    data = t.customer.select(F.col("c_custkey").alias("peptide_id"), arm(F.col("c_acctbal") < 0))
     return sets.cohort_diff(listed, data)
