@@ -86,7 +86,8 @@ def attach(
     """`df` and the new `columns` (DDL), made row by row: no shuffle, a bounded step at a time.
 
     `make()` runs once a task and returns the function from a record batch to one list or
-    array per new column. An input column with the name of a new one is replaced.
+    array per new column; if that has a `close`, it is called when the task is through. An input
+    column with the name of a new one is replaced.
     """
     new = T.StructType.fromDDL(columns)
     base = df.drop(*new.fieldNames())
@@ -97,11 +98,14 @@ def attach(
         from pyspark.sql.pandas.types import to_arrow_type
 
         f, kinds = make(), [to_arrow_type(x.dataType) for x in new.fields]
-        for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                part = batch.slice(start, rows)
-                made = [pa.array(v, k) if not isinstance(v, pa.Array) else v for v, k in zip(f(part), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], names)
+        try:
+            for batch in batches:
+                for start in range(0, batch.num_rows, rows):
+                    part = batch.slice(start, rows)
+                    made = [pa.array(v, k) if not isinstance(v, pa.Array) else v for v, k in zip(f(part), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *made], names)
+        finally:
+            getattr(f, "close", bool)()
 
     return base.mapInArrow(run, schema)
 

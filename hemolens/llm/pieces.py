@@ -77,6 +77,10 @@ class PieceCodec:
         self.memo: dict[str, tuple[bytes, bytes]] = {}
         self.parts: dict[str, list[int]] = {}
 
+    def forget(self) -> None:
+        self.memo.clear()
+        self.parts.clear()
+
     def merged(self, text: str) -> list[str]:
         """Merge the best-scored pair, the leftmost of equal ones, until no pair is a piece."""
         parts = list(text)
@@ -222,12 +226,15 @@ def codec(model: bytes) -> PieceCodec:
     return PieceCodec(model)
 
 
-def encode_pieces(df: DataFrame, model: bytes, text: str = "text", ids: str = "piece_ids", decoded: str = "decoded") -> DataFrame:
+def encode_pieces(
+    df: DataFrame, model: bytes, text: str = "text", ids: str = "piece_ids", decoded: str = "decoded", remember: bool = True
+) -> DataFrame:
     """`df` with `ids` (binary: little-endian unsigned 32-bit, begin and end included) and `decoded`.
 
     Row by row, without a shuffle. A null or empty text gives begin and end alone and an empty
     decoded text. Repeated rows each get their result, an empty table an empty one; extra
-    columns stay, but for those named like an output, which are replaced.
+    columns stay, but for those named like an output, which are replaced. A worker keeps the cuts it
+    has seen for its next task; without `remember` it gives their memory back (some 160 MB at most).
     """
 
     def make():
@@ -241,6 +248,8 @@ def encode_pieces(df: DataFrame, model: bytes, text: str = "text", ids: str = "p
                 pa.array([m[1].decode("utf-8", "replace") for m in made], pa.string()),
             ]
 
+        if not remember:
+            f.close = c.forget
         return f
 
     return attach(df, f"`{ids}` binary, `{decoded}` string", make)
