@@ -49,7 +49,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and digests of them and of the text that they decode to."""
     kept = docs.select("doc_id", "lang", "source", "text")
-    return pieces.encode_pieces(kept, model_bytes()).select(
+    return pieces.encode_pieces(kept, model_bytes(), remember=False).select(
         "doc_id", "lang", "source", (F.octet_length("piece_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("piece_ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
     )
