@@ -218,7 +218,7 @@ def calibration_line(df: DataFrame) -> DataFrame:
     """Slope and intercept of the outcome on the logit of the prediction."""
     clipped = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), F.col("p")))
     logit = df.select("y", F.log(clipped / (1 - clipped)).alias("x"))
-    stages = [VectorAssembler(inputCols=["x"], outputCol="_f"), LogisticRegression(featuresCol="_f", labelCol="y", maxIter=100)]
+    stages = [VectorAssembler(inputCols=["x"], outputCol="_f"), LogisticRegression(featuresCol="_f", labelCol="y", maxIter=100, tol=1e-10)]
     fitted = Pipeline(stages=stages).fit(logit).stages[-1]
     return df.sparkSession.createDataFrame(
         [(float(fitted.coefficients[0]), float(fitted.intercept))], "slope double, intercept double"

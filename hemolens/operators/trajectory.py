@@ -169,10 +169,12 @@ def thickness_contrast(cells: DataFrame, peptide: DataFrame, keys: Sequence[str]
 
 
 def midplane_water(df: DataFrame, keys: Sequence[str], water: Column, membrane: Column, h: float) -> DataFrame:
-    """Water beads within `h` of the membrane midplane per frame."""
+    """Water beads within `h` of the membrane midplane, for every frame with a membrane; only water meets the midplanes."""
+    keys = list(keys)
     mid = df.filter(membrane).groupBy(*keys).agg(F.avg("z").alias("_mid"))
-    close = water & (F.abs(F.col("z") - F.col("_mid")) <= h)
-    return df.join(mid, list(keys)).groupBy(*keys).agg(F.count(F.when(close, 1)).alias("waters"))
+    near = df.filter(water).select(*keys, "z").join(mid, keys).filter(F.abs(F.col("z") - F.col("_mid")) <= h)
+    counted = near.groupBy(*keys).agg(F.count("*").alias("waters"))
+    return mid.select(*keys).join(counted, keys, "left").withColumn("waters", F.coalesce("waters", F.lit(0).cast("long")))
 
 
 def tail_order(df: DataFrame, keys: Sequence[str], lipid: str = "mol", bead: str = "bead") -> DataFrame:

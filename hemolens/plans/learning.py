@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hemolens.functions import sequence
 from hemolens.operators import evaluation as ev, models
-from hemolens.plans.binding import REPLICATES_SQL, r6, round6
+from hemolens.plans.binding import PREDICTIONS_SQL, REPLICATES_SQL, r6, round6
 from hemolens.plans.catalog import query
 
 FEATURES = [f"f{i}" for i in range(64)]
@@ -109,10 +109,27 @@ def pca(t):
     return out.select("peptide_id", F.round(F.abs("pc1"), 4).alias("pc1"), F.round(F.abs("pc2"), 4).alias("pc2"))
 
 
-@query("e15_calibration_line")
+def _total(term: str) -> str:
+    return f"list_sum(list_transform(range(1, len(x) + 1), lambda i: {term}))"
+
+
+_P = "(1 / (1 + exp(-(a + b * x[i]))))"
+
+
+@query(
+    "e15_calibration_line",
+    f"""WITH RECURSIVE {PREDICTIONS_SQL}, l AS (SELECT y, least(1 - 1e-6, greatest(1e-6, p)) AS p FROM predictions),
+    d AS (SELECT list(ln(p / (1 - p)) ORDER BY p, y) AS x, list(y::DOUBLE ORDER BY p, y) AS y FROM l),
+    it AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0 AS k UNION ALL
+      SELECT a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01), k + 1 FROM (
+        SELECT a, b, k, {_total(f"y[i] - {_P}")} AS g0, {_total(f"(y[i] - {_P}) * x[i]")} AS g1, {_total(f"{_P} * (1 - {_P})")} AS h00,
+          {_total(f"{_P} * (1 - {_P}) * x[i]")} AS h01, {_total(f"{_P} * (1 - {_P}) * x[i] * x[i]")} AS h11 FROM it, d WHERE k < 20))
+    SELECT round(b, 3) + 0.0 AS slope, round(a, 3) + 0.0 AS intercept FROM it WHERE k = 20""",
+)
 def calibration_line(t):
+    """Logistic line through the logits; the SQL makes 20 Newton steps."""
     line = models.calibration_line(t.predictions())
-    return line.select(F.round("slope", 3).alias("slope"), F.round("intercept", 3).alias("intercept"))
+    return line.select(*[(F.round(c, 3) + F.lit(0.0)).alias(c) for c in ("slope", "intercept")])
 
 
 @query("e25_adversarial_validation")

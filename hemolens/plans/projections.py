@@ -89,9 +89,20 @@ def n_steps(t):
     return df.groupBy("steps", "steps_ns").agg(F.count("*").alias("n"))
 
 
-@query("p10_crc_seed")
+def crc_sql(text: str) -> str:
+    """The checksum bit by bit: each character is taken in, then shifted out in eight steps (single-byte characters)."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "CASE WHEN o >= 0 THEN xor(c, o) ELSE xor(c >> 1, 3988292384 * (c & 1)) END"
+    return f"(4294967295 - list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda c, o: {step}))"
+
+
+@query(
+    "p10_crc_seed",
+    f"""SELECT doc_id, {crc_sql("source || '|8|' || lang || '|rep' || doc_id")} AS placement_seed,
+      {crc_sql("source || '_rep' || doc_id || '_umbrella' || n_chars")} AS umbrella_seed FROM documents""",
+)
 def crc_seed(t):
-    """Placement and umbrella seeds; DuckDB has no crc32, tests compare with zlib."""
+    """Placement and umbrella seeds."""
     return t.documents.select(
         "doc_id",
         scalars.placement_seed(F.col("source"), F.lit(8), F.col("lang"), F.col("doc_id")).alias("placement_seed"),
