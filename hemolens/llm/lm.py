@@ -164,7 +164,7 @@ def train(docs: DataFrame, text: str, words: Vocabulary, id_col: str, most_start
     """Model after the start sample (about `most_start` rows, by a hash of the id) and then all rows."""
     first = recurrent.with_frequencies(recurrent.start_model(width=words.width), words.token_counts)
     share = F.pmod(F.xxhash64(F.col(id_col), F.lit("start")), F.lit(1_000_000_000)) / 1e9
-    sample = docs.filter(share < most_start / max(docs.count(), 1)).coalesce(1)
+    sample = cut_lineage(docs.filter(share < most_start / max(docs.count(), 1))).coalesce(1)  # all tasks look, one learns
     start = averaged(trained_on(sample, text, words, recurrent.flat(first), 0.01))
     start = recurrent.flat(first) if start is None else start
     after = averaged(trained_on(docs, text, words, start, 0.003))
