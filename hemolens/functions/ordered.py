@@ -53,7 +53,7 @@ def with_order_bucket(df: DataFrame, order: str, buckets: int | None = None, tie
     that orders equal values: then it is cut along that, in a second pass.
     """
     n = buckets or bucket_count(df)
-    number = F.col(order).cast("double")
+    number = F.col(order).cast("double") + F.lit(0.0)  # no negative zero, which the bucketizer puts below zero
     shares = [i / n for i in range(1, n)]
     cuts = df.agg(F.percentile_approx(F.when(~F.isnan(number), number), shares, 4 * n)).first()[0] or []
     inner = sorted({c for c in cuts if abs(c) != float("inf")})
@@ -61,7 +61,7 @@ def with_order_bucket(df: DataFrame, order: str, buckets: int | None = None, tie
     splits = [float("-inf"), *inner, float("inf")]
     out = (
         Bucketizer(splits=splits, inputCol="_order", outputCol="_b", handleInvalid="keep")
-        .transform(df.withColumn("_order", F.col(order).cast("double")))
+        .transform(df.withColumn("_order", number))
         .withColumn(BUCKET, F.col("_b").cast("int"))
         .drop("_order", "_b")
     )

@@ -115,3 +115,10 @@ def test_average_rank_equals_pandas(skewed):
 def test_order_buckets_bound_the_hot_key(skewed):
     sizes = ordered.with_order_bucket(skewed, "t", 16).groupBy("k", "_bucket").count().agg(F.max("count")).first()[0]
     assert sizes < 5000 / 16 * 2
+
+
+def test_negative_zero_is_zero_in_every_bucket(spark):
+    values = [-0.0, 0.0] * 20 + [float(v) for v in range(-20, 0)] + [float(v) for v in range(1, 21)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    ranked = {r.i: r.avg_rank for r in ordered.average_rank(df, "v").collect()}
+    assert len(ranked) == 80 and {ranked[i] for i in range(40)} == {40.5}
