@@ -1,3 +1,4 @@
+import hashlib
 import math
 from statistics import NormalDist
 
@@ -300,6 +301,26 @@ def test_auc_properties(scored):
     assert ev.permutation_test(scored, "peptide_id", permutations=99).first().p_value == 0.01
 
 
+@pytest.mark.parametrize("reach", [6.0, 0.01])  # the narrow band misses most permutations at first
+def test_permutations_equal_brute_force(spark, reach):
+    rng = np.random.default_rng(6)
+    rows = [(f"i{k % 55}", int(rng.random() < 0.3), float(rng.normal())) for k in range(60)]  # five ids come twice
+    got = ev.permutation_test(spark.createDataFrame(rows, "i string, y int, p double"), "i", permutations=200, reach=reach).first()
+    p, y = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+    m, gap = y.sum(), lambda s: s / y.sum() - (p.sum() - s) / (len(p) - y.sum())
+    hits = 0
+    for rep in range(1, 201):
+        keys = sorted((hashlib.md5(f"perm|{rep}|{r[0]}".encode()).hexdigest(), r[0], r[2]) for r in rows)
+        hits += abs(gap(sum(k[2] for k in keys[:m]))) >= abs(gap(p[y == 1].sum())) - 1e-12
+    assert got.permutations == 200 and abs(got.p_value - (hits + 1) / 201) < 1e-12
+    assert abs(got.observed - gap(p[y == 1].sum())) < 1e-12
+
+
+def test_permutations_without_both_classes(spark):
+    assert ev.permutation_test(spark.createDataFrame([], "i string, y int, p double"), "i", permutations=5).count() == 0
+    assert ev.permutation_test(spark.createDataFrame([("a", 0, 1.0)], "i string, y int, p double"), "i", permutations=5).count() == 0
+
+
 def test_kendall_and_wilcoxon_equal_brute_force(scored):
     pdf = scored.toPandas()
     i, j = np.triu_indices(len(pdf), 1)
