@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from array import array
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import ahocorasick
 import pyarrow as pa
@@ -27,6 +28,7 @@ from hemolens.llm.common import attach
 
 MARK = "▁"
 REMEMBERED = 400_000
+SHORT = 48
 
 
 class PieceCodec:
@@ -83,6 +85,8 @@ class PieceCodec:
 
     def merged(self, text: str) -> list[str]:
         """Merge the best-scored pair, the leftmost of equal ones, until no pair is a piece."""
+        if len(text) > SHORT:
+            return self.merged_long(text)
         parts = list(text)
         while len(parts) > 1:
             best, at = None, -1
@@ -95,6 +99,33 @@ class PieceCodec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def merged_long(self, text: str) -> list[str]:
+        """`merged` in n log n steps: a heap of the pairs, by score, then place, and links between neighbours."""
+        parts, scores = list(text), self.scores
+        n = len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def pair(k: int):
+            j = after[k] if k >= 0 else n
+            score = scores.get(parts[k] + parts[j]) if j < n else None
+            return None if score is None else (-score, k, len(parts[k]), len(parts[j]))
+
+        waiting = [x for x in map(pair, range(n)) if x]
+        heapify(waiting)
+        while waiting:
+            _, k, left, right = heappop(waiting)
+            j = after[k]
+            if len(parts[k]) != left or j >= n or len(parts[j]) != right:
+                continue  # one of the two has been merged since
+            parts[k], parts[j] = parts[k] + parts[j], ""
+            after[k] = after[j]
+            if after[j] < n:
+                before[after[j]] = k
+            for x in (pair(before[k]), pair(k)):
+                if x:
+                    heappush(waiting, x)
+        return [x for x in parts if x]
+
     def compatible(self, left: int, right: int) -> bool:
         a, b = self.names[left], self.names[right]
         found = self.fits[left][right] = self.merged(a + b) == [a, b]
@@ -109,12 +140,12 @@ class PieceCodec:
         longest, lengths, shorter, fits = [-1] * n, self.lengths, self.shorter, self.fits
         for end, i in self.automaton.iter(text):
             longest[end - lengths[i] + 1] = i  # lengths rise with the end
-        failed, pos, before, piece = 0, 0, -1, longest[0]
+        failed, pos, before, piece = bytearray(n // 8 + 1), 0, -1, longest[0]
         path: list[int] = []
         while True:
             if piece >= 0:
                 end = pos + lengths[piece]
-                if not failed >> end & 1:
+                if not failed[end >> 3] >> (end & 7) & 1:
                     fit = True if before < 0 else fits[before].get(piece)
                     if fit is None:
                         fit = self.compatible(before, piece)
@@ -128,7 +159,7 @@ class PieceCodec:
             else:
                 if not path:
                     raise AssertionError("no sequence of compatible pieces")
-                failed |= 1 << pos
+                failed[pos >> 3] |= 1 << (pos & 7)
                 piece = path.pop()
                 pos -= lengths[piece]
                 before = path[-1] if path else -1

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -228,6 +229,20 @@ def test_pieces_equal_the_library(both):
         same(both, "".join(rng.choice(names) for _ in range(rng.randrange(1, 9))))
 
 
+def test_long_runs_take_linear_time(both):
+    started = time.monotonic()
+    for text in [" " * 100_000 + "x", "a" * 50_000, "=" * 30_001 + " " * 777, "ab" * 40_000, "".join(random.Random(2).choice("aehn") for _ in range(60_000))]:
+        same(both, text)
+    assert time.monotonic() - started < 30
+
+
+def test_both_ways_of_merging_agree(both):
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice("▁▁▁eaint1=") for _ in range(rng.randrange(1, pieces.SHORT + 1)))
+        assert both[0].merged_long(text) == both[0].merged(text)
+
+
 def test_decoding_any_ids(both):
     rng = random.Random(3)
     for _ in range(500):
