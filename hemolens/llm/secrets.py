@@ -33,6 +33,8 @@ CLASSES = {
     "base32": (r"^[A-Z0-9=]+$", 20, 3.5),
     "base64": (r"^[A-Za-z0-9+/_=-]+$", 20, 3.8),
 }
+WIDEST = max(window for _, window, _ in CLASSES.values())
+LOWEST, SLOTS = ord("+"), ord("z") - ord("+") + 1  # the characters of candidates
 ALLOWED = (
     r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"(?i)example|sample|placeholder|dummy|changeme|your[_-]",
@@ -75,63 +77,67 @@ def pattern_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
-def dense_part(word: Column, window: int, bits: float) -> Column:
-    """(first, last) start of a window of `word` with `bits` a character or more; -1 if none.
+def dense_part(word: Column, window: Column, most: Column) -> Column:
+    """(first, last) start of a window of `word` whose sum of c * log2 c is at most `most`; -1 if none.
 
-    sum(c * log2 c) over the counts c of the characters follows the window by two updates a
-    step; the entropy is log2(window) less that sum divided by the window.
+    c are the counts of the characters in the window. A window moves by two steps: one count goes
+    down, one goes up, each a single replaced place, so the time is linear in the word. The word is
+    of candidate characters, taken apart once.
     """
-    most = window * (math.log2(window) - bits) + 1e-9
-    part = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(0.0)
-    code = lambda i: F.ascii(F.substring(word, i, F.lit(1)))
+    codes = F.transform(F.split(word, ""), lambda c: F.ascii(c) - LOWEST)
+    part = F.lit([0.0, *[c * math.log2(c) for c in range(1, WIDEST + 1)]])
     start = F.struct(
-        F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).cast("double").alias("total"),
+        F.array_repeat(F.lit(0), SLOTS).alias("counts"), F.lit(0.0).cast("double").alias("total"),
         F.lit(-1).alias("first"), F.lit(-1).alias("last"),
     )
 
-    def step(acc, i):
-        new, old = code(i), F.when(i > window, code(i - window)).otherwise(-1)
-        up = acc["counts"][new]
-        change = F.when(new == old, 0.0).otherwise(
-            part(up + 1) - part(up)
-            + F.when(old < 0, 0.0).otherwise(part(F.get(acc["counts"], old) - 1) - part(F.get(acc["counts"], old)))
-        )
-        total = acc["total"] + change
-        hit = (i >= window) & (total <= most)
-        return F.struct(
-            F.transform(acc["counts"], lambda c, k: c + (k == new).cast("int") - (k == old).cast("int")).alias("counts"),
-            total.alias("total"),
-            F.when(hit & (acc["first"] < 0), i - window).otherwise(acc["first"]).alias("first"),
-            F.when(hit, i - window).otherwise(acc["last"]).alias("last"),
-        )
+    def moved(b):
+        def step(acc, j):
+            up, at = j % 2 == 1, F.shiftright(j, 1)
+            slot = F.get(b["codes"], F.when(up, at).otherwise(at - b["window"]))
+            count, change = F.get(acc["counts"], slot), F.when(up, 1).otherwise(-1)
+            put = F.concat(F.slice(acc["counts"], 1, slot), F.array(count + change), F.slice(acc["counts"], slot + 2, SLOTS))
+            hit = ~up & (at >= b["window"]) & (acc["total"] <= b["most"])  # of the window that ends before `at`
+            total = acc["total"] + F.get(part, count + change) - F.get(part, count)
+            return F.struct(
+                F.when(slot.isNull(), acc["counts"]).otherwise(put).alias("counts"),
+                F.when(slot.isNull(), acc["total"]).otherwise(total).alias("total"),
+                F.when(hit & (acc["first"] < 0), at - b["window"]).otherwise(acc["first"]).alias("first"),
+                F.when(hit, at - b["window"]).otherwise(acc["last"]).alias("last"),
+            )
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(b["codes"]) * 2), start, step, lambda a: F.struct(a["first"], a["last"]))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step, lambda a: F.struct(a["first"], a["last"]))
+    bound = F.struct(codes.alias("codes"), window.alias("window"), most.alias("most"))
+    return F.transform(F.array(bound), moved)[0]
 
 
 def entropy_spans(text: Column) -> Column:
     """Spans of the dense parts of the candidates that the allow-list does not name."""
     kind = len(PATTERNS)
 
-    def measured(span):
-        word = F.substring(text, span["start"] + 1, span["end"] - span["start"])
-        result = None
-        for pattern, window, bits in CLASSES.values():
-            found = dense_part(word, window, bits)
-            result = F.when(word.rlike(pattern), found) if result is None else result.when(word.rlike(pattern), found)
+    def measured(found):
+        word, begin = found["word"], found["span"]["start"]
+        window = most = None
+        for pattern, size, bits in CLASSES.values():
+            fits, limit = word.rlike(pattern), size * (math.log2(size) - bits) + 1e-9
+            window = F.when(fits, size) if window is None else window.when(fits, size)
+            most = F.when(fits, limit) if most is None else most.when(fits, limit)
         allowed = F.lit(False)
         for pattern in ALLOWED:
             allowed = allowed | word.rlike(pattern)
         mixed = word.rlike("[0-9]") & word.rlike("[A-Za-z]")
-        window = 20
         return F.when(mixed & ~allowed, F.transform(
-            F.array(result),
+            F.array(F.struct(dense_part(word, window, most).alias("dense"), window.alias("window"))),
             lambda r: F.struct(
-                (span["start"] + r["first"]).alias("start"), F.lit(kind).alias("kind"),
-                F.when(r["first"] >= 0, span["start"] + r["last"] + window).alias("end"),
+                (begin + r["dense"]["first"]).alias("start"), F.lit(kind).alias("kind"),
+                F.when(r["dense"]["first"] >= 0, begin + r["dense"]["last"] + r["window"]).alias("end"),
             ),
         )[0])
 
-    spans = F.filter(F.transform(located(text, CANDIDATE, kind), measured), lambda s: s["end"].isNotNull())
+    words = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    both = F.arrays_zip(located(text, CANDIDATE, kind).alias("span"), words.alias("word"))
+    spans = F.filter(F.transform(both, measured), lambda s: s["end"].isNotNull())
     return F.when(text.rlike(CANDIDATE), spans).otherwise(F.array().cast(SPAN))
 
 

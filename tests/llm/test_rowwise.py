@@ -319,6 +319,17 @@ def test_entropy_windows(spark, docs_of):
         assert [(s["start"], s["kind"], s["end"]) for s in r.secret_spans if s["kind"] == 3] == want
 
 
+def test_long_candidates_take_linear_time(docs_of):
+    rng = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = ["".join(rng.choice(letters) for _ in range(200_000)), "a1" * 100_000]
+    secrets.scan_secrets(docs_of([(0, texts[0][:50])])).collect()
+    started = time.monotonic()
+    rows = {r.doc_id: [tuple(s) for s in r.secret_spans if s["kind"] == 3] for r in secrets.scan_secrets(docs_of(list(enumerate(texts)))).collect()}
+    assert time.monotonic() - started < 60
+    assert rows[1] == [] and rows[0][0][0] < 100 and rows[0][0][2] > 199_900
+
+
 def test_redaction(spark, docs_of):
     found = secrets.scan_secrets(docs_of([*ODD, *enumerate(TRICKY, 100)]))
     for r in found.withColumn("clean", secrets.redacted(F.col("text"), F.col("secret_spans"))).collect():
