@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hemolens.llm.common import WordHash, attach, mix, running_minimum, shingle_hashes, words
+from hemolens.llm.common import WordHash, attach, checked_broadcast, mix, running_minimum, shingle_hashes, words
 from hemolens.session import cut_lineage
 
 MER = 4
@@ -72,33 +72,32 @@ def volume(docs: DataFrame, text: str, size: int) -> DataFrame:
 
 
 def pack(rows: list[tuple]) -> bytes:
-    """Stretches (doc, first window, windows, packed words) as one compressed block."""
-    doc, start, n, packed = zip(*rows)
-    numbers = [np.array([len(rows)], np.int64), np.array(doc, np.int64), np.array(start, np.int64), np.array(n, np.int64)]
+    """Stretches (doc, tag, first window, windows, packed words) as one compressed block."""
+    *columns, packed = zip(*rows)
+    numbers = [np.array([len(rows)], np.int64), *[np.array(c, np.int64) for c in columns]]
     return zstandard.ZstdCompressor(level=1).compress(b"".join([x.tobytes() for x in numbers]) + b" ".join(packed))
 
 
-def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     raw = zstandard.ZstdDecompressor().decompress(block)
     rows = int(np.frombuffer(raw, np.int64, 1)[0])
-    doc, start, n = np.frombuffer(raw, np.int64, 3 * rows, 8).reshape(3, rows)
-    return doc, start, n, raw[8 + 24 * rows :]
+    doc, tag, start, n = np.frombuffer(raw, np.int64, 4 * rows, 8).reshape(4, rows)
+    return doc, tag, start, n, raw[8 + 32 * rows :]
 
 
 def send(docs: DataFrame, id_col: str, text: str, size: int, buckets: int, heavy: frozenset) -> DataFrame:
-    """(bucket, block): stretches as (doc, first window, windows, packed words) by bucket.
+    """(bucket, block): stretches as (doc, tag, first window, windows, packed words) by bucket.
 
-    Within a batch only the earliest of equal stretches travels. The later ones are known to
+    `docs` has `_tag` beside the id, which tells rows of one id apart. Within a batch only the earliest of equal stretches travels. The later ones are known to
     repeat it: they go back as (bucket -1, block) with nothing to compare.
     """
 
     def run(batches):
         hashed = WordHash()
         for batch in batches:
-            seen: dict[bytes, tuple[int, int, int, int]] = {}
+            seen: dict[bytes, tuple[int, int, int, int, int]] = {}
             known: list[tuple] = []
-            ids = batch.column(id_col).to_pylist()
-            for doc, t in zip(ids, batch.column(text).to_pylist()):
+            for doc, tag, t in zip(*[batch.column(c).to_pylist() for c in (id_col, "_tag", text)]):
                 tokens = words(t)
                 if len(tokens) < size or doc is None:
                     continue
@@ -116,17 +115,17 @@ def send(docs: DataFrame, id_col: str, text: str, size: int, buckets: int, heavy
                         parts = [(bucket, a, b - a)]
                     for where, start, n in parts:
                         packed = b" ".join(tokens[start : start + n + size - 1])
-                        mine = (doc, start, n, where)
+                        mine = (doc, tag, start, n, where)
                         other = seen.setdefault(packed, mine)
                         if other is not mine:
-                            if mine[:2] == other[:2]:
+                            if mine[:3] == other[:3]:
                                 continue
                             if mine < other:
                                 seen[packed], mine = mine, other
-                            known.append((mine[0], mine[1], mine[2], b""))
+                            known.append((*mine[:4], b""))
             out: dict[int, list] = {}
-            for packed, (doc, start, n, where) in seen.items():
-                out.setdefault(where, []).append((doc, start, n, packed))
+            for packed, (*mine, where) in seen.items():
+                out.setdefault(where, []).append((*mine, packed))
             if known:
                 out[-1] = known
             if out:
@@ -135,7 +134,7 @@ def send(docs: DataFrame, id_col: str, text: str, size: int, buckets: int, heavy
                     ["bucket", "block"],
                 )
 
-    return docs.select(id_col, text).mapInArrow(run, "bucket long, block binary")
+    return docs.select(id_col, "_tag", text).mapInArrow(run, "bucket long, block binary")
 
 
 class Numbers(dict):
@@ -147,56 +146,56 @@ class Numbers(dict):
 
 
 def repeats(blocks: list[bytes], size: int) -> np.ndarray:
-    """(doc, start) rows of the windows in a bucket that start earlier elsewhere."""
-    number, codes, docs, starts, at, length = Numbers(), [], [], [], [], 0
+    """(doc, tag, start) rows of the windows in a bucket that start earlier elsewhere."""
+    number, codes, docs, tags, starts, at, length = Numbers(), [], [], [], [], [], 0
     for block in blocks:
-        doc, start, n, packed = unpack(block)
+        doc, tag, start, n, packed = unpack(block)
         tokens = packed.split(b" ")
         codes.append(np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens)))
         before = np.cumsum(n) - n
         inner = np.arange(int(n.sum())) - np.repeat(before, n)  # 0.. within each stretch
         docs.append(np.repeat(doc, n))
+        tags.append(np.repeat(tag, n))
         starts.append(np.repeat(start, n) + inner)
         at.append(length + np.repeat(before + np.arange(len(n)) * (size - 1), n) + inner)
         length += len(tokens)
-    code, doc, start, at = map(np.concatenate, (codes, docs, starts, at))
+    code, doc, tag, start, at = map(np.concatenate, (codes, docs, tags, starts, at))
     key = shingle_hashes(code.astype(np.uint64), size)[at]
     order = np.argsort(key)
     ranked = key[order]
     fresh = np.concatenate(([True], ranked[1:] != ranked[:-1]))
     shared = order[~(fresh & np.concatenate((fresh[1:], [True])))]  # windows whose hash is not alone
     if not len(shared):
-        return np.empty((0, 2), np.int64)
-    shared = shared[np.lexsort((start[shared], doc[shared], key[shared]))]
+        return np.empty((0, 3), np.int64)
+    shared = shared[np.lexsort((start[shared], tag[shared], doc[shared], key[shared]))]
     fresh = np.concatenate(([True], key[shared][1:] != key[shared][:-1]))
     head = shared[np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))]
     same = np.ones(len(shared), bool)
     for k in range(size):
         same &= code[at[shared] + k] == code[at[head] + k]
     if same.all():
-        late = shared[~fresh & ((doc[shared] != doc[head]) | (start[shared] != start[head]))]
+        late = shared[~fresh & ((doc[shared] != doc[head]) | (tag[shared] != tag[head]) | (start[shared] != start[head]))]
     else:  # two windows with one hash: go by their words
         first: dict[bytes, int] = {}
         late = []
         for i in shared.tolist():
             j = first.setdefault(code[at[i] : at[i] + size].tobytes(), i)
-            if (doc[i], start[i]) != (doc[j], start[j]):
+            if (doc[i], tag[i], start[i]) != (doc[j], tag[j], start[j]):
                 late.append(i)
-    return np.column_stack((doc[late], start[late]))
+    return np.column_stack((doc[late], tag[late], start[late]))
 
 
-def runs(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, first, count) of the runs of consecutive window starts."""
-    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-    doc, start = pairs[order, 0], pairs[order, 1]
-    cut = np.flatnonzero((doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)) + 1
+def runs(late: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, tag, first, count) of the runs of consecutive window starts."""
+    doc, tag, start = late[np.lexsort(late.T[::-1])].T
+    cut = np.flatnonzero((doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (start[1:] > start[:-1] + 1)) + 1
     first = np.concatenate(([0], cut))
     last = np.concatenate((cut, [len(doc)])) - 1
-    return doc[first], start[first], start[last] - start[first] + 1
+    return doc[first], tag[first], start[first], start[last] - start[first] + 1
 
 
 def repeated_windows(docs: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
-    """(doc, start, windows): runs of windows whose words start earlier somewhere.
+    """(doc, tag, start, windows): runs of windows whose words start earlier somewhere.
 
     Runs of one document may touch or overlap, as they come from several buckets.
     """
@@ -209,12 +208,12 @@ def repeated_windows(docs: DataFrame, id_col: str, text: str, size: int) -> Data
     def find(batches):
         def done(bucket, blocks):
             if bucket == -1:
-                found = unpack(blocks[0])[:3]
+                found = unpack(blocks[0])[:4]
             else:
-                pairs = repeats(blocks, size)
-                found = runs(pairs) if len(pairs) else ([],)
+                late = repeats(blocks, size)
+                found = runs(late) if len(late) else ([],)
             if len(found[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["doc", "start", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["doc", "tag", "start", "windows"])
 
         bucket, blocks = None, []
         for batch in batches:
@@ -234,7 +233,16 @@ def repeated_windows(docs: DataFrame, id_col: str, text: str, size: int) -> Data
     dealt = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(-1 - F.abs(F.xxhash64("block")) % int(buckets))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(buckets) // 4)
     ordered = sent.withColumn("to", dealt).repartition(parts, "to").sortWithinPartitions("bucket").select("bucket", "block")
-    return ordered.mapInArrow(find, "doc long, start long, windows long")
+    return ordered.mapInArrow(find, "doc long, tag long, start long, windows long")
+
+
+def tagged(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """`docs` with `_tag`: 0, or a hash of the text where several rows have the id."""
+    again = cut_lineage(docs.groupBy(id_col).agg(F.count("*").alias("_rows")).filter("_rows > 1").select(F.col(id_col).alias("_again")))
+    if again.isEmpty():
+        return docs.withColumn("_tag", F.lit(0).cast("long"))
+    there = docs.join(checked_broadcast(again), F.col(id_col) == F.col("_again"), "left")
+    return there.withColumn("_tag", F.when(F.col("_again").isNotNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))).drop("_again")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 20, out: str = "kept_text") -> DataFrame:
@@ -243,16 +251,17 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     A word goes if it is in a window of `size` words whose words also start earlier: in a
     smaller id, or earlier in the same document. All windows are judged on the input. Null,
     empty and short texts lose nothing. A row with a null id is not compared and loses nothing.
-    Rows that repeat an id count as one document at its later row's expense: its windows equal
-    the other's at the same start, so neither is earlier and both rows keep what one would.
+    Of rows with one id and different texts, the one whose text has the smaller hash is earlier.
+    Rows with one id and one text are one document: neither is earlier, both keep what one would.
     """
-    base = docs.select(F.col(id_col), F.col(text))
+    base = tagged(docs.select(F.col(id_col), F.col(text)), id_col, text)
     marks = (
         repeated_windows(base, id_col, text, size)
-        .groupBy("doc")
+        .groupBy("doc", "tag")
         .agg(F.collect_list(F.struct("start", "windows")).alias("_runs"))  # no more than the document's windows
+        .withColumnsRenamed({"doc": "_doc", "tag": "_of"})
     )
-    joined = base.join(marks.withColumnRenamed("doc", "_doc"), F.col(id_col) == F.col("_doc"), "left").drop("_doc")
+    joined = base.join(marks, (F.col(id_col) == F.col("_doc")) & (F.col("_tag") == F.col("_of")), "left").drop("_doc", "_of", "_tag")
 
     def make():
         def one(t, found):

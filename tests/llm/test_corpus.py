@@ -145,8 +145,20 @@ def test_repeated_passages(docs_of, monkeypatch, bucket_bytes):
 
 def test_equal_hashes_are_told_apart_by_their_words(monkeypatch):
     monkeypatch.setattr(substrings, "shingle_hashes", lambda codes, size: np.zeros(len(codes) - size + 1, np.uint64))
-    block = substrings.pack([(1, 0, 2, b"a b c"), (2, 0, 2, b"b c d"), (3, 5, 1, b"a b")])
-    assert sorted(map(tuple, substrings.repeats([block], 2).tolist())) == [(2, 0), (3, 5)]
+    block = substrings.pack([(1, 0, 0, 2, b"a b c"), (2, 0, 0, 2, b"b c d"), (3, 7, 5, 1, b"a b")])
+    assert sorted(map(tuple, substrings.repeats([block], 2).tolist())) == [(2, 0, 0), (3, 7, 5)]
+
+
+def test_passages_of_rows_that_repeat_an_id(docs_of):
+    rng = random.Random(10)
+    one, two, three = (" ".join(f"{k}{rng.randrange(10**6)}" for _ in range(40)) for k in "pqr")
+    rows = [(1, one), (5, one), (5, two), (5, two), (6, three), (6, f"{three} x {two}"), (7, three), (7, three)]
+    got = sorted((tuple(r) for r in substrings.without_repeats(docs_of(rows).repartition(3)).collect()), key=str)
+    want = [(1, 40, 0, one), (5, 40, 40, ""), (5, 40, 0, two), (5, 40, 0, two), (7, 40, 40, ""), (7, 40, 40, "")]
+    assert [r for r in got if r[0] != 6] == sorted(want, key=str)
+    six = [r for r in got if r[0] == 6]  # the earlier of the two keeps `three`, `two` goes from the longer one anyway
+    assert sorted(r[2] for r in six) in ([0, 80], [40, 40])
+    assert sum(three in r[3] for r in six) == 1
 
 
 # classifier
