@@ -57,6 +57,11 @@ def arrow_lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
+def keys_of(sets: list[np.ndarray]) -> pa.Array:
+    """Digests of the sets, null for empty ones."""
+    return pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
+
+
 def set_table(docs: DataFrame, id_col: str, text: str, size: int, percent: int) -> DataFrame:
     """(id, n, key, small, counted, large): size, digest, and the first members, by hash.
 
@@ -78,8 +83,7 @@ def set_table(docs: DataFrame, id_col: str, text: str, size: int, percent: int)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(id_col), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                    arrow_lists(small), pa.array(counted, pa.int32()), arrow_lists(large),
+                    keys_of(sets), arrow_lists(small), pa.array(counted, pa.int32()), arrow_lists(large),
                 ],
                 ["id", "n", "key", "small", "counted", "large"],
             )
@@ -89,15 +93,15 @@ def set_table(docs: DataFrame, id_col: str, text: str, size: int, percent: int)
 
 
 def whole_sets(docs: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
-    """(id, members) of every row."""
+    """(id, key, members) of every row; `key` as in `set_table`."""
 
     def run(batches):
         hashed = WordHash()
         for batch in batches:
             sets = [shingle_set(t, size, hashed) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), arrow_lists(sets)], ["id", "members"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), keys_of(sets), arrow_lists(sets)], ["id", "key", "members"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(run, "id long, members array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(run, "id long, key binary, members array<long>")
 
 
 def spare(percent: int):
@@ -261,30 +265,66 @@ def similar_groups(
     """
     sets = cut_lineage(set_table(docs, id_col, text, size, percent))
     named = sets.filter("key is not null and id is not null")
+    twice = cut_lineage(sets.filter("id is not null").groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").select("id"))
     classes = named.groupBy("key").agg(F.min("id").alias("rep"))
+    repeated = not twice.isEmpty()
+    classes = with_nodes(cut_lineage(classes)) if repeated else classes.withColumn("node", F.col("rep"))
     member = cut_lineage(
         sets.select("id", "n", "key").join(classes, "key", "left")
-        .select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
+        .withColumns({c: F.when(F.col("id").isNotNull(), F.coalesce(c, "id")) for c in ("rep", "node")}).drop("key")
     )
-    copies = member.filter("id <> rep").select("id").distinct()
-    begun = cut_lineage(beginnings(named.join(checked_broadcast(copies), "id", "left_anti"), percent))
+    copies = checked_broadcast(cut_lineage(member.filter("id <> rep").select("id").distinct()))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text)
+
+    def one_of_each_set(found: DataFrame, seldom: DataFrame) -> DataFrame:
+        """Of each set one row of `found`, under its node; `seldom` are the rows whose id others have too."""
+        again = seldom.join(classes, "key").filter("id = rep").dropDuplicates(["key"]).withColumn("id", F.col("node"))
+        return found.unionByName(again.select(*found.columns)) if repeated else found
+
+    def apart(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        if not repeated:
+            return df, df
+        several = checked_broadcast(twice)
+        return df.join(several, "id", "left_anti"), df.join(several, "id", "left_semi")
+
+    single, seldom = apart(named)
+    begun = cut_lineage(beginnings(one_of_each_set(single.join(copies, "id", "left_anti"), seldom), percent))
     light = boundary(begun, percent)
     index = cut_lineage(index_rows(begun, light, percent))
     lists = index.groupBy("sig").agg(F.count("*").alias("m")).filter("m > 1")
-    wanted = cut_lineage(index.join(lists, "sig").select("id").distinct())
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text)
-    members = cut_lineage(whole_sets(rows.join(checked_broadcast(wanted), "id", "left_semi"), "id", text, size))
-    found = joined(index, members, percent)
-    several = member.filter("id is not null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z")
-    if not several.isEmpty():
-        repeats = member.join(several, "id").select("a", F.col("rep").alias("b"))
-        found = components(repeats.unionByName(found.select(F.col("component").alias("a"), F.col("id").alias("b"))))
-    labels = found.withColumnRenamed("id", "rep")
-    return member.join(labels, "rep", "left").select(
+    wanted = checked_broadcast(cut_lineage(index.join(lists, "sig").select("id").distinct()))
+    single, seldom = apart(rows)
+    whole = whole_sets(single.join(wanted, "id", "left_semi"), "id", text, size)
+    if repeated:
+        whole = one_of_each_set(whole, whole_sets(seldom, "id", text, size)).join(wanted, "id", "left_semi")
+    found = joined(index, cut_lineage(whole.select("id", "members")), percent)
+    if repeated:
+        found = under_ids(found, member)
+    labels = found.withColumnRenamed("id", "node")
+    return member.join(labels, "node", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")
     )
 
 
+def with_nodes(classes: DataFrame) -> DataFrame:
+    """(key, rep, node) of (key, rep): the node is `rep`, or a number below all ids where several sets have that `rep`."""
+    below = min(0, classes.agg(F.min("rep")).first()[0] or 0)
+    shared = classes.groupBy("rep").agg(F.count("*").alias("sets")).filter("sets > 1").select("rep")
+    numbered = cut_lineage(classes.join(shared, "rep").select("key", (F.lit(below - 1) - F.monotonically_increasing_id()).alias("node")))
+    return cut_lineage(classes.join(numbered, "key", "left").withColumn("node", F.coalesce("node", "rep")))
+
+
+def under_ids(found: DataFrame, member: DataFrame) -> DataFrame:
+    """(id, component) of the nodes, with all rows of an id linked and each component named by its least id."""
+    several = member.filter("id is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z")
+    repeats = member.join(several, "id").select("a", F.col("node").alias("b"))
+    whole = cut_lineage(components(repeats.unionByName(found.select(F.col("component").alias("a"), F.col("id").alias("b")))))
+    ids = member.filter("node is not null").groupBy("node").agg(F.min("rep").alias("rep"))
+    named = whole.join(ids, F.col("id") == F.col("node"))
+    least = named.groupBy("component").agg(F.min("rep").alias("least"))
+    return named.join(least, "component").select("id", F.col("least").alias("component"))
+
+
 def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """`docs` without those whose group has a smaller id; rows with a null id stay."""
     gone = cut_lineage(groups.filter(F.col("component_id") < F.col(id_col)).select(id_col).distinct())

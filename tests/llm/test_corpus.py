@@ -100,6 +100,20 @@ def test_groups_of_odd_rows(docs_of):
     assert found_groups(docs_of([])) == []
 
 
+def test_groups_of_rows_that_repeat_an_id(docs_of):
+    rng = random.Random(11)
+    a, b, c, d = (" ".join(f"{k}{rng.randrange(10**6)}" for _ in range(120)) for k in "abcd")
+    near = lambda t: t + " more"
+    for rows in (
+        [(2, a), (3, a), (3, b), (9, near(b))],
+        [(3, c), (3, d), (7, near(c)), (8, near(d)), (20, near(b)), (21, b)],
+        [(2, a), (3, a), (3, None), (5, ""), (5, near(a))],
+        [(-4, c), (-4, d), (-4, c), (-9, near(d)), (12, "one two"), (12, a), (15, near(a)), (None, a)],
+    ):
+        want = [r if r[0] is not None else (None, r[1], None) for r in plain_groups(rows)]
+        assert found_groups(docs_of(rows).repartition(3)) == sorted(want, key=str)
+
+
 def test_one_of_each(docs_of):
     docs = docs_of([(1, "a b c"), (2, "a b c"), (3, "other"), (None, "a b c")])
     left = jaccard.one_of_each(docs, jaccard.similar_groups(docs))
