@@ -96,18 +96,19 @@ def identify(
     """`df` with `text_language`, `language`, `language_posterior` and `language_kept`.
 
     `declared`, `host` and `suffix` are columns over `df`; nulls in them are no evidence. The
-    inventory is the declared codes of two or three letters (or `languages`). A text without a
+    inventory is the declared codes of two or three letters (or `languages`); what follows a hyphen or
+    low line in a code (a region, a script) is left out. A text without a
     letter is `und`; null and empty texts are. `language_kept` is false for `und` and for a
     posterior under `least`. Ties go to the first name. Repeated rows get equal results, an
     empty table an empty one, and input columns named like an output are replaced.
     """
     null = F.lit(None).cast("string")
     df = df.drop("text_language", "language", "language_posterior", "language_kept").withColumns({
-        "_lid_said": F.lower(declared if declared is not None else null),
+        "_lid_said": F.regexp_extract(F.lower(declared if declared is not None else null), "^([a-z]{2,3})([-_][a-z0-9]+)*$", 1),
         "_lid_host": F.coalesce(host if host is not None else null, F.lit("")),
         "_lid_suffix": F.coalesce(suffix if suffix is not None else null, F.lit("")),
     })
-    ok = F.col("_lid_said").rlike("^[a-z]{2,3}$") & (F.col("_lid_said") != NONE)
+    ok = ~F.col("_lid_said").isin("", NONE)
     if languages:
         ok = ok & F.col("_lid_said").isin(languages)
     df = df.withColumn("_lid_said", F.when(ok, F.col("_lid_said")))

@@ -116,6 +116,13 @@ def test_languages_are_found_in_spite_of_wrong_claims(spark):
     assert right >= 0.97 * n
 
 
+def test_regions_of_declared_codes_are_left_out(docs_of):
+    rows = [(k, "der die das und nicht ist ein") for k in range(20)] + [(k + 50, "the and of to in is that") for k in range(20)]
+    docs = docs_of(rows).withColumn("said", F.when(F.col("doc_id") < 30, F.lit("de-AT")).when(F.col("doc_id") < 60, "EN_us").otherwise("en-Latn-GB"))
+    found = language.identify(docs, declared=F.col("said")).select("language", F.col("doc_id") < 30).distinct().collect()
+    assert sorted(map(tuple, found)) == [("de", True), ("en", False)]
+
+
 def test_host_prior_decides_where_the_text_does_not(spark):
     train = [(k, "der die das und nicht ist ein", "de", "a.de") for k in range(20)] + [(k + 50, "the and of to in is that", "en", "b.com") for k in range(20)]
     docs = spark.createDataFrame([*train, (90, "zq", None, "a.de"), (91, "zq", None, "b.com"), (92, "1234 !!", "de", "a.de"), (93, None, "de", "a.de")], "doc_id long, text string, lang string, source string")
