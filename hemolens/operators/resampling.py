@@ -1,9 +1,10 @@
 """Bootstrap of rank statistics (E21): AUC and Spearman's rho, with BCa intervals.
 
 A resample is a table of multiplicities, (replicate, item, times). Rank statistics need, for every
-distinct value, how often it was drawn and how often a smaller one was; that is a running total over
-(replicate, value) rows inside quantile buckets of the values, cut once for all replicates. No
-resample is sorted as a whole or gathered in one place. Replicates are dealt over the
+distinct value, how often it was drawn and how often a smaller one was. Up to `replicates.WHOLE` items that is
+counted in units of replicates that hold all items (`replicates.in_units`). Beyond, it is a running total over
+(replicate, value) rows inside quantile buckets of the values, cut once for all replicates: no
+resample is sorted as a whole or gathered in one place, and replicates are dealt over the
 partitions before their draws are made, so that draws and multiplicities need no shuffle.
 
 The jackknife of both statistics is closed form in placement values: leaving an item out takes a known
@@ -15,11 +16,14 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hemolens.functions import draws, ordered
+from hemolens.operators import replicates as units
 from hemolens.operators.splits import hash_order
 from hemolens.session import cut_lineage
 
@@ -61,10 +65,29 @@ def _auc(table: DataFrame, keys: list[str]) -> DataFrame:
     return table.groupBy(*keys).agg(F.try_divide(wins, pairs).alias("stat"))
 
 
+def _auc_maker(seed: str):
+    def make(table: pa.Table, turns: range) -> dict:
+        item, p = units.column(table, "item"), units.column(table, "p")
+        values, place = np.unique(p, return_inverse=True)
+        kind = np.empty(len(item), np.int64)
+        kind[item] = 2 * place + (units.column(table, "y") == 1)
+        stats = {}
+        for rep, drawn in units.draws_of(seed, turns, len(item)):
+            neg, pos = np.bincount(kind[drawn], minlength=2 * len(values)).reshape(-1, 2).T
+            pairs = pos.sum() * neg.sum()
+            stats[rep] = (pos * (2 * (np.cumsum(neg) - neg) + neg)).sum() / 2 / pairs if pairs else None
+        return {"rep": pa.array(list(stats), pa.int32()), "stat": pa.array(list(stats.values()), pa.float64())}
+
+    return make
+
+
 def auc_replicates(items: DataFrame, replicates: int, seed: str) -> DataFrame:
     """(rep, stat) for `items` (item, y, p); null where a resample has one class only."""
+    n = items.count()
+    if n <= units.WHOLE:
+        return units.in_units(items, replicates, _auc_maker(seed), "rep int, stat double")
     items = _bucketed(items, "p")
-    drawn = multiplicities(items.count(), replicates, items.sparkSession, seed).join(items, "item")
+    drawn = multiplicities(n, replicates, items.sparkSession, seed).join(items, "item")
     times = {"pos": F.when(F.col("y") == 1, F.col("m")).otherwise(0), "neg": F.when(F.col("y") == 1, 0).otherwise(F.col("m"))}
     return _auc(_table(drawn, "p", times), ["rep"])
 
@@ -110,8 +133,9 @@ def _rho(ranked: DataFrame, keys: list[str], times: str) -> DataFrame:
 
 def spearman_replicates(items: DataFrame, replicates: int, seed: str) -> DataFrame:
     """(rep, stat) for `items` (item, x, y); null where a resample has a single value."""
+    n = items.count()
     items = _bucketed(items, "x", "y")
-    drawn = multiplicities(items.count(), replicates, items.sparkSession, seed).join(items, "item")
+    drawn = multiplicities(n, replicates, items.sparkSession, seed).join(items, "item")
     drawn = cut_lineage(drawn.select("rep", "m", "x", "y", "_b_x", "_b_y"))
     ranked = drawn
     for v, r in (("x", "rx"), ("y", "ry")):

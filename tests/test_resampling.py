@@ -1,5 +1,6 @@
 """Resampled rank statistics and their jackknife against direct computation."""
 
+import hashlib
 from statistics import NormalDist
 
 import numpy as np
@@ -7,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from hemolens.functions import draws
+from hemolens.functions import digests, draws
 from hemolens.operators import resampling as rs
 
 
@@ -84,3 +85,28 @@ def test_degenerate_inputs(spark):
     for stat in ("auc", "spearman"):
         row = rs.bootstrap_rank_ci(flat, "i", "a", "b", stat, 20).first()
         assert row.observed is None and row.resamples == 0 and row.ci_low is None
+
+
+@pytest.mark.parametrize("stat, a, b", [("auc", "y", "v")])
+def test_units_equal_the_plan_over_rows(spark, frame, monkeypatch, stat, a, b):
+    names, replicate, _ = rs.STATISTICS[stat]
+    items = rs.numbered(spark.createDataFrame(frame), "i", dict(zip(names, (a, b))), "boot")
+    got = replicate(items, 60, "boot")
+    assert "InArrow" in got._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(rs.units, "WHOLE", 10)
+    want = replicate(items, 60, "boot").toPandas().sort_values("rep")
+    assert np.allclose(got.toPandas().sort_values("rep").stat, want.stat, atol=1e-12)
+
+
+def test_digests_equal_hashlib():
+    prefixes = [b"s|%d|" % r for r in (1, 9, 10, 123456)] + [b"x" * 50, b"", b"s|2|"]
+    texts = [str(i) for i in (0, 7, 10, 99, 100, 12345)] + ["", "é|ß", "y" * 60]
+    suffixes = digests.by_length([t.encode() for t in texts])
+    seen = 0
+    for at, words in digests.matrices(prefixes, suffixes, 4):
+        for i, row in zip(at, np.stack(words, axis=-1)):
+            for text, four in zip(texts, row):
+                assert "".join(f"{w:08x}" for w in four) == hashlib.md5(prefixes[i] + text.encode()).hexdigest()
+                seen += 1
+    assert seen == len(prefixes) * len(texts)
+    assert [bytes(r).decode() for _, rows in digests.numbers(0, 1001) for r in rows] == [str(i) for i in range(1001)]
