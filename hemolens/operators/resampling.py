@@ -131,9 +131,35 @@ def _rho(ranked: DataFrame, keys: list[str], times: str) -> DataFrame:
     return sums.select(*keys, F.try_divide(part("_xy"), F.sqrt(part("_xx") * part("_yy"))).alias("stat"))
 
 
+def _spearman_maker(seed: str):
+    def make(table: pa.Table, turns: range) -> dict:
+        item = units.column(table, "item")
+        n, codes = len(item), []
+        for v in "xy":
+            place = np.empty(n, np.int64)
+            place[item] = np.unique(units.column(table, v), return_inverse=True)[1]
+            codes.append(place)
+        stats = {}
+        for rep, drawn in units.draws_of(seed, turns, n):
+            ranks, squares = [], []
+            for code in codes:
+                at = code[drawn]
+                times = np.bincount(at)
+                rank = np.cumsum(times) - times + (times + 1) / 2.0 - (n + 1) / 2.0  # about their mean
+                ranks.append(rank[at])
+                squares.append((times * rank * rank).sum())
+            down = np.sqrt(squares[0] * squares[1])
+            stats[rep] = (ranks[0] * ranks[1]).sum() / down if down else None
+        return {"rep": pa.array(list(stats), pa.int32()), "stat": pa.array(list(stats.values()), pa.float64())}
+
+    return make
+
+
 def spearman_replicates(items: DataFrame, replicates: int, seed: str) -> DataFrame:
     """(rep, stat) for `items` (item, x, y); null where a resample has a single value."""
     n = items.count()
+    if n <= units.WHOLE:
+        return units.in_units(items, replicates, _spearman_maker(seed), "rep int, stat double")
     items = _bucketed(items, "x", "y")
     drawn = multiplicities(n, replicates, items.sparkSession, seed).join(items, "item")
     drawn = cut_lineage(drawn.select("rep", "m", "x", "y", "_b_x", "_b_y"))

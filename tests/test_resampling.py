@@ -87,7 +87,7 @@ def test_degenerate_inputs(spark):
         assert row.observed is None and row.resamples == 0 and row.ci_low is None
 
 
-@pytest.mark.parametrize("stat, a, b", [("auc", "y", "v")])
+@pytest.mark.parametrize("stat, a, b", [("auc", "y", "v"), ("spearman", "x", "v")])
 def test_units_equal_the_plan_over_rows(spark, frame, monkeypatch, stat, a, b):
     names, replicate, _ = rs.STATISTICS[stat]
     items = rs.numbered(spark.createDataFrame(frame), "i", dict(zip(names, (a, b))), "boot")
