@@ -112,7 +112,7 @@ def place_atoms(t):
     positions = layout.grid_positions(systems).select("mol", "k", F.col("x").alias("px"), F.col("y").alias("py"), "tilt")
     template = t.beads()
     tilts = systems.select("mol", "tilt")
-    placed = joins.place_atoms(template.join(tilts, "mol"), positions.drop("tilt"), "tilt", 8.5, 3.0, "mol")
+    placed = joins.place_atoms(template.join(tilts.hint("merge"), "mol"), positions.drop("tilt"), "tilt", 8.5, 3.0, "mol")
     bead = F.col("bead")
     return placed.groupBy("mol", "k").agg(
         F.count("*").alias("n"), round6(F.sum("x")).alias("sx"),
