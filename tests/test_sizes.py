@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from hemolens.operators import joins, layout
+from hemolens.plans import gates
+from hemolens.plans.binding import Tables
 
 
 def test_exploded_positions_are_not_broadcast(spark):
@@ -16,3 +19,23 @@ def test_exploded_positions_are_not_broadcast(spark):
     plan = placed._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [mol" in plan and "BroadcastHashJoin [mol" not in plan
     assert placed.count() == 9
+
+
+def test_a_run_on_its_limit_does_not_turn_on_the_order_of_a_sum(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    cents = rng.integers(0, 10_000, 59)
+    values = [float(c) / 100 for c in [*cents, 300_000 - cents.sum()]]  # a mean of 50 is an overlap of 0.1
+    orders = [list(rng.permutation(values)) for _ in range(200)]
+    orders.sort(key=lambda o: float(sum_in_turn(o)))
+    assert sum_in_turn(orders[-1]) > 3000.0
+    rows = [(int(run * 100 + i), run, float(v)) for run, o in enumerate((orders[0], orders[-1])) for i, v in enumerate(o)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    found = gates.qc_gate(Tables(spark, str(tmp_path))).collect()
+    assert len(found) == 2 and all("overlap" in r.failed and not r.passed for r in found)
+
+
+def sum_in_turn(values):
+    total = 0.0
+    for v in values:
+        total += float(v)
+    return total
