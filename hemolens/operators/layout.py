@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from hemolens.functions.ordered import bucket_count
 from hemolens.functions.scalars import orientation_angle, placement_seed
+from hemolens.session import cut_lineage
 
 # Positions (nm) of the named peptide counts.
 STAGGERED_8 = [(2.5, 2.5), (5.0, 2.5), (7.5, 2.5), (3.5, 5.0), (6.5, 5.0), (2.5, 7.5), (5.0, 7.5), (7.5, 7.5)]
@@ -99,12 +100,15 @@ def poisson_positions(
 ) -> DataFrame:
     """Poisson-disk positions and tilt from each system's `seed`; the grid where the disks do not fit.
 
-    `df` has one row per system (with `seed`, n, lx, ly, orientation) and each row stands alone. The
-    throwing is far more work than the row is data, so the rows are spread over all cores. A
+    `df` has one row per system (with `seed`, n, lx, ly, orientation). The darts follow from all of these but the orientation:
+    they are thrown once for systems that are alike in them, spread over all cores, and joined back. A
     tilt that is not named is the generator's next choice after the darts, also where all of them failed.
     """
+    wanted = df.filter(F.col(n) > 0)
+    alike = ["seed", n, "lx", "ly"]
+    throws = wanted.select(*alike).distinct()
     schema = T.StructType(
-        [*df.schema.fields, T.StructField("darts", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("thrown", T.LongType())]
+        [*throws.schema.fields, T.StructField("darts", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("thrown", T.LongType())]
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,8 +116,9 @@ def poisson_positions(
             made = [_throw_darts(int(r.seed), int(getattr(r, n)), r.lx, r.ly, min_dist, attempts) for r in pdf.itertuples()]
             yield pdf.assign(darts=[None if d is None else d.tolist() for d, _ in made], thrown=[t for _, t in made])
 
-    thrown = df.filter(F.col(n) > 0).repartition(bucket_count(df), "seed").mapInPandas(run, schema)
-    tilted = thrown.withColumn("tilt", orientation_angle(F.col(orientation), drawn=drawn_tilt(F.col("seed"), F.col("thrown"))))
+    thrown = throws.repartition(bucket_count(df), *alike).mapInPandas(run, schema)
+    drawn = cut_lineage(thrown.withColumn("_drawn", drawn_tilt(F.col("seed"), F.col("thrown"))).drop("thrown"))
+    tilted = wanted.join(drawn, alike).withColumn("tilt", orientation_angle(F.col(orientation), drawn=F.col("_drawn")))
     placed = grid_positions(tilted, n)
     dart = F.get("darts", F.col("k"))
     return placed.withColumns(
@@ -122,7 +127,7 @@ def poisson_positions(
             "x": F.coalesce(dart[0], F.col("x")),
             "y": F.coalesce(dart[1], F.col("y")),
         }
-    ).drop("darts", "thrown")
+    ).drop("darts", "_drawn")
 
 
 def with_placement(df: DataFrame, peptide: str, n: str, label: str, replicate: str, orientation: str) -> DataFrame:
