@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from hemolens.operators import free_energy as fe
 from hemolens.operators import joins, layout
 from hemolens.plans import gates
 from hemolens.plans.binding import Tables
@@ -39,3 +40,39 @@ def sum_in_turn(values):
     for v in values:
         total += float(v)
     return total
+
+
+def test_darts_are_thrown_once_for_systems_that_are_alike(spark, monkeypatch):
+    rows = [(s, 7 + s % 2, 5, 10.0, 10.0, "random") for s in range(400)]
+    df = spark.createDataFrame(rows, "system long, seed long, n int, lx double, ly double, orientation string")
+    thrown = []
+    monkeypatch.setattr(layout, "cut_lineage", lambda d: thrown.append(d.count()) or d)
+    placed = layout.poisson_positions(df)
+    assert thrown == [2] and placed.count() == 2000
+    for seed in (7, 8):
+        darts, last = layout._throw_darts(seed, 5, 10.0, 10.0, 1.5, 10_000)
+        for system in (seed - 7, seed + 193):
+            got = placed.filter(F.col("system") == system).orderBy("k").collect()
+            assert [(r.x, r.y) for r in got] == [tuple(d) for d in darts] and {r.tilt for r in got} == {layout._tilt_after(seed, last)}
+
+
+def test_resampled_profiles_are_the_same_in_units_and_rows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame({"peptide_id": np.arange(600) % 2, "window_id": np.arange(600) // 2 % 3, "t": np.arange(600), "z": rng.normal(size=600) * 0.3})
+    windows = spark.createDataFrame([(w, 0.2 * w - 0.2, 20.0) for w in range(3)], "window_id long, z0 double, k double")
+    found = []
+    for whole in (1 << 22, 1):
+        monkeypatch.setattr(fe.units, "WHOLE", whole)
+        out = fe.resampled_profiles(spark.createDataFrame(rows), windows, ["peptide_id"], ["t"], 0.2, 5, replicates=12)
+        found.append(out.orderBy("peptide_id", "resample", "z").toPandas())
+    assert len(found[0]) > 50 and np.allclose(found[0].astype(float), found[1].astype(float), atol=1e-9)
+
+
+def test_block_means_are_the_same_in_units_and_rows(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame(pd.DataFrame({"k": np.arange(300) % 3, "t": np.arange(300), "z": rng.normal(size=300)}))
+    found = []
+    for whole in (1 << 22, 1):
+        monkeypatch.setattr(fe.units, "WHOLE", whole)
+        found.append(fe.block_bootstrap(rows, ["k"], ["t"], 5, 40).orderBy("k").toPandas())
+    assert np.allclose(found[0], found[1])
