@@ -15,7 +15,7 @@ HOT_CELLS = 10_000  # a cell is hot above this fraction of the rows, so there ar
 FLOOR_ROWS = 5_000
 
 
-def _cells(df: DataFrame, cutoff: float, box: Sequence[float] | None) -> DataFrame:
+def cells(df: DataFrame, cutoff: float, box: Sequence[float] | None) -> DataFrame:
     cols = {}
     for i, (c, a) in enumerate(zip(CELL, AXES)):
         if box is None:
@@ -26,7 +26,7 @@ def _cells(df: DataFrame, cutoff: float, box: Sequence[float] | None) -> DataFra
     return df.withColumns(cols)
 
 
-def _around(cutoff: float, box: Sequence[float] | None) -> Column:
+def around(cutoff: float, box: Sequence[float] | None) -> Column:
     """The up to 27 cells at and around a row's own, each once, wrapped at periodic edges."""
     per_axis = []
     for i, c in enumerate(CELL):
@@ -45,15 +45,14 @@ def _around(cutoff: float, box: Sequence[float] | None) -> Column:
     )
 
 
-def _hot(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Cells holding more than 1/HOT_CELLS of the rows, with the number of slices to cut them into.
+def crowded(counts: DataFrame, on: list[str], floor: int = FLOOR_ROWS) -> DataFrame:
+    """Cells with more than 1/HOT_CELLS of the rows (and `floor`), with the number of slices to cut them into; `counts` has `_n` a cell.
 
     At most HOT_CELLS rows by construction, which is what makes broadcasting them safe.
     """
-    counts = df.groupBy(*keys, *CELL).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
-    share = F.greatest(F.coalesce(total, F.lit(0)) / HOT_CELLS, F.lit(float(FLOOR_ROWS)))
-    return counts.filter(F.col("_n") > share).select(*keys, *CELL, F.ceil(F.col("_n") / share).cast("int").alias("_slices"))
+    share = F.greatest(F.coalesce(total, F.lit(0)) / HOT_CELLS, F.lit(float(floor)))
+    return counts.filter(F.col("_n") > share).select(*on, F.ceil(F.col("_n") / share).cast("int").alias("_slices"))
 
 
 def _distance(box: Sequence[float] | None, left: str, right: str) -> Column:
@@ -64,15 +63,15 @@ def _distance(box: Sequence[float] | None, left: str, right: str) -> Column:
     return F.sqrt(total)
 
 
-def _side(df: DataFrame, keys: list[str], ident: str, carry: Sequence[str], p: str) -> DataFrame:
+def side(df: DataFrame, keys: list[str], ident: str, carry: Sequence[str], p: str) -> DataFrame:
     return df.select(*keys, F.col(ident).alias(f"{p}id"), *[F.col(a).alias(f"{p}{a}") for a in AXES],
                      *[F.col(c).alias(f"{p}{c}") for c in carry], *CELL)
 
 
 def _cell_join(spread: DataFrame, fixed: DataFrame, keys: list[str]) -> DataFrame:
     """Join on (frame keys, cell); a hot cell's fixed rows are sliced and its spread rows copied to each slice."""
-    hot = F.broadcast(_hot(fixed, keys))
     on = [*keys, *CELL]
+    hot = F.broadcast(crowded(fixed.groupBy(*on).agg(F.count("*").alias("_n")), on))
     slices = F.coalesce("_slices", F.lit(1))
     fixed = fixed.join(hot, on, "left").withColumn("_slice", F.pmod(F.xxhash64("b_id"), slices).cast("int")).drop("_slices")
     spread = (
@@ -92,9 +91,9 @@ def contacts(
     `a` should be the smaller side: each of its rows visits the cells around its own.
     """
     keys = list(keys)
-    left = _side(_cells(a, cutoff, box), keys, ident, carry_a, "a_")
-    left = left.withColumn("_cell", F.explode(_around(cutoff, box))).drop(*CELL).select("*", "_cell.*").drop("_cell")
-    right = _side(_cells(b, cutoff, box), keys, ident, carry_b, "b_")
+    left = side(cells(a, cutoff, box), keys, ident, carry_a, "a_")
+    left = left.withColumn("_cell", F.explode(around(cutoff, box))).drop(*CELL).select("*", "_cell.*").drop("_cell")
+    right = side(cells(b, cutoff, box), keys, ident, carry_b, "b_")
     dist = _distance(box, "a_", "b_")
     keep = F.col("dist") < cutoff if strict else F.col("dist") <= cutoff
     extra = [f"a_{c}" for c in carry_a] + [f"b_{c}" for c in carry_b]
@@ -113,14 +112,14 @@ def close_pairs(
     keys = list(keys)
     if box is not None:
         return contacts(df, df, cutoff, keys, ident, box, strict=strict).filter("a_id < b_id")
-    placed = _cells(df, cutoff, None)
+    placed = cells(df, cutoff, None)
     half = [o for o in product((-1, 0, 1), repeat=3) if o >= (0, 0, 0)]
     steps = F.array(*[F.struct(*[F.lit(v).cast("long").alias(c) for v, c in zip(o, ("i", "j", "k"))]) for o in half])
-    left = _side(placed, keys, ident, (), "a_").withColumn("_o", F.explode(steps))
+    left = side(placed, keys, ident, (), "a_").withColumn("_o", F.explode(steps))
     own = ((F.col("_o.i") == 0) & (F.col("_o.j") == 0) & (F.col("_o.k") == 0)).alias("_own")
     moved = [(F.col(c) + F.col(f"_o.{s}")).alias(c) for c, s in zip(CELL, ("i", "j", "k"))]
     left = left.select(*keys, "a_id", *[f"a_{a}" for a in AXES], own, *moved)
-    right = _side(placed, keys, ident, (), "b_")
+    right = side(placed, keys, ident, (), "b_")
     pairs = _cell_join(left, right, keys).filter(~F.col("_own") | (F.col("a_id") < F.col("b_id")))
     pairs = pairs.withColumn("dist", _distance(None, "a_", "b_"))
     keep = F.col("dist") < cutoff if strict else F.col("dist") <= cutoff

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hemolens.functions import ordered
+from hemolens.operators.counting import count_contacts
 from hemolens.operators.neighbours import close_pairs, contacts
 from hemolens.session import cut_lineage
 
@@ -35,8 +36,8 @@ def tilt_angle(df: DataFrame, keys: Sequence[str], bead: str = "bead") -> DataFr
 def lipid_contacts(peptide: DataFrame, lipids: DataFrame, keys: Sequence[str], kind: str, cutoff: float = 0.6,
                    box: Sequence[float] | None = None, ident: str = "atom_id") -> DataFrame:
     """Contacts per frame and lipid type."""
-    pairs = contacts(peptide, lipids, cutoff, keys, ident, box, carry_b=[kind])
-    return pairs.groupBy(*keys, F.col(f"b_{kind}").alias(kind)).agg(F.count("*").alias("contacts"))
+    found = count_contacts(peptide, lipids, cutoff, keys, ident, box, by=kind)
+    return found.groupBy(*keys, kind).agg(F.sum("n").alias("contacts"))
 
 
 def center_of_mass(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hemolens.operators import joins, layout, neighbours
+from hemolens.operators import counting, joins, layout, neighbours
 from hemolens.plans.binding import (
     ATOMS_SQL, BEADS_SQL, LETTERS_SQL, PEPTIDES_SQL, REPLICATES_SQL, letters, r6, round6,
 )
@@ -148,10 +148,10 @@ def _pbc(a, length):
 def contacts_periodic(t):
     """Minimum-image contacts per frame in a 0.7 nm box, counted per peptide bead."""
     beads = t.beads().select((F.col("mol") * 100 + F.col("bead")).alias("atom_id"), (F.col("mol") % 5).alias("frame"), "run", "x", "y", "z")
-    pairs = neighbours.contacts(
+    found = counting.count_contacts(
         beads.filter("run = 0"), beads.filter("run <> 0"), 0.12, ["frame"], box=(0.7, 0.7, 0.7)
     )
-    return pairs.groupBy("frame", "a_id").agg(F.count("*").alias("n"), round6(F.min("dist")).alias("nearest"))
+    return found.withColumn("nearest", round6("nearest"))
 
 
 WINDOWS_SQL = """w AS (SELECT user_id AS peptide_id, CAST(epoch_us(ts) // 86400000000 AS BIGINT) AS window_id, avg(value) AS m FROM events GROUP BY ALL)"""
