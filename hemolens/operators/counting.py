@@ -194,7 +194,7 @@ def count_near(
     return n, nearest
 
 
-def _known(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def known(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows that can have a contact: keys are there and coordinates are finite."""
     there: Column = F.lit(True)
     for c in keys:
@@ -221,11 +221,11 @@ def count_contacts(
     """
     keys = list(keys)
     on = [*keys, *CELL]
-    left = side(cells(_known(a, keys), cutoff, box), keys, ident, (), "a_")
+    left = side(cells(known(a, keys), cutoff, box), keys, ident, (), "a_")
     visits = left.groupBy(*on).agg(F.count("*").alias("_n")).withColumn("_cell", F.explode(around(cutoff, box)))
     visits = visits.drop(*CELL).select("*", "_cell.*").groupBy(*on).agg(F.sum("_n").alias("_n"))
     left = left.withColumn("_cell", F.explode(around(cutoff, box))).drop(*CELL).select("*", "_cell.*").drop("_cell")
-    right = side(cells(_known(b, keys), cutoff, box), keys, ident, [by] if by else (), "b_")
+    right = side(cells(known(b, keys), cutoff, box), keys, ident, [by] if by else (), "b_")
     many = crowded(visits, on, VISITORS).withColumnRenamed("_slices", "_mine")
     held = crowded(right.groupBy(*on).agg(F.count("*").alias("_n")), on, POINTS).withColumnRenamed("_slices", "_theirs")
     slices = F.broadcast(many.join(held, on, "full"))  # at most HOT_CELLS cells a side

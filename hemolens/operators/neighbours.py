@@ -55,7 +55,7 @@ def crowded(counts: DataFrame, on: list[str], floor: int = FLOOR_ROWS) -> DataFr
     return counts.filter(F.col("_n") > share).select(*on, F.ceil(F.col("_n") / share).cast("int").alias("_slices"))
 
 
-def _distance(box: Sequence[float] | None, left: str, right: str) -> Column:
+def distance(box: Sequence[float] | None, left: str, right: str) -> Column:
     total = F.lit(0.0)
     for i, a in enumerate(AXES):
         d = minimum_image(F.col(f"{left}{a}") - F.col(f"{right}{a}"), None if box is None else box[i])
@@ -94,7 +94,7 @@ def contacts(
     left = side(cells(a, cutoff, box), keys, ident, carry_a, "a_")
     left = left.withColumn("_cell", F.explode(around(cutoff, box))).drop(*CELL).select("*", "_cell.*").drop("_cell")
     right = side(cells(b, cutoff, box), keys, ident, carry_b, "b_")
-    dist = _distance(box, "a_", "b_")
+    dist = distance(box, "a_", "b_")
     keep = F.col("dist") < cutoff if strict else F.col("dist") <= cutoff
     extra = [f"a_{c}" for c in carry_a] + [f"b_{c}" for c in carry_b]
     return _cell_join(left, right, keys).withColumn("dist", dist).filter(keep).select(*keys, "a_id", "b_id", "dist", *extra)
@@ -121,7 +121,7 @@ def close_pairs(
     left = left.select(*keys, "a_id", *[f"a_{a}" for a in AXES], own, *moved)
     right = side(placed, keys, ident, (), "b_")
     pairs = _cell_join(left, right, keys).filter(~F.col("_own") | (F.col("a_id") < F.col("b_id")))
-    pairs = pairs.withColumn("dist", _distance(None, "a_", "b_"))
+    pairs = pairs.withColumn("dist", distance(None, "a_", "b_"))
     keep = F.col("dist") < cutoff if strict else F.col("dist") <= cutoff
     return pairs.filter(keep).select(
         *keys, F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"), "dist"

@@ -6,15 +6,17 @@ the first aggregation.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hemolens.functions import ordered
-from hemolens.operators.counting import count_contacts
-from hemolens.operators.neighbours import close_pairs, contacts
+from hemolens.operators.counting import count_contacts, known
+from hemolens.operators.neighbours import contacts, distance
 from hemolens.session import cut_lineage
 
 
@@ -84,31 +86,125 @@ def connected_labels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) ->
     return ordered.join_all(points, stars, [*keys, "id"], "left").select(*keys, "id", F.coalesce("_label", "id").alias("label"))
 
 
+FINE = ("_fx", "_fy", "_fz")
+SIGNS = list(product((-1, 0, 1), repeat=3))
+FEW_PAIRS = 4096
+
+
+def _fine_sides(eps: float, box: Sequence[float] | None) -> list[tuple[float, int]]:
+    """(side, number) of cells along each axis, such that two points of a cell are always within `eps`; 0 for open edges."""
+    side = eps / 3**0.5 * (1 - 1e-9)
+    if box is None:
+        return [(side, 0)] * 3
+    numbers = [max(1, math.ceil(length / side)) for length in box]
+    return [(length / n, n) for length, n in zip(box, numbers)]
+
+
+def _fine(df: DataFrame, eps: float, box: Sequence[float] | None) -> DataFrame:
+    cols = {}
+    for (side, n), c, a, length in zip(_fine_sides(eps, box), FINE, "xyz", box or (None,) * 3):
+        at = F.floor((F.col(a) if box is None else F.pmod(F.col(a), F.lit(length))) / side)
+        cols[c] = (at if box is None else F.least(at, F.lit(n - 1))).cast("long")
+    return df.withColumns(cols)
+
+
+def _fine_around(eps: float, box: Sequence[float] | None) -> Column:
+    """(cell, way) of the other cells that can hold points within `eps`; `way` is the place in `SIGNS` of the direction there."""
+    steps = []
+    for side, n in _fine_sides(eps, box):
+        reach = math.ceil(eps / side)
+        steps.append(range(-reach, reach + 1) if not n or 2 * reach < n else range(n))
+    cells = []
+    for offset in product(*steps):
+        moved = [F.col(c) + F.lit(o).cast("long") for c, o in zip(FINE, offset)]
+        if box is not None:
+            moved = [F.pmod(m, F.lit(n).cast("long")) for m, (_, n) in zip(moved, _fine_sides(eps, box))]
+        way = SIGNS.index(tuple((o > 0) - (o < 0) for o in offset))
+        cells.append(F.struct(*[m.alias(c) for m, c in zip(moved, FINE)], F.lit(way).alias("way")))
+    return F.array(*cells)
+
+
+def _core_cells(core: DataFrame, keys: list[str], box: Sequence[float] | None) -> DataFrame:
+    """(keys, cell, label, m, far): least id and number of a cell's core points, and the one that lies farthest each way of `SIGNS`."""
+    place = {a: F.col(a) if box is None else F.pmod(F.col(a), F.lit(box[i])) for i, a in enumerate("xyz")}
+    far = [
+        F.max_by(F.struct("x", "y", "z"), sum((s * place[a] for s, a in zip(signs, "xyz")), F.lit(0.0))) for signs in SIGNS
+    ]
+    return core.groupBy(*keys, *FINE).agg(F.min("id").alias("label"), F.count("*").alias("m"), F.array(*far).alias("far"))
+
+
+def _cell_labels(core: DataFrame, keys: list[str], eps: float, box: Sequence[float] | None) -> DataFrame:
+    """(keys, cell, label): the least core id that is reachable from the core points of each cell.
+
+    Neighbouring cells are linked first by the one point of each that lies farthest towards the other. Only
+    cells that are then still apart are compared in full: by pairs of points where these are few, else by
+    blocks (`counting`).
+    """
+    cells = cut_lineage(_core_cells(core, keys, box))
+    there = F.explode(_fine_around(eps, box)).alias("_there")
+    a = cells.select(*keys, *FINE, F.col("label").alias("a"), F.col("m").alias("a_m"), F.col("far").alias("a_far"), there)
+    a = a.select(*keys, "a", "a_m", "a_far", F.col("_there.way").alias("way"), *[F.col(f"_there.{c}").alias(c) for c in FINE])
+    b = cells.select(*keys, *FINE, F.col("label").alias("b"), F.col("m").alias("b_m"), F.col("far").alias("b_far"))
+    pairs = a.join(b, [*keys, *FINE]).filter("a < b")
+    ends = pairs.select(
+        *keys, "a", "b", (F.col("a_m") * F.col("b_m")).alias("m"), F.get("a_far", F.col("way")).alias("p"),
+        F.get("b_far", len(SIGNS) - 1 - F.col("way")).alias("q"),
+    )
+    apart = ends.select("*", *[F.col(f"p.{x}").alias(f"p_{x}") for x in "xyz"], *[F.col(f"q.{x}").alias(f"q_{x}") for x in "xyz"])
+    near = cut_lineage(apart.select(*keys, "a", "b", "m", (distance(box, "p_", "q_") <= eps).alias("linked")))
+    nodes = cells.select(*keys, F.col("label").alias("id"))
+    edge = [*keys, F.col("a").alias("src"), F.col("b").alias("dst")]
+    first = cut_lineage(connected_labels(nodes, near.filter("linked").select(*edge), keys))
+    of = {x: first.select(*keys, F.col("id").alias(x), F.col("label").alias(f"{x}_label")) for x in "ab"}
+    open_ = cut_lineage(
+        near.filter("NOT linked").select(*keys, "a", "b", "m").distinct().join(of["a"], [*keys, "a"]).join(of["b"], [*keys, "b"])
+        .filter("a_label <> b_label")
+    )
+    named = cells.select(*keys, *FINE, F.col("label").alias("id")).join(first, [*keys, "id"]).drop("id")
+    if open_.isEmpty():
+        return named
+    at = cells.select(*keys, *FINE, F.col("label").alias("cell")).join(core, [*keys, *FINE]).drop(*FINE)
+    group = [*keys, "a_label", "b_label"]
+
+    def sides(some: DataFrame) -> list[DataFrame]:
+        return [some.join(at.withColumnRenamed("cell", x), [*keys, x]).select(*group, "a", "b", "id", "x", "y", "z") for x in "ab"]
+
+    p, q = (d.select(*group, "a", "b", *[F.col(x).alias(f"{n}_{x}") for x in "xyz"]) for d, n in zip(sides(open_.filter(F.col("m") <= FEW_PAIRS)), "pq"))
+    met = p.join(q, [*group, "a", "b"]).filter(distance(box, "p_", "q_") <= eps).select(*group).distinct()
+    many = open_.filter(F.col("m") > FEW_PAIRS)
+    if not many.isEmpty():
+        met = met.unionByName(count_contacts(*sides(many), eps, [*group, "a", "b"], "id", box).select(*group).distinct())
+    links = met.select(*keys, F.col("a_label").alias("src"), F.col("b_label").alias("dst"))
+    last = connected_labels(first.select(*keys, F.col("label").alias("id")).distinct(), links, keys)
+    return named.withColumnRenamed("label", "id").join(last, [*keys, "id"]).drop("id")
+
+
 def dbscan(coms: DataFrame, keys: Sequence[str], eps: float, min_pts: int, ident: str = "mol",
            box: Sequence[float] | None = None) -> DataFrame:
-    """(keys, id, cluster): density clusters per frame; noise has a null cluster.
+    """(keys, id, cluster): density clusters per frame; noise has a null cluster. Ids are distinct in a frame.
 
     A border point joins the neighbouring core with the lowest cluster label.
+
+    Points meet in cells so small that all of a cell are neighbours: a cell with `min_pts` points is all core, and
+    clusters are components of cells. Only points of sparser cells are looked up one by one, at most `min_pts - 1` a
+    cell, so rows and links grow with the points and not with their pairs.
     """
     keys = list(keys)
-    one_way = close_pairs(coms, eps, keys, ident, box)
-    both = cut_lineage(
-        one_way.select(*keys, F.col("a_id").alias("src"), F.col("b_id").alias("dst")).unionByName(
-            one_way.select(*keys, F.col("b_id").alias("src"), F.col("a_id").alias("dst"))
-        )
-    )
     points = coms.select(*keys, F.col(ident).alias("id"))
-    degree = both.groupBy(*keys, F.col("src").alias("id")).agg(F.count("*").alias("_d"))
-    dense = points.join(degree, [*keys, "id"], "left").filter(F.coalesce("_d", F.lit(0)) + 1 >= min_pts)
-    core = cut_lineage(dense.drop("_d"))
-    inner = both.join(core.withColumnRenamed("id", "src"), [*keys, "src"], "left_semi").join(
-        core.withColumnRenamed("id", "dst"), [*keys, "dst"], "left_semi"
-    )
-    labels = connected_labels(core, inner, keys)
-    reach = both.join(labels.withColumnRenamed("id", "dst"), [*keys, "dst"])
-    border = reach.groupBy(*keys, F.col("src").alias("id")).agg(F.min("label").alias("_border"))
-    joined = points.join(labels, [*keys, "id"], "left").join(border, [*keys, "id"], "left")
-    return joined.select(*keys, "id", F.coalesce("label", "_border").alias("cluster"))
+    placed = _fine(known(coms.select(*keys, F.col(ident).alias("id"), *[F.col(a).cast("double").alias(a) for a in "xyz"]), [*keys, "id"]), eps, box)
+    placed = cut_lineage(placed)
+    counts = placed.groupBy(*keys, *FINE).agg((F.count("*") >= min_pts).alias("_dense"))
+    placed = cut_lineage(placed.join(counts, [*keys, *FINE]))
+    sparse = placed.filter("NOT _dense").drop("_dense", *FINE)
+    around = count_contacts(sparse, placed, eps, keys, "id", box).filter(F.col("n") >= min_pts)  # a point is near itself
+    more = around.select(*keys, F.col("a_id").alias("id"), F.lit(True).alias("_core"))
+    placed = cut_lineage(placed.join(more, [*keys, "id"], "left").withColumn("_core", F.col("_dense") | F.col("_core").isNotNull()).drop("_dense"))
+    core = placed.filter("_core").drop("_core")
+    labels = cut_lineage(core.join(_cell_labels(core, keys, eps, box), [*keys, *FINE]).drop(*FINE))
+    reach = contacts(placed.filter("NOT _core"), labels, eps, keys, "id", box, carry_b=["label"])
+    border = reach.groupBy(*keys, F.col("a_id").alias("id")).agg(F.min("b_label").alias("cluster"))
+    found = labels.select(*keys, "id", F.col("label").alias("cluster")).unionByName(border)
+    return points.join(found, [*keys, "id"], "left").select(*keys, "id", "cluster")
 
 
 def peptide_clusters(coms: DataFrame, keys: Sequence[str], eps: float, min_pts: int, ident: str = "mol",
