@@ -56,29 +56,36 @@ def read_fasta_stream(spark: SparkSession, path: str, files_a_batch: int | None
     """(peptide_id, name, sequence, source_file, arrived) of newly arriving FASTA files.
 
     The rule of `scan_fasta` holds for every file: one that does not open with `>` stops the stream. Which
-    files have opened well is state, one row a file, that expires once `keep` has passed without news. A file's
-    records pass through one task in pieces.
+    files have opened well is state, one row a file, that expires once `keep` has passed without news. Only a
+    mark a record goes there; the records themselves are parsed where they are read.
     """
 
     def step(file, chunks, held):
-        opened = held.exists and held.get[0]
+        opened, latest = held.exists and held.get[0], None
         for pdf in chunks:
-            value = pdf["value"].astype("string")
-            opened = opened or bool(value.str.startswith(">").any())
-            parts = value.str.replace("\r", "").str.split("\n", n=1)
-            head = parts.str[0].str.replace(">", "", regex=False)
-            named = head.str.split("|", n=1)
-            out = pd.DataFrame({
-                "peptide_id": named.str[0].astype("string").str.strip(), "name": named.str[1].astype("string").str.strip(),
-                "sequence": parts.str[1].astype("string").fillna("").str.replace(r"\s", "", regex=True), "source_file": pdf["source_file"], "arrived": pdf["arrived"],
-            })
-            yield out.astype(object).where(out.notna(), None), pdf["arrived"].max()
+            opened = opened or bool(pdf["opens"].any())
+            latest = pdf["arrived"].max() if latest is None else max(latest, pdf["arrived"].max())
         if not opened:
             raise ValueError(f"no FASTA header in {file}")
         held.update((True,))
+        if latest is not None:
+            yield None, latest
 
+    lines = arriving_lines(spark, path, "\n>", files_a_batch)
+    marks = lines.select("source_file", "arrived", F.startswith("value", F.lit(">")).alias("opens"))
     schema = "peptide_id string, name string, sequence string, source_file string, arrived timestamp"
-    return _per_file(arriving_lines(spark, path, "\n>", files_a_batch), step, schema, "opened boolean", keep)
+    checked = _per_file(marks, step, schema, "opened boolean", keep)
+    blank = r"(?U)[\s\x1c-\x1f]"
+    strip = lambda c: F.regexp_replace(c, f"^{blank}+|{blank}+$", "")
+    text = F.replace("value", F.lit("\r"), F.lit(""))
+    head = F.replace(F.substring_index(text, "\n", 1), F.lit(">"), F.lit(""))
+    cut, end = F.instr(head, "|"), F.instr(text, "\n")
+    parsed = lines.select(
+        strip(F.substring_index(head, "|", 1)).alias("peptide_id"), strip(F.when(cut > 0, F.substring(head, cut + 1, F.length(head)))).alias("name"),
+        F.when(end > 0, F.regexp_replace(F.substring(text, end + 1, F.length(text)), blank, "")).otherwise("").alias("sequence"),
+        "source_file", "arrived",
+    )
+    return parsed.unionByName(checked)
 
 
 def read_label_stream(

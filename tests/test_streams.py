@@ -30,3 +30,12 @@ def test_label_files_keep_their_own_headers(spark, tmp_path):
     (tmp_path / "c.csv").write_text("id,SEQUENCE,NAME\nP4,K,x\n")
     with pytest.raises(Exception, match="hc50_um"):
         jobs.drain(jobs.read_label_stream(spark, str(tmp_path), files_a_batch=1), None, "append")
+
+
+def test_only_marks_of_fasta_records_go_to_the_state(spark, tmp_path, monkeypatch):
+    seen, per_file = [], jobs._per_file
+    monkeypatch.setattr(jobs, "_per_file", lambda lines, *rest: seen.append(lines.columns) or per_file(lines, *rest))
+    (tmp_path / "a.fasta").write_text(">P|1|2>3\nKL K\n AA\n> Q \n>R")
+    rows = jobs.drain(jobs.read_fasta_stream(spark, str(tmp_path)), None, "append").collect()
+    assert sorted(tuple(r)[:3] for r in rows) == sorted([("P", "1|23", "KLKAA"), ("Q", None, ""), ("R", None, "")])
+    assert seen == [["source_file", "arrived", "opens"]]
