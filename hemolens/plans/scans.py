@@ -141,10 +141,11 @@ BY_SOURCE_SQL = """byfile AS (SELECT source, string_split(string_agg('[ d' || do
 
 def source_files(t, label: str) -> str:
     """One text file a source: its documents in order, each under a section of its own."""
-    path = scratch_path(t.spark, label)
+    path, parts = scratch_path(t.spark, label), scratch_path(t.spark, f"{label}-parts")
     body = F.concat(F.lit("[ d"), F.col("doc_id").cast("string"), F.lit(" ]\n"), F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit("\n")))
-    rows = t.documents.select("source", "doc_id", body.alias("body")).repartition("source").sortWithinPartitions("source", "doc_id")
-    rows.select("source", "body").write.partitionBy("source").text(path)
+    rows = t.documents.select("source", "doc_id", body.alias("body")).repartitionByRange("source", "doc_id").sortWithinPartitions("source", "doc_id")
+    rows.select("source", "body").write.partitionBy("source").text(parts)
+    tables.join_parts(t.spark, parts, path)
     return path
 
 

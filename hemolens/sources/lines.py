@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from hemolens.functions import ordered
 
+STRETCH_BITS = 14  # lines of a file that meet in one task for their numbers or what is carried: 16,384
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, block, line_no, line): every line with its number from 1; `block` is where its byte range starts.
@@ -26,16 +27,20 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     )
     blocks = read.groupBy("file", "block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # the blocks of a file
-    starts = blocks.select("file", "block", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) + 1 - F.col("_first")).alias("_shift"))
-    return read.join(starts, ["file", "block"]).select("file", "block", (F.col("_id") + F.col("_shift")).alias("line_no"), "line")
+    shift = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) + 1 - F.col("_first")
+    last = F.col("_first") + F.col("_n") - 1
+    stretches = F.explode(F.sequence(F.shiftright("_first", STRETCH_BITS), F.shiftright(last, STRETCH_BITS)))
+    starts = blocks.select("file", "block", "_first", "_n", shift.alias("_shift")).select("file", "block", "_shift", stretches.alias("_part"))
+    read = read.withColumn("_part", F.shiftright(F.col("_id"), STRETCH_BITS))
+    return read.join(starts, ["file", "block", "_part"]).select("file", "block", (F.col("_id") + F.col("_shift")).alias("line_no"), "line")
 
 
 def carried(lines: DataFrame, value: Column, out: str) -> DataFrame:
     """Add `out`: the last non-null `value` up to each line of its file.
 
-    It is filled inside each block; one row per block carries it on.
+    It is filled inside each stretch of `2 ** STRETCH_BITS` lines, whatever the size of the blocks; one row per stretch carries it on.
     """
-    marked = lines.withColumns({"_value": value, ordered.BUCKET: F.col("block")})
+    marked = lines.withColumns({"_value": value, ordered.BUCKET: F.shiftright("line_no", STRETCH_BITS)})
     return ordered.fill_forward(marked, ["file"], ["line_no"], "_value", out).drop("_value")
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hemolens.functions.ordered import bucket_count
+
 # Header of the reporting table, in order.
 PMF_HEADER = (
     "peptide_id", "dG_ads_kJmol", "dG_ads_SE", "dG_insert_kJmol", "dG_insert_SE",
@@ -44,3 +47,35 @@ def as_pmf_report(features: DataFrame) -> DataFrame:
         "dg_barrier", "dg_barrier_se", "z_surf_min", "z_head_min", "hc50_um",
     )
     return features.select(*[F.col(a).alias(b) for a, b in zip(ours, PMF_HEADER)])
+
+
+def join_parts(spark: SparkSession, parts: str, path: str) -> None:
+    """Write one file to `path` for each folder of part files below `parts`, under the folder's name; parts follow by name.
+
+    A task copies a folder's parts in pieces of a megabyte, so neither a file nor its rows are held; both are in the shared folder.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(parts).select("path")
+    folder = F.element_at(F.split("path", "/"), -2)
+    listed = files.groupBy(folder.alias("folder")).agg(F.array_sort(F.collect_list("path")).alias("parts"))
+    below, beside = (p.rstrip("/").rsplit("/", 1)[1] for p in (parts, path))  # two folders of one place
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            for name, paths in zip(batch.column("folder").to_pylist(), batch.column("parts").to_pylist()):
+                above = paths[0][: paths[0].index(f"/{below}/")]
+                where, base = fs.FileSystem.from_uri(above)
+                target = f"{base}/{beside}/{name}"
+                where.create_dir(target)
+                whole = f"{target}/.{uuid.uuid4().hex}"  # a second try of the task writes a file of its own
+                with where.open_output_stream(whole) as out:
+                    for p in paths:
+                        with where.open_input_file(base + p[len(above) :]) as f:
+                            while piece := f.read(1 << 20):
+                                out.write(piece)
+                where.move(whole, f"{target}/part-0.txt")
+            yield pa.RecordBatch.from_arrays([batch.column("folder")], ["folder"])
+
+    listed.repartition(bucket_count(listed), "folder").mapInArrow(run, "folder string").count()

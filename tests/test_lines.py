@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from hemolens.sources import lines, text
+from hemolens.sources import lines, tables, text
 
 
 @pytest.fixture
@@ -105,3 +105,21 @@ def test_manifest_of_files(spark, tmp_path):
     assert plain == {n.rsplit("/", 1)[-1]: digest(b).hexdigest() for n, b in bodies.items() if b}
     content = text.build_manifest(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "content#" not in content.split("Relation")[0]
+
+
+def test_numbers_and_sections_cross_stretches_of_lines(spark, tmp_path, monkeypatch):
+    """Four lines a stretch: no task needs a whole file, or a whole byte range of one."""
+    monkeypatch.setattr(lines, "STRETCH_BITS", 2)
+    (tmp_path / "a.txt").write_text("".join(f"[ s{i} ]\n" if i % 37 == 0 else f"row {i}\n" for i in range(300)))
+    (tmp_path / "b.txt").write_text("[ only ]\n" + "x y\n" * 50)
+    got = text.scan_sections(spark, str(tmp_path)).collect()
+    want = [("a.txt", f"s{i // 37 * 37}", i + 1, "row") for i in range(300) if i % 37] + [("b.txt", "only", i + 2, "x") for i in range(50)]
+    assert sorted((r.file.rsplit("/", 1)[1], r.section, r.line_no, r.tokens[0]) for r in got) == sorted(want)
+
+
+def test_parts_are_joined_in_order(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("CASE WHEN id % 5 = 0 THEN 'a b:c' ELSE 'z' END AS source", "id").repartitionByRange(7, "source", "id")
+    rows.sortWithinPartitions("source", "id").selectExpr("source", "string(id) AS line").write.partitionBy("source").text(str(tmp_path / "parts"))
+    tables.join_parts(spark, str(tmp_path / "parts"), str(tmp_path / "whole"))
+    got = {p.parent.name: [int(v) for v in p.read_text().split()] for p in (tmp_path / "whole").glob("source=*/[!.]*")}
+    assert sorted(got.values()) == sorted([[i for i in range(3000) if i % 5 == 0], [i for i in range(3000) if i % 5]])
