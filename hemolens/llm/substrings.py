@@ -60,7 +60,7 @@ def volume(docs: DataFrame, text: str, size: int) -> DataFrame:
                 if len(tokens) < size:
                     continue
                 least, first, last = stretches(hashed.of(tokens), size)
-                ends = np.concatenate(([0], np.cumsum([len(w) + 1 for w in tokens])))
+                ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)))
                 slots.append(slots_of(least))
                 sizes.append(ends[last + size - 1] - ends[first])
             if slots:
@@ -170,10 +170,9 @@ def repeats(blocks: list[bytes], size: int) -> np.ndarray:
     shared = shared[np.lexsort((start[shared], tag[shared], doc[shared], key[shared]))]
     fresh = np.concatenate(([True], key[shared][1:] != key[shared][:-1]))
     head = shared[np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))]
-    same = np.ones(len(shared), bool)
-    for k in range(size):
-        same &= code[at[shared] + k] == code[at[head] + k]
-    if same.all():
+    others = np.flatnonzero(~fresh)  # the head itself needs no comparison
+    mine, theirs = at[shared[others]], at[head[others]]
+    if all((code[mine + k] == code[theirs + k]).all() for k in range(size)):
         late = shared[~fresh & ((doc[shared] != doc[head]) | (tag[shared] != tag[head]) | (start[shared] != start[head]))]
     else:  # two windows with one hash: go by their words
         first: dict[bytes, int] = {}
