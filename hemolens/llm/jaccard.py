@@ -37,6 +37,15 @@ COUNTED = 0.2
 GROWTH = 16
 TOGETHER = 8
 SMALL, LARGE = 0, 1
+#: Words whose hash a task remembers, and rows whose sets it holds at a time.
+MOST_WORDS, ROWS = 200_000, 1000
+
+
+def steps(batches):
+    """The batches in slices of at most `ROWS` rows."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            yield batch.slice(start, ROWS)
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -73,8 +82,8 @@ def set_table(docs: DataFrame, id_col: str, text: str, size: int, percent: int)
     none = np.empty(0, np.uint64)
 
     def run(batches):
-        hashed = WordHash()
-        for batch in batches:
+        hashed = WordHash(MOST_WORDS)
+        for batch in steps(batches):
             sets = [shingle_set(t, size, hashed) for t in batch.column(text).to_pylist()]
             small = [mix(s ^ salt) if len(s) <= WHOLE else none for s in sets]
             large = [s if len(s) * 100 > WHOLE * percent else none for s in sets]
@@ -96,14 +105,27 @@ def whole_sets(docs: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
     """(id, key, members) of every row; `key` as in `set_table`."""
 
     def run(batches):
-        hashed = WordHash()
-        for batch in batches:
+        hashed = WordHash(MOST_WORDS)
+        for batch in steps(batches):
             sets = [shingle_set(t, size, hashed) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), keys_of(sets), arrow_lists(sets)], ["id", "key", "members"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(run, "id long, key binary, members array<long>")
 
 
+def in_full(begun: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """`begun` with the large sets' beginnings under the order of all of their members.
+
+    Only large sets that are in `begun` can have a partner. Their members are counted among them,
+    without a range, so those that a set has alone all come first: a set with too many is dropped,
+    and the others' shared members stand at their true places, which is what `reachable` goes by.
+    """
+    large = members.join(begun.filter(F.col("zone") == LARGE).select("id", "n"), "id")
+    none = F.array().cast("array<long>")
+    sets = large.select("id", "n", none.alias("small"), F.col("n").cast("int").alias("counted"), F.col("members").alias("large"))
+    return begun.filter(F.col("zone") == SMALL).unionByName(beginnings(sets, percent))
+
+
 def spare(percent: int):
     """Members that a set of size `n` may have beyond the least overlap."""
     return F.expr(f"n * {100 - percent} div 100")
@@ -142,14 +164,16 @@ def boundary(begun: DataFrame, percent: int) -> int:
     """Largest size of a light set: least total of what is listed and scanned.
 
     A heavy set scans the lists of its members; a light one lists its subsets and scans their
-    lists, each taken to hold one in `TOGETHER` of the shorter of its two members' lists. Sizes are taken in classes that grow by `100 / percent`, so the table has at most a few
+    lists, each taken to hold one in `TOGETHER` of the shorter of its two members' lists. In a list a set
+    meets the leaders of the first turns, not all others. Sizes are taken in classes that grow by `100 / percent`, so the table has at most a few
     hundred rows for any data.
     """
+    met = lambda seen: F.least(seen, F.lit(1 + GROWTH))
     listed = F.aggregate(
-        F.transform("first", lambda r, i: (F.size("first") - 1 - i) * (1 + r["seen"] / TOGETHER)), F.lit(0.0), lambda a, x: a + x
+        F.transform("first", lambda r, i: (F.size("first") - 1 - i) * (1 + met(r["seen"] / TOGETHER))), F.lit(0.0), lambda a, x: a + x
     )  # members come with the rarer first
     scanned = F.aggregate(
-        F.filter("first", lambda r: r["at"] < spare(percent) + 1), F.lit(0).cast("long"), lambda a, r: a + r["seen"]
+        F.filter("first", lambda r: r["at"] < spare(percent) + 1), F.lit(0).cast("long"), lambda a, r: a + met(r["seen"])
     )
     costs = begun.select("n", size_class(percent).alias("kind"), listed.alias("listed"), scanned.alias("scanned"))
     table = (
@@ -289,15 +313,16 @@ def similar_groups(
 
     single, seldom = apart(named)
     begun = cut_lineage(beginnings(one_of_each_set(single.join(copies, "id", "left_anti"), seldom), percent))
-    light = boundary(begun, percent)
-    index = cut_lineage(index_rows(begun, light, percent))
-    lists = index.groupBy("sig").agg(F.count("*").alias("m")).filter("m > 1")
-    wanted = checked_broadcast(cut_lineage(index.join(lists, "sig").select("id").distinct()))
+    wanted = checked_broadcast(cut_lineage(begun.select("id").distinct()))
     single, seldom = apart(rows)
     whole = whole_sets(single.join(wanted, "id", "left_semi"), "id", text, size)
     if repeated:
         whole = one_of_each_set(whole, whole_sets(seldom, "id", text, size)).join(wanted, "id", "left_semi")
-    found = joined(index, cut_lineage(whole.select("id", "members")), percent)
+    members = cut_lineage(whole.select("id", "members"))
+    begun = cut_lineage(in_full(begun, members, percent))
+    light = boundary(begun, percent)
+    index = cut_lineage(index_rows(begun, light, percent))
+    found = joined(index, members, percent)
     if repeated:
         found = under_ids(found, member)
     labels = found.withColumnRenamed("id", "node")

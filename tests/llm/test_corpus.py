@@ -90,6 +90,33 @@ def test_a_large_group_with_leaders(docs_of, monkeypatch):
     assert found_groups(docs_of(rows)) == plain_groups(rows)
 
 
+def test_copies_that_are_too_different_are_not_compared(docs_of, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(500)]
+    rows = []
+    for i in range(60):  # each with edits of its own: a fifth of its shingles are no other text's
+        text = list(base)
+        for k in rng.sample(range(500), 40):
+            text[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(text)))
+    compared, verified = [], jaccard.verified
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    assert found_groups(docs_of(rows)) == plain_groups(rows)
+    assert sum(compared) == 0
+
+
+def test_lists_are_costed_by_the_leaders_met(spark):
+    entry = "array(named_struct('at', 0, 'seen', 5000L, 'member', 1L), named_struct('at', 1, 'seen', 5000L, 'member', 2L), " \
+        "named_struct('at', 2, 'seen', 5000L, 'member', 3L), named_struct('at', 3, 'seen', 5000L, 'member', 4L))"
+    begun = spark.range(50).selectExpr("id", "0 AS zone", "40L AS n", f"{entry} AS first")
+    assert jaccard.boundary(begun, 90) == 0  # six subsets a set cost more than four lists
+
+
 def test_groups_of_odd_rows(docs_of):
     rows = [
         (5, None), (6, ""), (7, " \n"), (8, "One two"), (9, "one TWO"), (10, "one"), (None, "one two"), (3, "a b c d e f"),
