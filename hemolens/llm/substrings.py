@@ -14,7 +14,6 @@ that it holds twice. No bucket then depends on how often one passage occurs.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -28,6 +27,8 @@ MER = 4
 BUCKET_BYTES = 12_000_000
 SLOTS = 1 << 24
 MOST_HEAVY = 1_000_000
+#: Texts whose words are hashed and cut together.
+TOGETHER = 100
 
 
 def minimisers(codes: np.ndarray, size: int) -> np.ndarray:
@@ -36,12 +37,38 @@ def minimisers(codes: np.ndarray, size: int) -> np.ndarray:
     return running_minimum(mers, size - min(MER, size) + 1)
 
 
-def stretches(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(minimiser, first window, one past the last window) of the runs of windows that share one."""
+def stretches(codes: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """(minimiser, text, first window, one past the last window) of the runs of windows of one text that share one.
+
+    `codes` are those of all texts, one after the other, of `lengths` words, at least `size` each;
+    windows are numbered through all of them, and none crosses from one text to the next.
+    """
     least = minimisers(codes, size)
-    cut = np.flatnonzero(least[1:] != least[:-1]) + 1
-    first = np.concatenate(([0], cut))
-    return least[first], first, np.concatenate((cut, [len(least)]))
+    ends = np.cumsum(lengths)
+    cut = np.ones(len(least), bool)
+    cut[1:] = least[1:] != least[:-1]
+    cut[ends[:-1]] = True
+    inside = np.ones(len(least), bool)
+    for k in range(1, size):
+        inside[ends[:-1] - k] = False  # these reach into the next text
+    first = np.flatnonzero(cut & inside)
+    stop = np.flatnonzero(np.concatenate((cut[1:] | ~inside[1:], [True])) & inside) + 1
+    return least[first], np.searchsorted(ends, first, "right"), first, stop
+
+
+def together(batch: pa.RecordBatch, columns: list[str], size: int):
+    """(rows, words, lengths) of `TOGETHER` texts at a time; `columns` end with the text, short texts are left out."""
+    for at in range(0, batch.num_rows, TOGETHER):
+        part = batch.slice(at, TOGETHER)
+        rows, tokens, lengths = [], [], []
+        for *row, t in zip(*[part.column(c).to_pylist() for c in columns]):
+            mine = words(t)
+            if len(mine) >= size and None not in row:
+                rows.append(row)
+                tokens += mine
+                lengths.append(len(mine))
+        if rows:
+            yield rows, tokens, np.array(lengths)
 
 
 def slots_of(minimiser: np.ndarray) -> np.ndarray:
@@ -55,11 +82,8 @@ def volume(docs: DataFrame, text: str, size: int) -> DataFrame:
         hashed = WordHash()
         for batch in batches:
             slots, sizes = [], []
-            for t in batch.column(text).to_pylist():
-                tokens = words(t)
-                if len(tokens) < size:
-                    continue
-                least, first, last = stretches(hashed.of(tokens), size)
+            for _, tokens, lengths in together(batch, [text], size):
+                least, _, first, last = stretches(hashed.of(tokens), lengths, size)
                 ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)))
                 slots.append(slots_of(least))
                 sizes.append(ends[last + size - 1] - ends[first])
@@ -97,25 +121,24 @@ def send(docs: DataFrame, id_col: str, text: str, size: int, buckets: int, heavy
         for batch in batches:
             seen: dict[bytes, tuple[int, int, int, int, int]] = {}
             known: list[tuple] = []
-            for doc, tag, t in zip(*[batch.column(c).to_pylist() for c in (id_col, "_tag", text)]):
-                tokens = words(t)
-                if len(tokens) < size or doc is None:
-                    continue
+            for rows, tokens, lengths in together(batch, [id_col, "_tag", text], size):
                 codes = hashed.of(tokens)
-                least, first, last = stretches(codes, size)
+                least, of, first, last = stretches(codes, lengths, size)
+                before = (np.cumsum(lengths) - lengths).tolist()
                 slots = slots_of(least).tolist()
                 to = (mix(least) % np.uint64(buckets)).astype(np.int64).tolist()
                 whole = None
-                for slot, bucket, a, b in zip(slots, to, first.tolist(), last.tolist()):
+                for slot, bucket, k, a, b in zip(slots, to, of.tolist(), first.tolist(), last.tolist()):
+                    doc, tag = rows[k]
                     if slot in heavy:
                         if whole is None:
                             whole = mix(shingle_hashes(codes, size)) % np.uint64(buckets)
-                        parts = [(int(whole[k]), k, 1) for k in range(a, b)]
+                        parts = [(int(whole[w]), w, 1) for w in range(a, b)]
                     else:
                         parts = [(bucket, a, b - a)]
                     for where, start, n in parts:
                         packed = b" ".join(tokens[start : start + n + size - 1])
-                        mine = (doc, tag, start, n, where)
+                        mine = (doc, tag, start - before[k], n, where)
                         other = seen.setdefault(packed, mine)
                         if other is not mine:
                             if mine[:3] == other[:3]:
@@ -137,29 +160,30 @@ def send(docs: DataFrame, id_col: str, text: str, size: int, buckets: int, heavy
     return docs.select(id_col, "_tag", text).mapInArrow(run, "bucket long, block binary")
 
 
-class Numbers(dict):
-    """word -> number in order of appearance."""
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        return number
+def numbered(packed: bytes) -> np.ndarray:
+    """Number of each word, in order of first appearance; words are parted by one space each."""
+    data = packed + b" "  # a word's entry ends with its space, which no word holds
+    ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 32) + 1
+    offsets = np.concatenate(([0], ends)).astype(np.int64)
+    entries = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return entries.dictionary_encode().indices.to_numpy().astype(np.int64)
 
 
 def repeats(blocks: list[bytes], size: int) -> np.ndarray:
     """(doc, tag, start) rows of the windows in a bucket that start earlier elsewhere."""
-    number, codes, docs, tags, starts, at, length = Numbers(), [], [], [], [], [], 0
+    texts, docs, tags, starts, at, length = [], [], [], [], [], 0
     for block in blocks:
         doc, tag, start, n, packed = unpack(block)
-        tokens = packed.split(b" ")
-        codes.append(np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens)))
+        texts.append(packed)
         before = np.cumsum(n) - n
         inner = np.arange(int(n.sum())) - np.repeat(before, n)  # 0.. within each stretch
         docs.append(np.repeat(doc, n))
         tags.append(np.repeat(tag, n))
         starts.append(np.repeat(start, n) + inner)
         at.append(length + np.repeat(before + np.arange(len(n)) * (size - 1), n) + inner)
-        length += len(tokens)
-    code, doc, tag, start, at = map(np.concatenate, (codes, docs, tags, starts, at))
+        length += int(n.sum()) + len(n) * (size - 1)
+    code = numbered(b" ".join(texts))
+    doc, tag, start, at = map(np.concatenate, (docs, tags, starts, at))
     key = shingle_hashes(code.astype(np.uint64), size)[at]
     order = np.argsort(key)
     ranked = key[order]

@@ -184,6 +184,30 @@ def test_repeated_passages(docs_of, monkeypatch, bucket_bytes):
     assert substrings.without_repeats(docs_of([])).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 3, 20])
+def test_stretches_of_texts_cut_together(size):
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 6, n).astype(np.uint64) for n in (20, 45, 20, 21, 90)]
+    lengths = np.array([len(t) for t in texts])
+    got = list(zip(*(x.tolist() for x in substrings.stretches(np.concatenate(texts), lengths, size))))
+    want, before = [], 0
+    for k, t in enumerate(texts):
+        least = substrings.minimisers(t, size).tolist()
+        for w, m in enumerate(least):
+            if w and least[w - 1] == m:
+                want[-1] = (m, k, want[-1][2], before + w + 1)
+            else:
+                want.append((m, k, before + w, before + w + 1))
+        before += len(t)
+    assert got == want
+
+
+def test_words_are_numbered_by_first_appearance():
+    tokens = [w for t in ("a b a\x00 \xa0c b", "\u2003 a\x1f \x00 a\x00") for w in words(t)]
+    order = list(dict.fromkeys(tokens))
+    assert substrings.numbered(b" ".join(tokens)).tolist() == [order.index(w) for w in tokens]
+
+
 def test_equal_hashes_are_told_apart_by_their_words(monkeypatch):
     monkeypatch.setattr(substrings, "shingle_hashes", lambda codes, size: np.zeros(len(codes) - size + 1, np.uint64))
     block = substrings.pack([(1, 0, 0, 2, b"a b c"), (2, 0, 0, 2, b"b c d"), (3, 7, 5, 1, b"a b")])
