@@ -31,9 +31,11 @@ from hemolens.session import cut_lineage
 
 SUBSET = 2
 #: Sets up to this size have all of their members counted. Larger ones have those in the first `COUNTED`
-#: of the hash range counted, which is enough of theirs. The result is exact for any values.
+#: of the hash range counted, or in `BEYOND` times the share that a set may have beyond the least overlap if
+#: that is more: a set without a partner then has more members alone there than a similar one could, and is
+#: dropped before all of its members are counted. The result is exact for any values.
 WHOLE = 200
-COUNTED = 0.2
+COUNTED, BEYOND = 0.2, 1.5
 GROWTH = 16
 TOGETHER = 8
 SMALL, LARGE = 0, 1
@@ -52,6 +54,11 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def counted_range(percent: int) -> float:
+    """Share of the hash range in which the members of large sets are counted."""
+    return max(COUNTED, BEYOND * (100 - percent) / 100)
+
+
 def shingle_set(text: str | None, size: int, hashed: WordHash) -> np.ndarray:
     """Sorted distinct hashes of the runs of `size` words; a shorter text is one run; none without words."""
     tokens = lower_words(text)
@@ -78,7 +85,7 @@ def set_table(docs: DataFrame, id_col: str, text: str, size: int, percent: int)
     ones, and those that could match a larger one, have `large`: its first `counted` members are
     those of the counted range. Small and large are joined apart, each under its own order.
     """
-    edge, salt = np.uint64(int(COUNTED * 2**64)), np.uint64(0x5BD1E995)
+    edge, salt = np.uint64(min(int(counted_range(percent) * 2**64), 2**64 - 1)), np.uint64(0x5BD1E995)
     none = np.empty(0, np.uint64)
 
     def run(batches):

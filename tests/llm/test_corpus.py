@@ -481,3 +481,30 @@ def test_pipeline_drops_near_copies_from_eight_tenths_on(spark, docs_of):
             label[a] = label[b] = min(label[a], label[b])
     got = corpus_pipeline.one_of_near_copies(spark, docs, SF)
     assert {r.doc_id for r in got.collect()} == {i for i in sets if label[i] == i}
+
+
+def test_large_sets_without_a_partner_are_dropped_before_all_their_members_are_counted(spark, docs_of, monkeypatch):
+    own = lambda i, n: " ".join(f"d{i}w{k}" for k in range(n))
+    passage = " ".join(f"p{k}" for k in range(50))
+    rows = [(i, own(i, 450) + " " + passage) for i in range(40)]
+    rows += [(100, rows[0][1] + " more at the end"), (101, own(101, 500))]
+    seen, in_full = [], jaccard.in_full
+    monkeypatch.setattr(jaccard, "in_full", lambda begun, *a: seen.append({r.id for r in begun.collect()}) or in_full(begun, *a))
+    got = {r.doc_id: r.component_id for r in jaccard.similar_groups(docs_of(rows), size=5, percent=80).collect()}
+    assert got == {i: 0 if i == 100 else i for i, _ in rows}
+    assert seen == [{0, 100}]
+
+
+def test_written_steps_leave_no_shuffle_files(spark):
+    import glob
+
+    from hemolens.session import cut_lineage
+
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    folders = [d.getPath() for d in env.blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in folders for f in glob.glob(f"{d}/**/shuffle_*", recursive=True)}
+    before = files()
+    written = cut_lineage(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count())
+    assert not files() - before
+    assert len(written.collect()) == 100
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
