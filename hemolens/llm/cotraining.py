@@ -8,7 +8,8 @@ document gets the combined probability.
 
 Only the labelled rows are a bounded sample, `most_labelled` of them, chosen by a hash of the id.
 How rare a term is is counted over all documents, every unlabelled one takes part in each round, and
-all are scored; their vectors are made once and kept in the shared folder. Nothing but counts,
+all are scored. Texts are read once: which terms a text has is kept in the shared folder, about two
+bytes a term, and weights by rarity are put to them where they are read. Nothing but counts,
 gradients and the labelled sample leaves the tasks.
 """
 
@@ -28,8 +29,8 @@ TEXT_BINS, META_BINS = 1 << 14, 1 << 10
 
 
 def text_terms(text: Column) -> Column:
-    """Words in lower case, and the last three characters of each."""
-    found = F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), "[ \\t-\\r]+"), lambda w: w != "")
+    """Distinct words in lower case, and the last three characters of each."""
+    found = F.array_distinct(F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), "[ \\t-\\r]+"), ""))
     return F.concat(found, F.transform(found, lambda w: F.concat(F.lit("~"), F.substring(w, -3, 3))))
 
 
@@ -44,14 +45,18 @@ def meta_columns() -> dict[str, Column]:
 
 
 def featurised(docs: DataFrame) -> tuple[DataFrame, IDFModel]:
-    """`docs` with the sparse vectors `_text_x` and `_meta_x`, and the model of how rare terms are in them."""
+    """`docs` but its text, with the sparse vectors `_text_x` and `_meta_x`, and the model of how rare terms are in them.
+
+    What is written has the terms without weights: all values are one, so only their numbers take room.
+    """
     meta = meta_columns()
     counts = HashingTF(numFeatures=TEXT_BINS, binary=True, inputCol="_terms", outputCol="_tf")
     rows = counts.transform(docs.withColumn("_terms", text_terms(F.col("text"))).withColumns(meta))
     rows = FeatureHasher(numFeatures=META_BINS, inputCols=list(meta), outputCol="_meta_x").transform(rows)
+    rows = cut_lineage(rows.drop("text", "_terms", *meta))
     rarity = IDF(inputCol="_tf", outputCol="_rare").fit(rows)
     rows = Normalizer(p=2.0, inputCol="_rare", outputCol="_text_x").transform(rarity.transform(rows))
-    return rows.drop("_terms", "_tf", "_rare", *meta), rarity
+    return rows.drop("_tf", "_rare"), rarity
 
 
 def fit_view(rows: DataFrame, features: str, rounds: int) -> LogisticRegressionModel:
@@ -113,7 +118,7 @@ def score_quality(
         p = classes.pop() if len(classes) == 1 else 0.5
         one = {c: F.lit(float(p)) for c in ("text_score", "meta_score", "score")}
         return base.select("doc_id").withColumns({**one, "kept": F.lit(p >= least)})
-    vectors = cut_lineage(featurised(base)[0].select("doc_id", "_text_x", "_meta_x"))
+    vectors = featurised(base)[0].select("doc_id", "_text_x", "_meta_x")
     labelled = cut_lineage(vectors.join(bounded, "doc_id").withColumn("held", held))
     pool = vectors.filter(F.col("doc_id").isNotNull()).join(bounded.select("doc_id"), "doc_id", "left_anti")
     start = labelled.filter("not held").select("y", "_text_x", "_meta_x")

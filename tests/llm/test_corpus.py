@@ -1,6 +1,7 @@
 """Operators that look across documents: groups, repeated passages, classifiers, rollups, language models."""
 
 import math
+import pathlib
 import random
 import zlib
 from collections import Counter
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from hemolens import session
 from hemolens.llm import components, cotraining, decontaminate, jaccard, lm, queries, recurrent, secrets, substrings, token_counts
 from hemolens.llm.common import lower_words, words
 
@@ -269,6 +271,23 @@ def test_cotraining_uses_every_document(spark, docs_of, monkeypatch):
     assert 8_000 in rarity[0][1].docFreq  # a term that no labelled row has
 
 
+def test_cotraining_keeps_terms_without_weights(spark, docs_of, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(5_000)}" for _ in range(200))) for i in range(3_000)]
+    sizes = []
+    monkeypatch.setattr(cotraining, "cut_lineage", lambda df: sizes.append(cut_lineage(df)) or sizes[-1])
+    cut_lineage = session.cut_lineage
+    got, rarity = cotraining.featurised(docs_of(rows))
+    (written,) = sizes
+    assert "text" not in written.columns
+    terms = sum(len({w for x in t.split() for w in (x, "~" + x[-3:])}) for _, t in rows)
+    folder = written.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert sum(f.stat().st_size for f in pathlib.Path(folder).glob("*.parquet")) < 4 * terms  # weights alone would take eight bytes
+    idf, first = rarity.idf.toArray(), got.join(written.select("doc_id", "_tf"), "doc_id").first()
+    weights = idf[first["_tf"].indices]
+    assert np.allclose(first["_text_x"].values, weights / np.linalg.norm(weights)) and set(first["_tf"].values) == {1.0}
+
+
 def test_small_logistic_fit():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((6000, 2))
