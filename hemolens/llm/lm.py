@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hemolens.llm import recurrent
-from hemolens.llm.common import lower_words
+from hemolens.llm.common import ROWS_A_STEP, lower_words
 from hemolens.session import cut_lineage
 
 KNOWN = 200_000
@@ -58,13 +59,6 @@ def count_words(docs: DataFrame, text: str, most: int = 500_000) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Ranks(dict):
-    """word -> rank; -1 for any other word."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 def most_frequent(counts: DataFrame, most: int, share: float = 0.0) -> list[tuple[bytes, int]]:
     """Words with their counts, the most frequent first: all above some count.
 
@@ -92,18 +86,19 @@ class Vocabulary:
     """Frequent words with their counts, in order of frequency, and the totals of all of them."""
 
     def __init__(self, frequent: list[tuple[bytes, int]], total: int, distinct: int):
-        self.rank = Ranks((w, k) for k, (w, _) in enumerate(frequent))
+        self.rank = {w: k for k, (w, _) in enumerate(frequent)}
         self.counts = np.array([n for _, n in frequent], float)
         self.total, self.distinct = total, distinct
         self.below = total + 0.1 * (distinct + 1)
-        self.log10 = np.log10((self.counts + 0.1) / self.below)
+        #: the last is for words that are not frequent, here and in `ids`
+        self.log10 = np.append(np.log10((self.counts + 0.1) / self.below), 0.0)
         ends = self.counts[self.rank[END]] if END in self.rank else 0
         others = [(w, n) for w, n in frequent if w != END]
         reached = ends + np.cumsum([n for _, n in others])
         named = [w for w, _ in others[: int(np.searchsorted(reached, COVERED * total)) + 1]]
-        #: classes of the model, and places in each
+        #: the model has this number squared of tokens
         self.width = max(2, math.isqrt(len(named) + FIRST_ID - 1) + 1)
-        self.ids = np.zeros(len(frequent) + 1, np.int64)  # the last is for words that are not frequent
+        self.ids = np.zeros(len(frequent) + 1, np.int32)
         for k, w in enumerate(named):
             self.ids[self.rank[w]] = k + FIRST_ID
         if END in self.rank:
@@ -118,13 +113,13 @@ class Vocabulary:
 
     def ranks(self, tokens: list[bytes]) -> np.ndarray:
         """Rank of each word and of the end that follows; -1 for those that are not frequent."""
-        out = np.empty(len(tokens) + 1, np.int64)
-        out[:-1] = np.fromiter(map(self.rank.__getitem__, tokens), np.int64, len(tokens))
-        out[-1] = self.rank[END]
+        out = np.empty(len(tokens) + 1, np.int32)
+        out[:-1] = np.fromiter(map(self.rank.get, tokens, repeat(-1)), np.int32, len(tokens))
+        out[-1] = self.rank.get(END, -1)
         return out
 
     def encode(self, text: str | None) -> np.ndarray:
-        ids = self.ids[self.ranks(lower_words(text))]
+        ids = self.ids.take(self.ranks(lower_words(text)), mode="wrap")
         ids[-1] = END_ID
         return ids
 
@@ -189,31 +184,40 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     def score(batches):
         model = recurrent.shaped(values, words.width)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            n, known, base, plain, unknown, rare, encoded, keys = [], [], [], [], [], [], [], []
-            for t in texts:
-                tokens = lower_words(t)
-                ranks = words.ranks(tokens)
-                ids = words.ids[ranks]
-                ids[-1] = END_ID
-                has = ranks >= 0
-                logs = np.where(has, words.log10[ranks] if len(words.log10) else 0.0, 0.0)
-                n.append(len(ranks))
-                known.append(int(has.sum()))
-                base.append(float(logs.sum()))
-                plain.append(float(logs[ids != UNKNOWN_ID].sum()))
-                unknown.append(int((ids == UNKNOWN_ID).sum()))
-                others = Counter([tokens[i] for i in np.flatnonzero(~has[:-1]).tolist()])
-                if not has[-1]:
-                    others[END] += 1
-                rare.append([{"word": w, "times": k} for w, k in others.items()])
-                encoded.append(ids)
+            if not batch.num_rows:
+                continue
+            measures, encoded, rare, times, ends = [], [], [], [], [0]
+            for start in range(0, batch.num_rows, ROWS_A_STEP):
+                ranks = []
+                for t in batch.column("text").slice(start, ROWS_A_STEP).to_pylist():
+                    tokens = lower_words(t)
+                    own = words.ranks(tokens)
+                    others = Counter([tokens[i] for i in np.flatnonzero(own[:-1] < 0).tolist()])
+                    if own[-1] < 0:
+                        others[END] += 1
+                    rare += others.keys()
+                    times += others.values()
+                    ends.append(len(rare))
+                    ranks.append(own)
+                sizes = np.array([len(x) for x in ranks])
+                last = np.cumsum(sizes) - 1
+                ranks = np.concatenate(ranks)
+                ids, logs = words.ids.take(ranks, mode="wrap"), words.log10.take(ranks, mode="wrap")
+                ids[last] = END_ID
+                unknown = ids == UNKNOWN_ID
+                sums = [np.add.reduceat(x, last + 1 - sizes) for x in ((ranks >= 0).astype(np.int64), logs, np.where(unknown, 0.0, logs), unknown.astype(np.int64))]
+                measures.append((sizes, *sums))
+                encoded += np.split(ids, last[:-1] + 1)
+            n, known, base, plain, unknown = (np.concatenate(x) for x in zip(*measures))
             scores = recurrent.score_texts(model, encoded) / math.log(10)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id"), batch.column("held_out"), batch.column("key"), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
-                    pa.array(base), pa.array(plain), pa.array(unknown, pa.int64()), pa.array(scores),
-                    pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))),
+                    batch.column("id"), batch.column("held_out"), batch.column("key"),
+                    *(pa.array(x) for x in (n, known, base, plain, unknown, scores)),
+                    pa.ListArray.from_arrays(
+                        pa.array(ends, pa.int32()),
+                        pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], ["word", "times"]),
+                    ),
                 ],
                 ["id", "held_out", "key", "n", "known", "base", "plain", "unknown", "model", "rare"],
             )

@@ -380,6 +380,59 @@ def test_probabilities_sum_to_one():
     assert abs(np.exp(logp.astype(float)).sum() - 1) < 1e-4
 
 
+def test_probabilities_sum_to_one_at_every_width():
+    for width in (2, 3, 4, 5, 9, 33):
+        for size in (1, 300):  # exponents that overflow are shifted
+            model = {k: v * np.float32(size) for k, v in recurrent.start_model(width=width).items()}
+            h = np.random.default_rng(2).uniform(-1, 1, (1, recurrent.HIDDEN)).astype(np.float32)
+            every = np.arange(width * width)
+            logp = recurrent.outputs(model, np.repeat(h, len(every), 0), every, False)[0]
+            assert np.isfinite(logp).all() and abs(np.exp(logp.astype(float)).sum() - 1) < 1e-4
+
+
+def test_frequent_tokens_take_few_exponentials(monkeypatch):
+    class Counting:
+        taken = 0
+
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def exp(self, x, *out):
+            Counting.taken += np.size(x)
+            return np.exp(x, *out)
+
+    width, n = 200, 6_000
+    share = 1 / np.arange(1, width * width + 1)
+    tokens = np.random.default_rng(0).choice(width * width, n, p=share / share.sum())
+    model = recurrent.with_frequencies(recurrent.start_model(width=width), 1e6 * share)
+    states = np.zeros((n, recurrent.HIDDEN), np.float32)
+    monkeypatch.setattr(recurrent, "np", Counting())
+    logp = recurrent.outputs(model, states, tokens, True)[0]
+    monkeypatch.undo()
+    assert 0 < Counting.taken < width * n  # two softmaxes of `width` are twice that
+    want = np.log((1e6 * share + 1) / (1e6 * share + 1).sum())[tokens]  # the biases alone give these
+    assert np.abs(logp - want).max() < 1e-3
+
+
+def test_a_step_is_plain_adam():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, recurrent.TOKENS, recurrent.WINDOW) for _ in range(160)]  # one window, more than `STEP` tokens
+    model = recurrent.start_model(7)
+    trainer = recurrent.Trainer(model, 0.01)
+    trainer.learn(texts)
+    tokens, first = np.stack(texts, 1), np.zeros((recurrent.WINDOW, len(texts)), bool)
+    first[0] = True
+    before, _, saved = recurrent.run_window(model, tokens, first, np.zeros((len(texts), recurrent.HIDDEN), np.float32), True)
+    logp, grads, back = recurrent.outputs(model, before.reshape(-1, recurrent.HIDDEN), tokens.ravel(), True)
+    recurrent.backward(model, tokens, first, before, saved, back.reshape(before.shape), grads)
+    assert trainer.seen == tokens.size and abs(trainer.loss + logp.sum()) < 1e-3 * trainer.loss
+    for k, g in grads.items():
+        g = np.clip(g / tokens.size, -0.1, 0.1)
+        step = 0.01 * g / (np.abs(g) + 1e-7 * 1000**0.5)  # the first step: both averages are of one gradient
+        far = np.abs(g) > 1e-5
+        assert far.any() and np.abs(trainer.model[k] - model[k] + step)[far].max() < 5e-4
+
+
 def test_vocabulary_follows_the_counts(spark, docs_of):
     rows = [(i, " ".join(f"v{k}" for k in range(4_000))) for i in range(3)] + [(9, " ".join(f"once{k}" for k in range(1_000)))]
     counts = lm.count_words(docs_of(rows), "text")
