@@ -14,16 +14,15 @@ tasks; the others of a document are joined to the count table.
 from __future__ import annotations
 
 import math
-from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hemolens.llm import recurrent
-from hemolens.llm.common import ROWS_A_STEP, lower_words
+from hemolens.llm.common import ROWS_A_STEP
 from hemolens.session import cut_lineage
 
 KNOWN = 200_000
@@ -34,26 +33,31 @@ UNKNOWN_ID, END_ID, FIRST_ID = 0, 1, 2
 BLOCK = 4096
 
 
-def count_words(docs: DataFrame, text: str, most: int = 500_000) -> DataFrame:
-    """(word, n) over all rows: lower-cased words, and one end a row."""
+def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lower-cased words of these texts one after the other, an empty one for the end of each; their number by text.
+
+    Words are those of `lower_words`: Arrow's ASCII functions know the same blanks and letters.
+    """
+    plain = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    blank = pc.if_else(pc.equal(pc.binary_length(plain), 0), "", " ")  # behind it, the split finds the empty word
+    split = pc.ascii_split_whitespace(pc.binary_join_element_wise(plain, blank, ""))
+    return split.flatten().cast(pa.binary()), pc.list_value_length(split).to_numpy()
 
-    def run(batches):
-        seen: Counter = Counter()
 
-        def out():
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"]
-            )
+def slices(batch: pa.RecordBatch, column: str):
+    """(words, their number by text) of every `ROWS_A_STEP` rows."""
+    for start in range(0, batch.num_rows, ROWS_A_STEP):
+        yield tokens_of(batch.column(column).slice(start, ROWS_A_STEP))
+
+
+def count_words(docs: DataFrame, text: str) -> DataFrame:
+    """(word, n) over all rows: lower-cased words, and one end a row."""
 
+    def run(batches):
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen.update(lower_words(t))
-                seen[END] += 1
-            if len(seen) > most:
-                yield out()
-                seen.clear()
-        if seen:
-            yield out()
+            if batch.num_rows:
+                seen = pa.chunked_array([words for words, _ in slices(batch, "text")]).value_counts()
+                yield pa.RecordBatch.from_arrays([seen.field("values"), seen.field("counts")], ["word", "n"])
 
     rows = docs.select(F.col(text).alias("text")).mapInArrow(run, "word binary, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
@@ -86,13 +90,14 @@ class Vocabulary:
     """Frequent words with their counts, in order of frequency, and the totals of all of them."""
 
     def __init__(self, frequent: list[tuple[bytes, int]], total: int, distinct: int):
-        self.rank = {w: k for k, (w, _) in enumerate(frequent)}
+        rank = {w: k for k, (w, _) in enumerate(frequent)}
+        self.frequent = pa.array(rank, pa.binary())
         self.counts = np.array([n for _, n in frequent], float)
         self.total, self.distinct = total, distinct
         self.below = total + 0.1 * (distinct + 1)
         #: the last is for words that are not frequent, here and in `ids`
         self.log10 = np.append(np.log10((self.counts + 0.1) / self.below), 0.0)
-        ends = self.counts[self.rank[END]] if END in self.rank else 0
+        ends = self.counts[rank[END]] if END in rank else 0
         others = [(w, n) for w, n in frequent if w != END]
         reached = ends + np.cumsum([n for _, n in others])
         named = [w for w, _ in others[: int(np.searchsorted(reached, COVERED * total)) + 1]]
@@ -100,29 +105,31 @@ class Vocabulary:
         self.width = max(2, math.isqrt(len(named) + FIRST_ID - 1) + 1)
         self.ids = np.zeros(len(frequent) + 1, np.int32)
         for k, w in enumerate(named):
-            self.ids[self.rank[w]] = k + FIRST_ID
-        if END in self.rank:
-            self.ids[self.rank[END]] = END_ID
-        rest = total - ends - sum(self.counts[self.rank[w]] for w in named)
-        unknown = distinct - (END in self.rank) - len(named)
+            self.ids[rank[w]] = k + FIRST_ID
+        if END in rank:
+            self.ids[rank[END]] = END_ID
+        rest = total - ends - sum(self.counts[rank[w]] for w in named)
+        unknown = distinct - (END in rank) - len(named)
         #: log10 of what a share of all tokens has to be raised by to be a share of the unknown ones
         self.raise_unknown = math.log10(self.below / (rest + 0.1 * (unknown + 1)))
         self.token_counts = np.zeros(self.width**2)
         self.token_counts[[UNKNOWN_ID, END_ID]] = rest, ends
-        self.token_counts[FIRST_ID : FIRST_ID + len(named)] = [self.counts[self.rank[w]] for w in named]
+        self.token_counts[FIRST_ID : FIRST_ID + len(named)] = [self.counts[rank[w]] for w in named]
 
-    def ranks(self, tokens: list[bytes]) -> np.ndarray:
-        """Rank of each word and of the end that follows; -1 for those that are not frequent."""
-        out = np.empty(len(tokens) + 1, np.int32)
-        out[:-1] = np.fromiter(map(self.rank.get, tokens, repeat(-1)), np.int32, len(tokens))
-        out[-1] = self.rank.get(END, -1)
-        return out
+    def ranks(self, tokens: pa.Array) -> np.ndarray:
+        """Rank of each word and end; -1 for those that are not frequent."""
+        return pc.fill_null(pc.index_in(tokens, self.frequent), -1).to_numpy(zero_copy_only=False)
 
-    def encode(self, text: str | None) -> np.ndarray:
-        ids = self.ids.take(self.ranks(lower_words(text)), mode="wrap")
-        ids[-1] = END_ID
+    def tokens(self, ranks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The model's tokens for the words of texts with these numbers of words."""
+        ids = self.ids.take(ranks, mode="wrap")
+        ids[np.cumsum(sizes) - 1] = END_ID
         return ids
 
+    def encode(self, text: str | None) -> np.ndarray:
+        words, sizes = tokens_of(pa.array([text], pa.string()))
+        return self.tokens(self.ranks(words), sizes)
+
 
 def trained_on(docs: DataFrame, text: str, words: Vocabulary, start: np.ndarray, rate: float) -> DataFrame:
     """(block, weight, values): what each task's model is after its partition, in blocks."""
@@ -130,7 +137,10 @@ def trained_on(docs: DataFrame, text: str, words: Vocabulary, start: np.ndarray,
     def run(batches):
         trainer = recurrent.Trainer(recurrent.shaped(start, words.width), rate)
         for batch in batches:
-            trainer.learn([words.encode(t) for t in batch.column(0).to_pylist()])
+            texts = []
+            for found, sizes in slices(batch, "text"):
+                texts += np.split(words.tokens(words.ranks(found), sizes), np.cumsum(sizes)[:-1])
+            trainer.learn(texts)
         if trainer.seen:
             values = recurrent.flat(trainer.model)
             parts = [values[k : k + BLOCK].tobytes() for k in range(0, len(values), BLOCK)]
@@ -166,6 +176,16 @@ def train(docs: DataFrame, text: str, words: Vocabulary, id_col: str, most_start
     return start if after is None else after
 
 
+def counted_by_text(words: pa.Array, which: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """For each text of `sizes` words, its different words among `which` and how often it has them."""
+    at = np.flatnonzero(which)
+    codes = words.take(pa.array(at)).dictionary_encode()
+    most = max(len(codes.dictionary), 1)
+    pairs, times = np.unique(np.repeat(np.arange(len(sizes)), sizes)[at] * most + codes.indices.to_numpy(), return_counts=True)
+    structs = pa.StructArray.from_arrays([codes.dictionary.take(pa.array(pairs % most)), pa.array(times, pa.int64())], ["word", "times"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs, np.arange(len(sizes) + 1) * most), pa.int32()), structs)
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of `docs`: id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
@@ -186,38 +206,22 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
         for batch in batches:
             if not batch.num_rows:
                 continue
-            measures, encoded, rare, times, ends = [], [], [], [], [0]
-            for start in range(0, batch.num_rows, ROWS_A_STEP):
-                ranks = []
-                for t in batch.column("text").slice(start, ROWS_A_STEP).to_pylist():
-                    tokens = lower_words(t)
-                    own = words.ranks(tokens)
-                    others = Counter([tokens[i] for i in np.flatnonzero(own[:-1] < 0).tolist()])
-                    if own[-1] < 0:
-                        others[END] += 1
-                    rare += others.keys()
-                    times += others.values()
-                    ends.append(len(rare))
-                    ranks.append(own)
-                sizes = np.array([len(x) for x in ranks])
-                last = np.cumsum(sizes) - 1
-                ranks = np.concatenate(ranks)
-                ids, logs = words.ids.take(ranks, mode="wrap"), words.log10.take(ranks, mode="wrap")
-                ids[last] = END_ID
-                unknown = ids == UNKNOWN_ID
-                sums = [np.add.reduceat(x, last + 1 - sizes) for x in ((ranks >= 0).astype(np.int64), logs, np.where(unknown, 0.0, logs), unknown.astype(np.int64))]
-                measures.append((sizes, *sums))
-                encoded += np.split(ids, last[:-1] + 1)
+            measures, encoded, rare = [], [], []
+            for found, sizes in slices(batch, "text"):
+                ranks = words.ranks(found)
+                ids, logs = words.tokens(ranks, sizes), words.log10.take(ranks, mode="wrap")
+                unknown, ends = ids == UNKNOWN_ID, np.cumsum(sizes)
+                sums = [np.add.reduceat(x, ends - sizes) for x in ((ranks >= 0).astype(np.int64), logs, np.where(unknown, 0.0, logs), unknown.astype(np.int64))]
+                measures.append((sizes.astype(np.int64), *sums))
+                encoded += np.split(ids, ends[:-1])
+                rare.append(counted_by_text(found, ranks < 0, sizes))
             n, known, base, plain, unknown = (np.concatenate(x) for x in zip(*measures))
             scores = recurrent.score_texts(model, encoded) / math.log(10)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"), batch.column("held_out"), batch.column("key"),
                     *(pa.array(x) for x in (n, known, base, plain, unknown, scores)),
-                    pa.ListArray.from_arrays(
-                        pa.array(ends, pa.int32()),
-                        pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], ["word", "times"]),
-                    ),
+                    pa.concat_arrays(rare),
                 ],
                 ["id", "held_out", "key", "n", "known", "base", "plain", "unknown", "model", "rare"],
             )

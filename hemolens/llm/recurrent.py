@@ -21,6 +21,8 @@ WINDOW = 32
 STEP = 4096
 #: Exponents of a softmax at a time: they stay in a core's cache.
 BLOCK = 50_000
+#: Tokens that are scored at a time, at least.
+SCORED = 16_384
 #: Bound of the mean gradient of a step.
 MOST = 0.1
 #: Tables of the softmaxes, from groups over classes to tokens.
@@ -146,15 +148,15 @@ def run_window(model, tokens, first, h, keep: bool):
     return np.ascontiguousarray(before.transpose(0, 2, 1)), h.T, saved and (before, *saved)
 
 
-def outputs(model, states, tokens, gradient: bool, ready=None):
-    """Log-probability of each token (natural), and the gradients of their negative sum.
+def outputs(model, states, tokens, gradient: bool, ready=None, weight: float = 1.0):
+    """Log-probability of each token (natural), and the gradients of their negative sum, times `weight`.
 
     `ready`, if given, gets those of the output tables part by part, as (table, first row, end,
     gradient, tokens), when nothing will read those rows any more; the array of the gradient is used again.
     """
     kind_of, n = states.dtype, len(tokens)
     classes, groups = edges(math.isqrt(len(model["ww"])))
-    order = np.argsort(tokens, kind="stable")
+    order = order_of(tokens)
     place = np.empty_like(order)
     place[order] = np.arange(n)
     ids = tokens.take(order)
@@ -204,6 +206,7 @@ def outputs(model, states, tokens, gradient: bool, ready=None):
                 if gradient:
                     v.ravel()[np.arange(0, v.size, j - i) + chosen[level][a:b]] -= total
                     np.matmul(v, w, out=back[level, a:b])
+                    share *= weight
                     if a == low:
                         g = np.matmul(v.T, rows * share[:, None], out=buffer[: j - i])
                     else:
@@ -212,11 +215,20 @@ def outputs(model, states, tokens, gradient: bool, ready=None):
                 ready(LEVELS[level], i, j, g, high - low)
     logp -= np.log(sums).sum(0)
     if gradient:
-        back /= sums[:, :, None]
+        back *= (weight / sums)[:, :, None]
         back = back.sum(0)[:, :HIDDEN].take(place, axis=0)
     return logp.take(place), grads, back
 
 
+def order_of(tokens: np.ndarray) -> np.ndarray:
+    """A stable argsort, by one sort of numbers."""
+    both = tokens.astype(np.int64) << 32
+    both |= np.arange(len(tokens))
+    both.sort()
+    both &= 0xFFFFFFFF
+    return both
+
+
 def run_starts(values: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin."""
     return np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.empty(0, np.int64)
@@ -272,7 +284,7 @@ def backward_rows(model, tokens, first, before, saved, back, grads) -> tuple[np.
     grads["u"] = before.reshape(-1, n).T @ rows
     rows[:, 2 * n :] = dx_new.transpose(0, 2, 1).reshape(-1, n)  # from here on the gradient of what the tokens add
     flat_tokens = tokens.ravel()
-    order = np.argsort(flat_tokens, kind="stable")
+    order = order_of(flat_tokens)
     begins = run_starts(flat_tokens[order])
     return flat_tokens[order[begins]], run_sums(rows[order], begins)
 
@@ -315,12 +327,11 @@ class Trainer:
             n = len(ids)
 
             def ready(k, i, j, g, tokens, n=n):
-                g *= np.float32(1 / n)
                 if tokens > MOST * n:  # else no mean is as large as that, as no state is larger than one
                     np.clip(g, -MOST, MOST, out=g)
                 adam(self.model[k][i:j], self.m[k][i:j], self.v[k][i:j], g, self.rate_of(k, i, n))
 
-            logp, grads, back = outputs(self.model, states[at], ids, True, ready)
+            logp, grads, back = outputs(self.model, states[at], ids, True, ready, 1 / n)
             if len(back) < len(states):
                 whole = np.zeros_like(states)
                 whole[at] = back
@@ -329,7 +340,6 @@ class Trainer:
             ready("u", 0, HIDDEN, grads["u"], n)
             x = [table["x"] for table in (self.model, self.m, self.v)]
             rows = [table.take(chosen, axis=0) for table in x]
-            g *= np.float32(1 / n)
             np.clip(g, -MOST, MOST, out=g)
             adam(*rows, g, self.rate_of("x", chosen, n)[:, None])
             for table, new in zip(x, rows):
@@ -349,14 +359,13 @@ class Trainer:
 
 def adam(w, m, v, g, rate) -> None:
     """A step of Adam against the gradient `g` on all of these tables, in place; `g` is used up."""
-    kind = g.dtype.type
-    m *= kind(0.9)
+    m *= 0.9
     m += g
-    v *= kind(0.999)
+    v *= 0.999
     g *= g
     v += g
     np.sqrt(v, g)
-    g += kind(1e-7 / 0.001**0.5)
+    g += 1e-7 / 0.001**0.5
     np.divide(m, g, g)
     g *= rate
     w -= g
@@ -370,14 +379,17 @@ def score_texts(model: dict, texts: list[np.ndarray], lanes: int = 512) -> np.nd
         return total
     tokens, number, first, sizes = lanes_of([texts[i] for i in at], lanes)
     h = np.zeros((tokens.shape[1], HIDDEN), np.float32)
-    sums = np.zeros(len(at))
+    sums, waiting = np.zeros(len(at)), []
     for t in range(0, len(tokens), WINDOW):
         live = int((sizes > t).sum())
         stop = min(t + WINDOW, len(tokens))
         tok = tokens[t:stop, :live]
         before, h, _ = run_window(model, tok, first[t:stop, :live], h[:live], False)
         valid = slice(None) if sizes[live - 1] >= stop else (np.arange(t, stop)[:, None] < sizes[None, :live]).ravel()
-        logp, _, _ = outputs(model, before.reshape(-1, HIDDEN)[valid], tok.ravel()[valid], False)
-        sums += np.bincount(number[t:stop, :live].ravel()[valid], logp, len(at))
+        waiting.append((before.reshape(-1, HIDDEN)[valid], tok.ravel()[valid], number[t:stop, :live].ravel()[valid]))
+        if stop == len(tokens) or sum(len(x) for _, x, _ in waiting) >= SCORED:
+            states, ids, texts_of = (np.concatenate(x) for x in zip(*waiting))
+            waiting = []
+            sums += np.bincount(texts_of, outputs(model, states, ids, False)[0], len(at))
     total[at] = sums
     return total

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -448,6 +449,16 @@ def test_vocabulary_follows_the_counts(spark, docs_of):
     assert abs(np.exp(recurrent.outputs(model, h, np.arange(len(h)), False)[0].astype(float)).sum() - 1) < 1e-3
 
 
+def test_words_of_texts_by_arrow():
+    texts = [None, "", " ", "a", " a", "a ", "\t A\x0b\x0cb\r\n\n c\xa0D \x1cE\x85f ", "ÀÉ K\u0130", "\u2003x\x00y z\x1f"]
+    found, sizes = lm.tokens_of(pa.array(texts, pa.string()))
+    assert found.to_pylist() == [w for t in texts for w in [*lower_words(t), b""]]
+    assert sizes.tolist() == [len(lower_words(t)) + 1 for t in texts]
+    which = np.array([w in (b"a", b"b", b"") for w in found.to_pylist()])
+    got = [{x["word"]: x["times"] for x in row} for row in lm.counted_by_text(found, which, sizes).to_pylist()]
+    assert got == [Counter(w for w in [*lower_words(t), b""] if w in (b"a", b"b", b"")) for t in texts]
+
+
 def check_base(rows, got):
     out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
     seen = Counter()
